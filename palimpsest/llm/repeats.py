@@ -21,7 +21,7 @@ pieces are shared:
 
 Names are 64-bit fingerprints instead of dense ranks, so that a name needs no
 global numbering and equal strings are named alike in all tasks.  Two different
-windows share a name with a chance of 2^-64 for each pair.
+windows that meet in a partition share a name with a chance of 2^-56.
 
 Corner cases (both operators): null and empty texts have no windows and keep
 nothing; texts shorter than a window keep everything; repeated rows count as
@@ -38,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from . import exchange as X
@@ -124,30 +125,34 @@ def _suffixes(data: bytes, threshold: int) -> tuple | None:
     return first, last, roll.at(at, at + threshold - SPREAD + 1), roll.at(first, last + threshold), roll
 
 
-_AUX7 = np.dtype([("longer", "<u8"), ("first", "<u4")])
+#: Bytes of a name that travel.  Names are compared within a partition, those of windows in 56 bits; what is named
+#: first in 48 bits is confirmed by longer names or by windows.
+_WIDTH, _FULL = 6, 7
+_AUX7 = np.dtype([("low", "<u4"), ("high", "<u2"), ("first", "<u4")])
 #: What a round says of a suffix: name its windows for others or itself; its windows are settled as repeated.
 _NAME, _SETTLED = 1, 2
 
 
-def _judge_suffixes(ids: np.ndarray, keys: np.ndarray, aux: np.ndarray) -> tuple:
+def _judge_suffixes(ids: np.ndarray, keys: np.ndarray, aux: np.ndarray, _: object) -> tuple:
     """Drop suffixes with a unique prefix; settle those whose longer name is shared; have the rest named in full."""
-    order = np.lexsort((aux["longer"], keys))
-    ids, keys, aux = ids[order], keys[order], aux[order]
+    longer = aux["low"].astype(np.uint64) | aux["high"].astype(np.uint64) << np.uint64(32)
+    order = np.lexsort((longer, keys))
+    ids, keys, aux, longer = ids[order], keys[order], aux[order], longer[order]
     new = np.concatenate(([True], keys[1:] != keys[:-1]))
     group = np.cumsum(new) - 1
     many = np.bincount(group) > 1
-    same = np.concatenate(([False], (~new[1:]) & (aux["longer"][1:] == aux["longer"][:-1])))
+    same = np.concatenate(([False], (~new[1:]) & (longer[1:] == longer[:-1])))
     settled = same.copy()
     settled[:-1] |= same[1:]
     open_ = np.bincount(group, weights=~settled) > 0
     keep = many[group]
     flag = settled * _SETTLED + open_[group] * _NAME
     value = (aux["first"].astype(np.uint64) << np.uint64(8)) | flag.astype(np.uint64)
-    return ids[keep], value[keep], None
+    return ids[keep], value[keep], None, None
 
 
-def _judge_windows(ids: np.ndarray, keys: np.ndarray, aux: np.ndarray) -> tuple:
-    """Positions whose window name occurs more than once."""
+def _judge_windows(ids: np.ndarray, keys: np.ndarray, aux: np.ndarray, _: object) -> tuple:
+    """Ranges of positions whose window name occurs more than once: first position, and below it 24 bits of length."""
     order = np.argsort(keys, kind="stable")
     k = keys[order]
     same = k[1:] == k[:-1]
@@ -155,7 +160,25 @@ def _judge_windows(ids: np.ndarray, keys: np.ndarray, aux: np.ndarray) -> tuple:
     twice[1:] |= same
     twice[:-1] |= same
     pick = order[twice]
-    return ids[pick], aux[pick].astype(np.uint64), None
+    ids, at = ids[pick], aux[pick].astype(np.int64)
+    order = np.lexsort((at, ids))
+    ids, at = ids[order], at[order]
+    cut = np.nonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (at[1:] > at[:-1] + 1)))[: len(ids)])[0]
+    length = at[np.concatenate((cut[1:], [len(ids)])) - 1] - at[cut] + 1 if len(cut) else at
+    return ids[cut], _ranges(at[cut], length), None, None
+
+
+def _ranges(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return first.astype(np.uint64) << np.uint64(24) | length.astype(np.uint64)
+
+
+def _same_symbols(ids: np.ndarray, keys: np.ndarray, aux: np.ndarray, _: object) -> tuple:
+    """Ordinals of the symbols that occur more than once."""
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    same = np.concatenate(([False], k[1:] == k[:-1], [False]))
+    pick = order[same[1:] | same[:-1]]
+    return ids[pick], aux[pick].astype(np.uint64), None, None
 
 
 def _starts(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -168,10 +191,13 @@ def _flagged(flags: np.ndarray, bit: int) -> np.ndarray:
     return (flags[(flags & np.uint64(bit)) > 0] >> np.uint64(8)).astype(np.int64)
 
 
-def _covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
+def _covered(n: int, ranges: np.ndarray, length: int) -> np.ndarray:
+    """Positions below n that lie in a window of the given length which starts in one of the ranges."""
+    first = (ranges >> np.uint64(24)).astype(np.int64)
+    end = first + (ranges & np.uint64(0xFFFFFF)).astype(np.int64) - 1 + length
     depth = np.zeros(n + 1, np.int32)
-    np.add.at(depth, starts, 1)
-    np.subtract.at(depth, np.minimum(starts + length, n), 1)
+    np.add.at(depth, first, 1)
+    np.subtract.at(depth, np.minimum(end, n), 1)
     return np.cumsum(depth[:-1]) > 0
 
 
@@ -185,6 +211,19 @@ def _texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
         yield v.as_py() or b""
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one: a dealt text is read more often than it is written."""
+    squeeze = zstandard.ZstdCompressor(level=1)
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("id"), pa.array([squeeze.compress(t) for t in _texts(b)], pa.binary())], names=["uid", "id", "text"])
+
+
+def _whole(batch: pa.RecordBatch) -> Iterator[bytes]:
+    open_ = zstandard.ZstdDecompressor()
+    for v in batch.column("text"):
+        yield open_.decompress(v.as_py())
+
+
 def _known(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(uid, id, text), dealt by uid: the later joins read the same exchange again."""
     spark = docs.sparkSession
@@ -193,7 +232,7 @@ def _known(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _dealt(known: DataFrame) -> DataFrame:
-    return known.repartition(X.partitions(known.sparkSession), "uid")
+    return known.mapInArrow(_squeezed, f"uid long, id {known.schema['id'].dataType.simpleString()}, text binary").repartition(X.partitions(known.sparkSession), "uid")
 
 
 def _finish(docs: DataFrame, windows: DataFrame, settle, remove, schema: str) -> DataFrame:
@@ -201,7 +240,7 @@ def _finish(docs: DataFrame, windows: DataFrame, settle, remove, schema: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [remove(i, t, settle(t, v), w) for i, t, v, w in zip(b.column("id").to_pylist(), _texts(b), _values(b, "flags", np.uint64), _values(b, "vals", np.uint32), strict=True)]
+            out = [remove(i, t, settle(t, v), w) for i, t, v, w in zip(b.column("id").to_pylist(), _whole(b), _values(b, "flags", np.uint64), _values(b, "vals", np.uint64), strict=True)]
             yield pa.RecordBatch.from_pylist(out, schema=_arrow(schema, b.schema.field("id").type))
 
     return docs.join(windows, "uid", "left").mapInArrow(run, schema.replace("ID_TYPE", docs.schema["id"].dataType.simpleString()))
@@ -214,18 +253,16 @@ def _arrow(schema: str, id_type: pa.DataType) -> pa.Schema:
 
 def _long_windows(docs: DataFrame, first, judge, aux_type, second) -> tuple[DataFrame, DataFrame]:
     """The two exchanges: pieces, then windows.  Returns texts with flags, and repeated window starts."""
-    spark = docs.sparkSession
-    buckets = X.partitions(spark) * X.BUCKETS_A_PARTITION
-    pieces = X.gather(X.scatter(docs, first, buckets=buckets), judge, aux_type, buckets=buckets)
-    flags = X.returned(pieces, lambda ids, v, _: X.rows_of(ids, v, np.uint64, name="flags"), "uid long, flags binary")
+    pieces = X.gather(X.scatter(docs, first, _WIDTH), judge, aux_type, _WIDTH)
+    flags = X.returned(pieces, lambda ids, v, *_: X.rows_of(ids, v, np.uint64, name="flags"), "uid long, flags binary")
     flagged = _dealt(docs).join(flags, "uid", "left")
-    named = X.scatter(flagged.filter("flags is not null"), second, buckets=buckets)
-    windows = X.gather(named, _judge_windows, np.dtype("<u4"), buckets=buckets)
+    named = X.scatter(flagged.filter("flags is not null"), second, _FULL)
+    windows = X.gather(named, _judge_windows, np.dtype("<u4"), _FULL)
     return flagged, X.returned(windows, _distinct_starts, "uid long, vals binary")
 
 
-def _distinct_starts(ids: np.ndarray, v: np.ndarray, _: object) -> Iterator[pa.RecordBatch]:
-    return X.rows_of(ids, v, np.uint32)
+def _distinct_starts(ids: np.ndarray, v: np.ndarray, *_: object) -> Iterator[pa.RecordBatch]:
+    return X.rows_of(ids, v, np.uint64)
 
 
 def suffix_array_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = 200, with_text: bool = False) -> DataFrame:
@@ -243,26 +280,26 @@ def suffix_array_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         for uid, data in zip(batch.column("uid").to_pylist(), _texts(batch), strict=True):
             if (s := _suffixes(data, threshold)) is not None:
                 aux = np.empty(len(s[0]), _AUX7)
-                aux["longer"], aux["first"] = s[3], s[0]
+                aux["low"], aux["high"], aux["first"] = s[3] & np.uint64(0xFFFFFFFF), (s[3] >> np.uint64(32)) & np.uint64(0xFFFF), s[0]
                 yield uid, s[2], aux
 
     def second(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for uid, data, flags in zip(batch.column("uid").to_pylist(), _texts(batch), _values(batch, "flags", np.uint64), strict=True):
+        for uid, data, flags in zip(batch.column("uid").to_pylist(), _whole(batch), _values(batch, "flags", np.uint64), strict=True):
             if len(pick := _flagged(flags, _NAME)):
-                first, last, *_, roll = _suffixes(data, threshold)
+                first, last, prefix, _, roll = _suffixes(data, threshold)
                 own = np.isin(first, pick)
-                starts = _starts(first[own], last[own])
-                yield uid, roll.at(starts, starts + threshold), starts.astype(np.uint32)
+                starts = _starts(first[own], last[own])  # they meet where their suffix does
+                yield uid, roll.at(starts, starts + threshold), starts.astype(np.uint32), 0, np.repeat(prefix[own], last[own] - first[own] + 1)
 
     def settle(data: bytes, flags: np.ndarray) -> np.ndarray:
         if not len(pick := _flagged(flags, _SETTLED)):
-            return np.empty(0, np.int64)
+            return np.empty(0, np.uint64)
         first, last, *_ = _suffixes(data, threshold)
         own = np.isin(first, pick)
-        return _starts(first[own], last[own])
+        return _ranges(first[own], last[own] - first[own] + 1)
 
     def remove(doc: object, data: bytes, settled: np.ndarray, windows: np.ndarray) -> dict:
-        gone = _covered(len(data), np.concatenate((settled, windows.astype(np.int64))), threshold) if len(data) else np.empty(0, bool)
+        gone = _covered(len(data), np.concatenate((settled, windows)), threshold) if len(data) else np.empty(0, bool)
         edges = np.diff(np.concatenate(([False], gone)).astype(np.int8))
         kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
         out = {"id": doc, "n_bytes": len(data), "n_removed": int(gone.sum()), "n_spans": int((edges == 1).sum()), "kept_sha256": hashlib.sha256(kept).hexdigest()}
@@ -358,7 +395,7 @@ def recompression_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
                     yield uid, np.repeat(X.mix(np.array([uid], np.int64).view(np.uint64)), 2), np.full(2, len(name), np.uint32)
 
     def second(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for uid, data, flags in zip(batch.column("uid").to_pylist(), _texts(batch), _values(batch, "flags", np.uint64), strict=True):
+        for uid, data, flags in zip(batch.column("uid").to_pylist(), _whole(batch), _values(batch, "flags", np.uint64), strict=True):
             symbols, name, lo, hi = usable(data.split())
             alone = np.ones(len(name) + 1, bool)
             alone[flags.astype(np.int64)] = False
@@ -368,11 +405,11 @@ def recompression_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
 
     def remove(doc: object, data: bytes, _: object, windows: np.ndarray) -> dict:
         words = data.split()
-        gone = _covered(len(words), windows.astype(np.int64), window) if len(words) else np.empty(0, bool)
+        gone = _covered(len(words), windows, window) if len(words) else np.empty(0, bool)
         kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words)
         out = {"id": doc, "n_words": len(words), "n_removed": int(gone.sum()), "kept_sha256": hashlib.sha256(kept).hexdigest()}
         return out | ({"kept": kept.decode("utf-8")} if with_text else {})
 
     schema = "id ID_TYPE, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
-    flagged, windows = _long_windows(_known(docs, id_col, text_col), first, _judge_windows, np.dtype("<u4"), second)
+    flagged, windows = _long_windows(_known(docs, id_col, text_col), first, _same_symbols, np.dtype("<u4"), second)
     return _finish(flagged, windows, lambda *_: None, remove, schema).withColumnRenamed("id", id_col)
