@@ -6,13 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fingerprints import syncmer_fingerprints
+from .jaccard import ngram_jaccard_join
+from .neighbours import cross_polytope_search
+from .packing import pack_documents
 from .repeats import recompression_dedup, suffix_array_dedup
+from .urls import filter_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(_table(spark, sf_dir, "documents"), size=5, threshold=(75, 100))
+
+
+def op2_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmer_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return cross_polytope_search(rows, rows.filter("vec_id % 50 = 0"), k=5)
+
+
+def op6_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), max_tokens=2048, max_segments=256)
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array_dedup(_table(spark, sf_dir, "documents"), threshold=200)
 
@@ -21,6 +45,14 @@ def op9_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression_dedup(_table(spark, sf_dir, "documents"), window=35)
 
 
+#: The rules of op10: verdict, host and path.
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op10_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [v for k, v in globals().items() if k.startswith("op") and callable(v)]
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
