@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .fingerprints import syncmer_fingerprints
+from .html import extract_main_text
 from .jaccard import ngram_jaccard_join
 from .neighbours import cross_polytope_search
 from .packing import pack_documents
@@ -41,6 +42,10 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array_dedup(_table(spark, sf_dir, "documents"), threshold=200)
 
 
+def op8_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op9_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression_dedup(_table(spark, sf_dir, "documents"), window=35)
 
