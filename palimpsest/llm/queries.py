@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .cotraining import quality_scores
 from .fingerprints import syncmer_fingerprints
 from .html import extract_main_text
 from .jaccard import ngram_jaccard_join
@@ -27,6 +28,11 @@ def op2_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmer_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op3_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "quality_score", "quality_text", "quality_metadata", "keep")
+
+
 def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
     return cross_polytope_search(rows, rows.filter("vec_id % 50 = 0"), k=5)
