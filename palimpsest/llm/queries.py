@@ -13,6 +13,7 @@ from .jaccard import ngram_jaccard_join
 from .neighbours import cross_polytope_search
 from .packing import pack_documents
 from .repeats import recompression_dedup, suffix_array_dedup
+from .sentencepieces import sentencepiece_encode
 from .urls import filter_urls
 
 
@@ -38,6 +39,12 @@ def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_polytope_search(rows, rows.filter("vec_id % 50 = 0"), k=5)
 
 
+def op5_shared_prefix_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sentencepiece_encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
