@@ -27,7 +27,9 @@ from . import exchange as X
 #: Pieces that a task holds while it packs.
 POOL = 4096
 #: Words whose ids a task remembers.
-WORDS = 600_000
+WORDS = 800_000
+#: A worker's encoders: what one task learns serves the next.
+_encoders: dict[str, Encoder] = {}
 END_ID = 1
 #: White space that holds two spaces, or a space in its middle.
 _MIXED = re.compile(r" \s* |\s \s")
@@ -153,7 +155,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
+        encode = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
         pool = Pool((max_tokens, max_segments, most_loss))
         at = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []

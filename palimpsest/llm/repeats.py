@@ -26,7 +26,7 @@ windows that meet in a partition share a name with a chance of 2^-56.
 Corner cases (both operators): null and empty texts have no windows and keep
 nothing; texts shorter than a window keep everything; repeated rows count as
 occurrences, so an exact copy of a long text loses every window; extra columns
-are carried only by ``keep``; an empty table gives an empty result.  A row is
+are left out unless ``carry`` is set; an empty table gives an empty result.  A row is
 known by a hash of its id and text, so equal ids with different texts are
 separate rows, and rows with null ids take part.
 """
@@ -215,7 +215,8 @@ def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed one by one: a dealt text is read more often than it is written."""
     squeeze = zstandard.ZstdCompressor(level=1)
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("id"), pa.array([squeeze.compress(t) for t in _texts(b)], pa.binary())], names=["uid", "id", "text"])
+        at = b.schema.names.index("text")
+        yield b.set_column(at, "text", pa.array([squeeze.compress(t) for t in _texts(b)], pa.binary()))
 
 
 def _whole(batch: pa.RecordBatch) -> Iterator[bytes]:
@@ -224,31 +225,37 @@ def _whole(batch: pa.RecordBatch) -> Iterator[bytes]:
         yield open_.decompress(v.as_py())
 
 
-def _known(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(uid, id, text), dealt by uid: the later joins read the same exchange again."""
-    spark = docs.sparkSession
-    X.prepare(spark)
-    return docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+def _known(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
+    """(uid, id, text) and, with ``carry``, a struct of the other columns."""
+    X.prepare(docs.sparkSession)
+    rest = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col))).alias("rest")] if carry and len(docs.columns) > 2 else []
+    return docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *rest)
 
 
 def _dealt(known: DataFrame) -> DataFrame:
-    return known.mapInArrow(_squeezed, f"uid long, id {known.schema['id'].dataType.simpleString()}, text binary").repartition(X.partitions(known.sparkSession), "uid")
+    """Rows dealt by uid, so that the joins by it read them as they are."""
+    return known.mapInArrow(_squeezed, _ddl(known).replace("`text` string", "`text` binary")).repartition(X.partitions(known.sparkSession), "uid")
 
 
-def _finish(docs: DataFrame, windows: DataFrame, settle, remove, schema: str) -> DataFrame:
-    """Join the repeated window starts with the texts and cut them out."""
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [remove(i, t, settle(t, v), w) for i, t, v, w in zip(b.column("id").to_pylist(), _whole(b), _values(b, "flags", np.uint64), _values(b, "vals", np.uint64), strict=True)]
-            yield pa.RecordBatch.from_pylist(out, schema=_arrow(schema, b.schema.field("id").type))
 
-    return docs.join(windows, "uid", "left").mapInArrow(run, schema.replace("ID_TYPE", docs.schema["id"].dataType.simpleString()))
+def _finish(docs: DataFrame, windows: DataFrame, settle, remove, schema: str, id_col: str) -> DataFrame:
+    """Join the repeated window starts with the texts and cut them out; ``schema`` is of what ``remove`` returns."""
+    kinds = {"long": pa.int64(), "string": pa.string()}
+    fields = [(n, kinds[k]) for n, k in (f.split() for f in schema.split(", "))]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [remove(t, settle(t, v), w) for t, v, w in zip(_whole(b), _values(b, "flags", np.uint64), _values(b, "vals", np.uint64), strict=True)]
+            held = [n for n in ("id", "rest") if n in b.schema.names]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in held), *(pa.array([o[n] for o in out], t) for n, t in fields)], names=[*held, *(n for n, _ in fields)])
 
-def _arrow(schema: str, id_type: pa.DataType) -> pa.Schema:
-    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "ID_TYPE": id_type}
-    return pa.schema([(n, kinds[k]) for n, k in (f.split() for f in schema.split(", "))])
+    own = docs.select(*(c for c in docs.columns if c in ("id", "rest")))
+    done = docs.join(windows, "uid", "left").mapInArrow(run, f"{_ddl(own)}, {schema}")
+    new = [F.col(n) for n, _ in fields]
+    return done.select(F.col("id").alias(id_col), *new, *(["rest.*"] if "rest" in docs.columns else []))
 
 
 def _long_windows(docs: DataFrame, first, judge, aux_type, second) -> tuple[DataFrame, DataFrame]:
@@ -265,11 +272,12 @@ def _distinct_starts(ids: np.ndarray, v: np.ndarray, *_: object) -> Iterator[pa.
     return X.rows_of(ids, v, np.uint64)
 
 
-def suffix_array_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = 200, with_text: bool = False) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = 200, with_text: bool = False, carry: bool = False) -> DataFrame:
     """Remove every byte that lies in a ``threshold``-byte string which starts anywhere else too.
 
     Returns (id_col, n_bytes, n_removed, n_spans, kept_sha256) and, ``with_text``,
-    ``kept``: the remaining bytes as text, where a cut character's rest is dropped.
+    ``kept``: the remaining bytes as text, where a cut character's rest is dropped;
+    with ``carry`` the other columns follow (their names must not clash with these).
     All occurrences are removed, and strings are judged on the input.  A null text
     counts as empty.
     """
@@ -298,16 +306,16 @@ def suffix_array_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         own = np.isin(first, pick)
         return _ranges(first[own], last[own] - first[own] + 1)
 
-    def remove(doc: object, data: bytes, settled: np.ndarray, windows: np.ndarray) -> dict:
+    def remove(data: bytes, settled: np.ndarray, windows: np.ndarray) -> dict:
         gone = _covered(len(data), np.concatenate((settled, windows)), threshold) if len(data) else np.empty(0, bool)
         edges = np.diff(np.concatenate(([False], gone)).astype(np.int8))
         kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-        out = {"id": doc, "n_bytes": len(data), "n_removed": int(gone.sum()), "n_spans": int((edges == 1).sum()), "kept_sha256": hashlib.sha256(kept).hexdigest()}
+        out = {"n_bytes": len(data), "n_removed": int(gone.sum()), "n_spans": int((edges == 1).sum()), "kept_sha256": hashlib.sha256(kept).hexdigest()}
         return out | ({"kept": kept.decode("utf-8", "ignore")} if with_text else {})
 
-    schema = "id ID_TYPE, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
-    flagged, windows = _long_windows(_known(docs, id_col, text_col), first, _judge_suffixes, _AUX7, second)
-    return _finish(flagged, windows, settle, remove, schema).withColumnRenamed("id", id_col)
+    schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
+    flagged, windows = _long_windows(_known(docs, id_col, text_col, carry), first, _judge_suffixes, _AUX7, second)
+    return _finish(flagged, windows, settle, remove, schema, id_col)
 
 
 # ---------------------------------------------------------------- words
@@ -315,6 +323,7 @@ def suffix_array_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 #: Rounds of run and pair naming.
 ROUNDS = 4
 _FAR = 1 << 40
+_NO_SYMBOL = 2**32 - 1
 
 
 class _Names(dict):
@@ -334,82 +343,111 @@ def word_symbols(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_names.__getitem__, words), np.uint64, len(words))
 
 
-def recompress(symbols: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names, and for each the word range [lo, hi) that determines it; ranges beyond the text are marked _FAR."""
+def recompress(symbols: np.ndarray, wall: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names, and for each the range [lo, hi) of positions that determines it.
+
+    Walls stand around each text; a symbol that depends on what is behind a wall
+    has a range that reaches beyond all positions.
+    """
     n = len(symbols)
     name, lo, hi = symbols, np.arange(n, dtype=np.int64), np.arange(1, n + 1, dtype=np.int64)
+    lo[wall], hi[wall] = -_FAR, _FAR
     for r in range(rounds):
-        if not len(name):
-            break
         # runs of equal symbols become one symbol; that a run ends is told by its neighbours
         cut = np.concatenate(([0], np.nonzero(name[1:] != name[:-1])[0] + 1))
         size = np.diff(np.concatenate((cut, [len(name)])))
         lo = np.concatenate(([-_FAR], lo[cut[1:] - 1]))
         hi = np.concatenate((hi[cut[1:]], [_FAR]))
+        wall = wall[cut]
+        lo[wall], hi[wall] = -_FAR, _FAR
         name = np.where(size > 1, X.mix(name[cut] ^ X.mix(size.astype(np.uint64) + np.uint64(r << 32))), name[cut])
         # a left symbol before a right one becomes a pair
         side = (X.mix(name + np.uint64(2 * r + 1)) >> np.uint64(63)).astype(bool)
-        pair = np.concatenate((~side[:-1] & side[1:], [False]))
+        pair = np.concatenate((~side[:-1] & side[1:] & ~wall[:-1] & ~wall[1:], [False]))
         second = np.concatenate(([False], pair[:-1]))
-        before = np.concatenate(([-_FAR], lo[:-1]))
-        after = np.concatenate((hi[1:], [_FAR]))
         single = ~pair & ~second
-        new_lo = np.where(single, np.minimum(before, lo), np.minimum(lo, np.concatenate((lo[1:], [_FAR]))))
-        new_hi = np.where(single, np.maximum(after, hi), np.maximum(hi, after))
+        after = np.concatenate((hi[1:], [_FAR]))
+        new_lo = np.where(single, np.minimum(np.concatenate(([-_FAR], lo[:-1])), lo), lo)
+        new_hi = np.where(single | pair, np.maximum(after, hi), hi)
         new_name = np.where(pair, X.mix(X.mix(name + np.uint64(r)) + np.concatenate((name[1:], name[:1]))), name)
         keep = ~second
-        name, lo, hi = new_name[keep], new_lo[keep], new_hi[keep]
+        name, lo, hi, wall = new_name[keep], new_lo[keep], new_hi[keep], wall[keep]
     return name, lo, hi
 
 
-def _undecided(n: int, lo: np.ndarray, hi: np.ndarray, window: int) -> np.ndarray:
-    """Window starts of which no window holds one of the ranges [lo, hi) whole."""
-    holds = np.zeros(n + 1, np.int32)
-    np.add.at(holds, np.maximum(hi - window, 0), 1)
-    np.subtract.at(holds, lo + 1, 1)
-    return np.nonzero(np.cumsum(holds)[: n - window + 1] == 0)[0]
-
-
-def recompression_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 35, with_text: bool = False) -> DataFrame:
+class Parsed:
+    """The texts of a batch that have a window, parsed side by side."""
+
+    def __init__(self, uids: list[int], texts: Iterator[bytes], window: int):
+        words: list[bytes] = [b""]  # no word is empty: these are the walls
+        self.uids, starts, sizes = [], [], []
+        for uid, data in zip(uids, texts, strict=True):
+            own = data.split()
+            if len(own) >= window:
+                self.uids.append(uid)
+                starts.append(len(words))
+                sizes.append(len(own))
+                words += own
+                words.append(b"")
+        self.uids, self.starts = np.array(self.uids, np.int64), np.array(starts, np.int64)
+        self.window, self.symbols = window, word_symbols(words)
+        wall = np.ones(len(words), bool)
+        wall[_starts(self.starts, self.starts + sizes - 1)] = False
+        name, lo, hi = recompress(self.symbols, wall)
+        use = (lo >= 0) & (hi < _FAR) & (hi - lo <= window)
+        self.name, self.lo, self.hi = name[use], lo[use], hi[use]
+        self.text = self.text_at(self.lo)
+        self.first = np.searchsorted(self.text, np.arange(len(starts)))  # of each text's symbols
+        self.open = np.zeros(len(words), bool)
+        self.open[_starts(self.starts, self.starts + np.array(sizes, np.int64) - window)] = True
+
+    def text_at(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, at, "right") - 1
+
+    def undecided(self, alone: np.ndarray | slice) -> np.ndarray:
+        """Window starts whose window holds none of the ranges of the given symbols whole."""
+        holds = np.zeros(len(self.open) + 1, np.int32)
+        np.add.at(holds, np.maximum(self.hi[alone] - self.window, 0), 1)
+        np.subtract.at(holds, self.lo[alone] + 1, 1)
+        return np.nonzero((np.cumsum(holds)[:-1] == 0) & self.open)[0]
+
+
+def recompression_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 35, with_text: bool = False, carry: bool = False) -> DataFrame:
     """Remove every word that lies in a ``window``-word sequence which starts anywhere else too.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, compared unchanged.  Returns (id_col, n_words,
     n_removed, kept_sha256) of the kept words joined by one space and, ``with_text``,
-    that text as ``kept``.  A null text has no words.
+    that text as ``kept``; with ``carry`` the other columns follow (their names must
+    not clash with these).  A null text has no words.
     """
 
-    def usable(words: list[bytes]) -> tuple | None:
-        if len(words) < window:
-            return None
-        symbols = word_symbols(words)
-        name, lo, hi = recompress(symbols)
-        use = (lo >= 0) & (hi <= len(words)) & (hi - lo <= window)
-        return symbols, name[use], lo[use], hi[use]
-
     def first(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for uid, data in zip(batch.column("uid").to_pylist(), _texts(batch), strict=True):
-            if (u := usable(data.split())) is not None:
-                symbols, name, lo, hi = u
-                yield uid, name, np.arange(len(name), dtype=np.uint32)
-                if len(_undecided(len(symbols), lo, hi, window)):  # in long runs, say: a name of the text's own, given twice, makes it return
-                    yield uid, np.repeat(X.mix(np.array([uid], np.int64).view(np.uint64)), 2), np.full(2, len(name), np.uint32)
+        p = Parsed(batch.column("uid").to_pylist(), _texts(batch), window)
+        if len(p.uids):
+            yield p.uids[p.text], p.name, (np.arange(len(p.name)) - p.first[p.text]).astype(np.uint32)
+            # in long runs, say, windows hold no symbol: a name of the text's own, given twice, makes such a text return
+            own = np.repeat(p.uids[np.unique(p.text_at(p.undecided(slice(None))))], 2)
+            yield own, X.mix(own.view(np.uint64)), np.full(len(own), _NO_SYMBOL, np.uint32)
 
     def second(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for uid, data, flags in zip(batch.column("uid").to_pylist(), _whole(batch), _values(batch, "flags", np.uint64), strict=True):
-            symbols, name, lo, hi = usable(data.split())
-            alone = np.ones(len(name) + 1, bool)
-            alone[flags.astype(np.int64)] = False
-            alone = alone[:-1]
-            starts = _undecided(len(symbols), lo[alone], hi[alone], window)
-            yield uid, Rolling(symbols).at(starts, starts + window), starts.astype(np.uint32)
-
-    def remove(doc: object, data: bytes, _: object, windows: np.ndarray) -> dict:
+        flags = dict(zip(batch.column("uid").to_pylist(), _values(batch, "flags", np.uint64), strict=True))
+        p = Parsed(batch.column("uid").to_pylist(), _whole(batch), window)
+        if len(p.uids):
+            alone = np.ones(len(p.name), bool)
+            for uid, base in zip(p.uids.tolist(), p.first.tolist(), strict=True):
+                shared = flags[uid].astype(np.int64)
+                alone[base + shared[shared != _NO_SYMBOL]] = False
+            starts = p.undecided(alone)
+            text = p.text_at(starts)
+            yield p.uids[text], Rolling(p.symbols).at(starts, starts + window), (starts - p.starts[text]).astype(np.uint32)
+
+    def remove(data: bytes, _: object, windows: np.ndarray) -> dict:
         words = data.split()
         gone = _covered(len(words), windows, window) if len(words) else np.empty(0, bool)
         kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words)
-        out = {"id": doc, "n_words": len(words), "n_removed": int(gone.sum()), "kept_sha256": hashlib.sha256(kept).hexdigest()}
+        out = {"n_words": len(words), "n_removed": int(gone.sum()), "kept_sha256": hashlib.sha256(kept).hexdigest()}
         return out | ({"kept": kept.decode("utf-8")} if with_text else {})
 
-    schema = "id ID_TYPE, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
-    flagged, windows = _long_windows(_known(docs, id_col, text_col), first, _same_symbols, np.dtype("<u4"), second)
-    return _finish(flagged, windows, lambda *_: None, remove, schema).withColumnRenamed("id", id_col)
+    schema = "n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
+    flagged, windows = _long_windows(_known(docs, id_col, text_col, carry), first, _same_symbols, np.dtype("<u4"), second)
+    return _finish(flagged, windows, lambda *_: None, remove, schema, id_col)

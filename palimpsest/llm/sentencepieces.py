@@ -30,7 +30,9 @@ from . import exchange as X
 
 MARK = "▁"
 #: Words whose ids a task remembers.
-WORDS = 400_000
+WORDS = 800_000
+#: A worker's encoders: what one task learns serves the next.
+_encoders: dict[str, Encoder] = {}
 _UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 
@@ -165,6 +167,12 @@ class Encoder:
         return [b"".join([self.known[u] for u in x]) for x in units]
 
 
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(Model(path))
+    return _encoders[path]
+
+
 def sentencepiece_encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(id_col, n_ids, ids_crc32, round_trip) of each text and, ``with_ids``, ``ids``.
 
@@ -176,8 +184,8 @@ def sentencepiece_encode(docs: DataFrame, model: str, *, id_col: str = "doc_id",
     X.prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(model)
-        encode = Encoder(m)
+        encode = encoder(model)
+        m = encode.model
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             got = encode(texts)
@@ -200,7 +208,7 @@ def sentencepiece_decode(rows: DataFrame, model: str, *, ids_col: str = "ids", o
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(model)
+        m = encoder(model).model
         for b in batches:
             text = [None if x is None else m.decode(k for k in x if k is not None) for x in b.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], names=[*b.schema.names, out_col])
