@@ -1,10 +1,51 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences.
+
+Four stages, each a function of (spark, docs, sf_dir).  All but the last return
+the columns of ``documents``:
+
+1. quality: documents that the co-trained classifier rejects go.
+2. near_duplicates: of the documents that the n-gram Jaccard join links, the one
+   with the least id stays.
+3. repeats: bytes of strings of 200 bytes that occur anywhere else are removed
+   from the texts; a document of which nothing is left goes.
+4. packing: the documents are packed into sequences of 2048 tokens.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from palimpsest.llm.cotraining import quality_scores
+from palimpsest.llm.jaccard import ngram_jaccard_join
+from palimpsest.llm.packing import pack_documents
+from palimpsest.llm.repeats import suffix_array_dedup
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scored = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.filter("keep").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = ngram_jaccard_join(docs, size=5, threshold=(75, 100))
+    gone = found.filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = suffix_array_dedup(docs, threshold=200, with_text=True, carry=True)
+    cut = cut.filter("n_removed = 0 or kept <> ''").withColumn("text", F.col("kept")).withColumn("n_chars", F.char_length("kept").cast("long"))
+    return cut.select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), max_tokens=2048, max_segments=256)
+
 
-STAGES: list = []
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeats", repeats), ("packing", packing)]
+#: SQL cannot express a fitted classifier or the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
