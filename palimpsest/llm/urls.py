@@ -44,7 +44,7 @@ def path_of(url: Column) -> Column:
 
 def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
     """The longest fitting rule as struct(verdict, rule), or null; of equally long rules the first given."""
-    out = F.lit(None)
+    out = F.lit(None).cast("struct<verdict:string,rule:string>")
     for verdict, h, p in sorted(rules, key=lambda r: len(r[1]) + len(r[2])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         out = F.when(fits, F.struct(F.lit(verdict).alias("verdict"), F.lit(h + p).alias("rule"))).otherwise(out)
