@@ -76,5 +76,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
 
 
+_WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+_JACCARD_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0) x),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 75 * (a.n + b.n - o)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.id WHERE r.root < e.y)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c.component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT id, min(root) AS component_id FROM r GROUP BY 1) c ON c.id = d.doc_id"""
+
+_REPEATS_SQL = f"""WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+win AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35) x),
+rep AS (SELECT doc_id, p FROM win QUALIFY count(*) OVER (PARTITION BY h) > 1),
+cov AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS i FROM rep),
+word AS (SELECT doc_id, unnest(w) AS v, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT word.doc_id, string_agg(v, ' ' ORDER BY word.i) AS k, count(*) AS n FROM word ANTI JOIN cov ON cov.doc_id = word.doc_id AND cov.i = word.i GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+
+# bytes are pairs of hex digits, positions count from 1
+_BYTES_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+win AS (SELECT doc_id, p, md5(substr(x, 2 * p - 1, 400)) AS h FROM (SELECT doc_id, x, unnest(range(1, len(x) // 2 - 198)) AS p FROM d WHERE len(x) >= 400) y),
+rep AS (SELECT doc_id, p FROM win QUALIFY count(*) OVER (PARTITION BY h) > 1),
+cut AS (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 200 THEN 0 ELSE 1 END AS fresh FROM rep),
+run AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM cut),
+span AS (SELECT doc_id, min(p) AS s, max(p) + 199 AS e FROM run GROUP BY doc_id, k),
+piece AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) + 1 AS a, s - 1 AS b FROM span UNION ALL SELECT d.doc_id, coalesce(max(e), 0) + 1, max(len(x)) // 2 FROM d LEFT JOIN span ON span.doc_id = d.doc_id GROUP BY 1),
+kept AS (SELECT piece.doc_id, string_agg(substr(x, 2 * a - 1, 2 * (b - a + 1)), '' ORDER BY a) AS k FROM piece JOIN d ON d.doc_id = piece.doc_id WHERE b >= a GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS spans, sum(e - s + 1)::BIGINT AS gone FROM span GROUP BY 1)
+SELECT d.doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that SQL can express on whole tables; the others are tested against brute force."""
+    return {"op1_ngram_jaccard_join": _JACCARD_SQL, "op7_suffix_array_dedup": _BYTES_SQL, "op9_recompression_dedup": _REPEATS_SQL}
