@@ -274,7 +274,7 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             if len(g := shingles(t, size)):
                 yield class_name(g), g, None, len(g)
 
-    members = texts.mapInArrow(sets, f"id {texts.schema['id'].dataType.simpleString()}, n long, cls long")
+    members = X.checkpoint(texts.mapInArrow(sets, f"id {texts.schema['id'].dataType.simpleString()}, n long, cls long"))
     shared = X.gather(X.scatter(texts.select("text"), keys), _judge, None)
     alive = X.checkpoint(X.returned(shared, _survivors(num, den), "cls long, n long, shared long, keys binary, dfs binary", _DF))
     edges = alive.select("cls", "n", "keys").mapInArrow(_prefixes(num, den), "key long, cls long").repartition(parts, "key").mapInArrow(_forest, "u long, v long")
