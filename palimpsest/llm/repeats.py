@@ -263,7 +263,7 @@ def _long_windows(docs: DataFrame, first, judge, aux_type, second) -> tuple[Data
     pieces = X.gather(X.scatter(docs, first, _WIDTH), judge, aux_type, _WIDTH)
     flags = X.returned(pieces, lambda ids, v, *_: X.rows_of(ids, v, np.uint64, name="flags"), "uid long, flags binary")
     flagged = _dealt(docs).join(flags, "uid", "left")
-    named = X.scatter(flagged.filter("flags is not null"), second, _FULL)
+    named = X.scatter(flagged, second, _FULL)  # no filter: both readers of `flagged` then share its exchanges
     windows = X.gather(named, _judge_windows, np.dtype("<u4"), _FULL)
     return flagged, X.returned(windows, _distinct_starts, "uid long, vals binary")
 
@@ -292,6 +292,7 @@ def suffix_array_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 yield uid, s[2], aux
 
     def second(batch: pa.RecordBatch) -> Iterator[tuple]:
+        batch = batch.filter(batch.column("flags").is_valid())
         for uid, data, flags in zip(batch.column("uid").to_pylist(), _whole(batch), _values(batch, "flags", np.uint64), strict=True):
             if len(pick := _flagged(flags, _NAME)):
                 first, last, prefix, _, roll = _suffixes(data, threshold)
@@ -330,7 +331,7 @@ class _Names(dict):
     """64-bit names of words; bounded, as it only saves work."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = name = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return name
@@ -430,6 +431,7 @@ def recompression_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
             yield own, X.mix(own.view(np.uint64)), np.full(len(own), _NO_SYMBOL, np.uint32)
 
     def second(batch: pa.RecordBatch) -> Iterator[tuple]:
+        batch = batch.filter(batch.column("flags").is_valid())
         flags = dict(zip(batch.column("uid").to_pylist(), _values(batch, "flags", np.uint64), strict=True))
         p = Parsed(batch.column("uid").to_pylist(), _whole(batch), window)
         if len(p.uids):
