@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, functions as F
 from . import exchange as X
 
 #: Pieces that a task holds while it packs.
-POOL = 4096
+POOL = 1024
 #: Words whose ids a task remembers.
-WORDS = 800_000
+WORDS = 500_000
 #: A worker's encoders: what one task learns serves the next.
 _encoders: dict[str, Encoder] = {}
 END_ID = 1
