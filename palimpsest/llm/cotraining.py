@@ -43,7 +43,7 @@ def _shape(word: str) -> int:
         for pattern, by in _SHAPES:
             shape = pattern.sub(by, shape)
         slot = _slot("s" + shape[:12])
-        if len(_SHAPE_OF) > 300_000:
+        if len(_SHAPE_OF) > 150_000:
             _SHAPE_OF.clear()
         _SHAPE_OF[word] = slot
     return slot

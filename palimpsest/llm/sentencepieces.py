@@ -30,7 +30,7 @@ from . import exchange as X
 
 MARK = "▁"
 #: Words whose ids a task remembers.
-WORDS = 800_000
+WORDS = 500_000
 #: A worker's encoders: what one task learns serves the next.
 _encoders: dict[str, Encoder] = {}
 _UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
