@@ -63,12 +63,13 @@ def syncmer_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     id the next document is itself.  An empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # both joins read `own` by a key that is never null itself, so that they share one exchange of the texts
+    # both joins read `own` by a key that is never null itself, and use the
+    # same columns, so that they share one exchange of the texts
     own = docs.select(F.struct(F.col(id_col).alias("id")).alias("key"), F.col(id_col).alias("id"), text.alias("text")).withColumn("n", F.char_length("text")).withColumn("fp", fingerprint(F.col("text"), sketch))
     ids = docs.select(F.col(id_col).alias("id"), F.char_length(text).alias("n"))
     after = successors(ids.select("id"), ["id"], wrap=True)
     wants = ids.dropna().groupBy("id").agg(F.max("n").alias("n")).join(after, "id").select(F.col("id").alias("of"), F.struct(F.col("next_id").alias("id")).alias("key"), F.floor(F.col("n") / 4).cast("int").alias("take"))
-    heads = own.join(wants, "key").select("of", F.struct(F.col("text").substr(F.lit(1), F.greatest("take", F.lit(1))).alias("head"), "fp", "n").alias("next"))
+    heads = own.join(wants, "key").select("of", F.struct(F.col("text").substr(F.lit(1), F.greatest("take", F.lit(1))).alias("head"), "fp", "n", "id").alias("next"))
     heads = heads.groupBy(F.struct(F.col("of").alias("id")).alias("key")).agg(F.min("next").alias("next"))
     both = own.join(heads, "key", "left")
     cut = F.floor(F.col("n") / 4).cast("int")
