@@ -8,9 +8,10 @@ were not trained on, so that at most ``false_blocks`` of their accepted URLs go;
 the models that judge are then fitted to all hosts.
 
 Training labels are distant: a URL whose host holds one of ``rejected_words`` is a
-rejected example and all others are accepted ones.  Counts cover every URL of the
-table; they are kept in hashed tables of ``2 ** SLOT_BITS`` slots for each order,
-so the model's size is fixed (about 13 MB) whatever the input.
+rejected example and all others are accepted ones.  Counts are exact and cover
+every URL of the table: a context of up to five bytes and its character make one
+number, counted by DataFrames that grow with the input.  Chunks of URLs ask for
+the n-grams that they hold, each once, and are scored with the answers.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import exchange as X
 
-ORDER, SLOT_BITS = 5, 16
+ORDER = 5
 #: Weight of the shorter context, in characters.
 PRIOR = 2.0
 #: Words in host names that mark rejected examples.
@@ -31,6 +32,8 @@ REJECTED_WORDS = ("adult", "bets", "casino", "cheap", "click", "dating", "escort
 #: Scores are cut to +-RANGE and counted in BINS for calibration.
 RANGE, BINS = 16.0, 1 << 14
 HELD_OUT = 5
+#: URLs that are scored together (a power of two), and distinct n-grams that a task holds before it emits them.
+CHUNK, HELD_GRAMS = 1 << 12, 2_000_000
 
 
 def host_of(url: Column) -> Column:
@@ -51,54 +54,90 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return out
 
 
-def _slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each character and order: slots of (context, character) and of the context; and each character's text."""
+def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Each character with the ORDER bytes before it, as one number whose lowest byte is the character; and its text."""
     size = np.array([len(t) for t in texts], np.int64)
-    flat = np.frombuffer(b"".join(b"\2" * ORDER + t for t in texts), np.uint8).astype(np.uint64)
+    flat = np.frombuffer(b"".join(b"\2" * ORDER + t for t in texts), np.uint8).astype(np.int64)
     first = np.cumsum(size + ORDER) - size
     at = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    context = np.zeros(len(at), np.uint64)
-    pairs, alone = [], []
-    shift = np.uint64(64 - SLOT_BITS)
+    gram = np.zeros(len(at), np.int64)
     for k in range(ORDER + 1):
-        if k:
-            context = context * np.uint64(0x100000001B3) + flat[at - k] + np.uint64(1)
-        base = np.int64(k << SLOT_BITS)
-        pairs.append((X.mix(context * np.uint64(257) + flat[at] + np.uint64(k + 1)) >> shift).astype(np.int64) + base)
-        alone.append((X.mix(context + np.uint64(0xABCDEF * (k + 1))) >> shift).astype(np.int64) + base)
-    return np.stack(pairs), np.stack(alone), np.repeat(np.arange(len(texts)), size)
+        gram |= flat[at - k] << (8 * k)
+    return gram, np.repeat(np.arange(len(texts)), size)
 
 
-_TABLE = (ORDER + 1) << SLOT_BITS
+def _texts(b: pa.RecordBatch | pa.Table) -> list[bytes]:
+    return [(h + p).encode() for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)]
+
+
+#: Counts of n-grams in accepted and rejected URLs, without the held-out ones and of these alone.
+_CLASSES = ["a", "r", "held_a", "held_r"]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(slot, n) of rows (text, rejected); slots of the classes and of pairs and contexts stand one after the other."""
-    total = np.zeros(4 * _TABLE, np.int64)
+    """(gram, counts by class) of rows (host, path, rejected, held_out), summed within the task."""
+
+    def emit() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(held >> 2), *(pa.array(np.where(held & 3 == c, n, 0)) for c in range(4))], names=["gram", *_CLASSES])
+
+    held, n = np.empty(0, np.int64), np.empty(0, np.int64)
     for b in batches:
-        texts = [t.encode() for t in b.column("text").to_pylist()]
-        if texts:
-            pairs, alone, of = _slots(texts)
-            base = np.asarray(b.column("rejected").cast(pa.int64()))[of] * 2 * _TABLE
-            total += np.bincount((pairs + base).ravel(), minlength=len(total))
-            total += np.bincount((alone + base + _TABLE).ravel(), minlength=len(total))
-    slot = np.nonzero(total)[0]
-    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], names=["slot", "n"])
-
-
-def _likelihood(pairs: np.ndarray, alone: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    p = np.full(pairs.shape[1], 1 / 256)
-    for k in range(ORDER + 1):
-        p = (counts[pairs[k]] + PRIOR * p) / (np.maximum(counts[_TABLE + alone[k]], counts[pairs[k]]) + PRIOR)
-    return np.log(p)
+        gram, of = _grams(_texts(b))
+        kind = (np.asarray(b.column("rejected").cast(pa.int64())) + 2 * np.asarray(b.column("held_out").cast(pa.int64())))[of]
+        new, times = np.unique(gram << 2 | kind, return_counts=True)
+        held, at = np.unique(np.concatenate((held, new)), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate((n, times)), minlength=len(held)).astype(np.int64)
+        if len(held) > HELD_GRAMS:
+            yield emit()
+            held, n = np.empty(0, np.int64), np.empty(0, np.int64)
+    yield emit()
+
 
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct (chunk, gram) of rows (chunk, host, path), whose chunks follow each other."""
 
-def scores(texts: list[bytes], counts: np.ndarray) -> np.ndarray:
-    """Mean log-likelihood difference of a character, accepted less rejected; 0 for an empty text."""
-    pairs, alone, of = _slots(texts)
-    gain = _likelihood(pairs, alone, counts[: 2 * _TABLE]) - _likelihood(pairs, alone, counts[2 * _TABLE :])
-    n = np.bincount(of, minlength=len(texts))
-    return np.bincount(of, weights=gain, minlength=len(texts)) / np.maximum(n, 1)
+    def emit() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(held), now)), pa.array(held)], names=["chunk", "gram"])
+
+    now, held = -1, np.empty(0, np.int64)
+    for b in batches:
+        chunk = b.column("chunk").to_numpy()
+        gram, of = _grams(_texts(b))
+        for c in np.unique(chunk).tolist():
+            if c != now:
+                yield emit()
+                now, held = c, np.empty(0, np.int64)
+            held = np.union1d(held, gram[chunk[of] == c])
+    yield emit()
+
+
+def gains(grams: DataFrame) -> DataFrame:
+    """(gram, all_gain, train_gain): log-likelihood differences, accepted less rejected, of all URLs' models and of those without the held-out ones."""
+    level = [X.checkpoint(grams.select(F.col("gram").alias("key"), F.col("a").alias("n0"), F.col("r").alias("n1"), (F.col("a") + F.col("held_a")).alias("n2"), (F.col("r") + F.col("held_r")).alias("n3")))]
+    for k in range(ORDER - 1, -1, -1):  # a shorter context's counts are sums of the longer ones'
+        level.insert(0, X.checkpoint(level[0].groupBy(F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("key")).agg(*(F.sum(f"n{j}").alias(f"n{j}") for j in range(4)))))
+    out = None
+    for k, counts in enumerate(level):  # at most 256 rows have a context or a shorter n-gram in common
+        context = Window.partitionBy(F.shiftright("key", 8))
+        rows = counts.select("key", F.col("key").bitwiseAND((1 << 8 * k) - 1).alias("low"), *(F.col(f"n{j}") for j in range(4)), *(F.sum(f"n{j}").over(context).alias(f"m{j}") for j in range(4)))
+        rows = rows.withColumns({f"q{j}": F.lit(1 / 256) for j in range(4)}) if out is None else rows.join(out, "low")
+        out = rows.select(F.col("key").alias("low"), *(((F.col(f"n{j}") + PRIOR * F.col(f"q{j}")) / (F.col(f"m{j}") + PRIOR)).alias(f"q{j}") for j in range(4)))
+    return out.select(F.col("low").alias("gram"), (F.log("q2") - F.log("q3")).alias("all_gain"), (F.log("q0") - F.log("q1")).alias("train_gain"))
+
+
+def _scored(rows: pa.Table, answers: pa.Table) -> pa.Table:
+    """Mean gains of a character for each row of a chunk; 0 for an empty text."""
+    order = np.argsort(answers.column("gram").to_numpy())
+    known = answers.column("gram").to_numpy()[order]
+    gain = [answers.column(c).to_numpy()[order] for c in ("all_gain", "train_gain")]
+    found: list[list[np.ndarray]] = [[], []]
+    for b in rows.to_batches(max_chunksize=X.BATCH_ROWS):
+        gram, of = _grams(_texts(b))
+        at, n = np.searchsorted(known, gram), np.maximum(np.bincount(of, minlength=b.num_rows), 1)
+        for out, g in zip(found, gain, strict=True):
+            out.append(np.bincount(of, weights=g[at], minlength=b.num_rows) / n)
+    names = ["id", "host", "path", "rejected", "held_out"]
+    return pa.table([*(rows.column(c) for c in names), *(pa.array(np.concatenate(f) if f else np.empty(0)) for f in found)], names=[*names, "score", "train_score"])
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, id_col: str = "page_id", url_col: str = "url", rejected_words: tuple[str, ...] = REJECTED_WORDS, false_blocks: float = 0.01) -> DataFrame:
@@ -113,33 +152,19 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, id_col:
     X.prepare(spark)
     url = F.col(url_col).cast("string")
     parts = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    text = F.concat("host", "path")
     rejected = F.col("host").rlike("|".join(rejected_words)) if rejected_words else F.lit(False)
-    told = parts.filter(text != "").select(text.alias("text"), rejected.alias("rejected"), (F.pmod(F.xxhash64("host"), HELD_OUT) == 0).alias("held_out"))
-
-    def fitted(examples: DataFrame) -> np.ndarray:
-        counts = np.zeros(4 * _TABLE)
-        for r in examples.select("text", "rejected").mapInArrow(_count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
-            counts[r.slot] = r.n  # at most 4 * _TABLE rows
-        return counts
-
-    def scored(df: DataFrame, counts: np.ndarray) -> DataFrame:
-        model = spark.sparkContext.broadcast(counts)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                got = scores([(h + p).encode() for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)], model.value)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got)], names=[*b.schema.names, "score"])
-
-        return df.mapInArrow(run, schema)
-
-    schema = f"id {parts.schema['id'].dataType.simpleString()}, host string, path string, score double"
-    bins = F.floor((F.col("score") + RANGE) * (BINS / 2 / RANGE)).cast("int")
-    held = told.filter("held_out and not rejected").select(F.lit(None).cast(parts.schema["id"].dataType).alias("id"), F.col("text").alias("host"), F.lit("").alias("path"))
-    seen = dict(scored(held, fitted(told.filter("not held_out"))).groupBy(bins.alias("bin")).agg(F.count("*").alias("n")).collect())  # at most BINS rows
+    chunk = F.shiftright(F.monotonically_increasing_id(), CHUNK.bit_length() - 1)
+    parts = X.checkpoint(parts.select("*", rejected.alias("rejected"), (F.pmod(F.xxhash64("host"), HELD_OUT) == 0).alias("held_out"), chunk.alias("chunk")))
+    counted = parts.select("host", "path", "rejected", "held_out").mapInArrow(_count, "gram long, " + ", ".join(f"{c} long" for c in _CLASSES))
+    answers = gains(counted.groupBy("gram").agg(*(F.sum(c).alias(c) for c in _CLASSES)))
+    asked = parts.select("chunk", "host", "path").mapInArrow(_asked, "chunk long, gram long").join(answers, "gram")
+    schema = f"id {parts.schema['id'].dataType.simpleString()}, host string, path string, rejected boolean, held_out boolean, score double, train_score double"
+    scored = X.checkpoint(parts.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(_scored, schema))
+    told = scored.filter("host <> '' or path <> ''")
+    bins = F.floor((F.least(F.greatest("train_score", F.lit(-RANGE)), F.lit(RANGE)) + RANGE) * (BINS / 2 / RANGE)).cast("int")
+    seen = dict(told.filter("held_out and not rejected").groupBy(bins.alias("bin")).agg(F.count("*").alias("n")).collect())  # at most BINS rows
     limit = 0.0
-    counts = fitted(told)
-    if counts[2 * _TABLE :].any():
+    if not told.filter("rejected").isEmpty():
         allowed, gone = int(false_blocks * sum(seen.values())), 0
         for b in sorted(seen):
             gone += seen[b]
@@ -149,6 +174,6 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, id_col:
     else:
         limit = -np.inf
     rule = longest_rule(F.col("host"), F.col("path"), rules)
-    out = scored(parts, counts).withColumn("fit", rule)
+    out = scored.withColumn("fit", rule)
     own = F.when(F.col("score") < F.lit(float(limit)), "block").otherwise("allow")
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", own).alias("verdict"), "score")

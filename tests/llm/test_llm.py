@@ -225,6 +225,37 @@ def test_url_rules_and_models(spark, small):
     assert mine.filter("host like 'spam%' and verdict = 'block'").count() == 100 and mine.filter("host like 'news%' and verdict = 'allow'").count() >= 290
 
 
+def test_url_counts_are_exact_when_contexts_outnumber_any_table(spark):
+    rnd = random.Random(4)
+    pages = [(k, f"http://{'spam' if k % 5 == 0 else 'w'}{rnd.randrange(40)}.org/" + "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789é") for _ in range(40))) for k in range(4000)]
+    pages += [(None, "foo"), *pages[:2]]
+    texts = [u[7:].encode() if "://" in u else b"" for _, u in pages]
+    pair, alone = ({}, {}), ({}, {})
+    for t in texts:
+        c = b"spam" in t.split(b"/")[0]
+        for i in range(len(t)):
+            before = (b"\2" * 5 + t)[i : i + 5]
+            for k in range(6):
+                key = before[5 - k :]
+                alone[c][key] = alone[c].get(key, 0) + 1
+                pair[c][key, t[i]] = pair[c].get((key, t[i]), 0) + 1
+    assert sum(len(k[0]) == 5 for c in pair for k in c) > 2 * 65536
+
+    def brute_score(t):
+        total = 0.0
+        for i in range(len(t)):
+            before, p = (b"\2" * 5 + t)[i : i + 5], [1 / 256] * 2
+            for k in range(6):
+                key = before[5 - k :]
+                p = [(pair[c].get((key, t[i]), 0) + 2 * p[c]) / (alone[c].get(key, 0) + 2) for c in (0, 1)]
+            total += np.log(p[0]) - np.log(p[1])
+        return total / max(len(t), 1)
+
+    got = sorted((r.host + r.path, r.score) for r in urls.filter_urls(docs_of(spark, pages, "page_id long, url string"), []).collect())
+    want = sorted((t.decode(), brute_score(t)) for t in texts)
+    assert [t for t, _ in got] == [t for t, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], rtol=0, atol=1e-9)
+
+
 def test_quality_on_held_out_labels(spark):
     from tests.conftest import DATA
 
