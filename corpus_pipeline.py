@@ -4,8 +4,9 @@ Four stages, each a function of (spark, docs, sf_dir).  All but the last return
 the columns of ``documents``:
 
 1. quality: documents that the co-trained classifier rejects go.
-2. near_duplicates: of the documents that the n-gram Jaccard join links, the one
-   with the least id stays.
+2. near_duplicates: of the rows that the n-gram Jaccard join links, one stays: one
+   with the least id (nulls last), and of these by a hash of all columns.  Rows
+   that link with nothing stay, whatever other rows have their id.
 3. repeats: bytes of strings of 200 bytes that occur anywhere else are removed
    from the texts; a document of which nothing is left goes.
 4. packing: the documents are packed into sequences of 2048 tokens.
@@ -13,7 +14,7 @@ the columns of ``documents``:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from palimpsest.llm.cotraining import quality_scores
 from palimpsest.llm.jaccard import ngram_jaccard_join
@@ -27,9 +28,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_jaccard_join(docs, size=5, threshold=(75, 100))
-    gone = found.filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+    names = [F.xxhash64(F.lit(k), *(F.col(f"`{c}`") for c in docs.columns)).alias(f"_row{k}") for k in (0, 1)]
+    keyed = docs.select("*", *names)  # equal rows have equal names
+    rows = keyed.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row0", "_row1").alias("row"), "text")
+    found = ngram_jaccard_join(rows, id_col="row", size=5, threshold=(75, 100))
+    # rows without words link with nothing and stay
+    judged = found.filter("n_shingles > 0").groupBy("row").agg(F.count("*").alias("copies"), F.min(F.col("component_id") == F.col("row")).alias("stays"))
+    judged = judged.filter("copies > 1 or not stays").select("row._row0", "row._row1", "stays")
+    kept = keyed.join(judged, ["_row0", "_row1"], "left").filter("stays is null or stays")
+    among = F.row_number().over(Window.partitionBy("_row0", "_row1").orderBy("_row0"))
+    return kept.withColumn("_among", among).filter("stays is null or _among = 1").select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -286,3 +286,21 @@ def test_pipeline_stages(spark, small, tmp_path):
     cut = brute.repeats(sorted(second), 200)
     assert {i for i, _ in third} == {i for i, _ in second if cut[i][1] < cut[i][0] or cut[i][0] == 0}
     assert all(len(t.encode()) <= cut[i][0] - cut[i][1] for i, t in third) and last == {i for i, _ in third}
+
+
+def test_near_duplicates_judge_rows_and_keep_one_of_each_group(spark, small):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rnd = random.Random(9)
+
+    def prose(n=80):
+        return " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+    linked, own, again, pair, twin = prose(), prose(), prose(), prose(), prose()
+    rows = [(5, linked), (None, linked + " end"), (None, own), (2, again), (7, again + " end"), (7, pair), (9, twin), (9, twin), (None, twin[::-1]), (None, twin[::-1]), (11, None), (11, None), (12, "")]
+    docs = docs_of(spark, [(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA + ", lang string, source string, n_chars long")
+    one = pipeline.near_duplicates(spark, docs, small)
+    assert one.columns == docs.columns
+    want = [(5, linked), (None, own), (2, again), (7, pair), (9, twin), (None, twin[::-1]), (11, None), (11, None), (12, "")]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in one.collect()))) == sorted(map(repr, want))
+    left = {r.text for r in pipeline.repeats(spark, one, small).collect()}
+    assert {linked, own, again, pair, twin, twin[::-1]} <= left
