@@ -8,9 +8,13 @@ probability, and the other view learns from them.  In the end both views are
 calibrated on held-out labels and combined: their log-odds add up beyond the
 prior's.  Every document is scored.
 
-Models are fitted on the driver to at most ``max_labelled`` labelled and
-``max_unlabelled`` other documents, those with the least hash of their id; the
-labels are read in full.  Scoring is a map over all documents.
+Models start on the driver from at most ``max_labelled`` labelled documents, those
+with the least hash of their id; the labels are read in full.  Every unlabelled
+document takes part in each round: its features are computed once, and tasks sum
+the gradient over all that the other view is confident of, in whole numbers, so
+that the sums do not depend on the partitions.  A labelled document of the sample
+stands for all labelled ones, so the views weigh alike at every size.  Scoring is
+a map over all documents.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,8 @@ BITS = 14
 _SHAPES = [(re.compile(p), r) for p, r in ((r"[A-ZÀ-ÖØ-Þ]+", "A"), (r"[a-zß-öø-ÿ]+", "a"), (r"[0-9]+", "0"), (r"([^Aa0])\1+", r"\1\1"))]
 _SHAPE_OF: dict[str, int] = {}
 _LEVELS = 12
+#: Steps over all confident documents in a round, weight of a pseudo-label, and unit of the gradients' sums.
+STEPS, PSEUDO, UNIT = 10, 0.3, float(1 << 30)
 
 
 def _slot(name: str) -> int:
@@ -95,19 +101,36 @@ class Sparse:
         self.slot = np.array([k for r in rows for k in r], np.int64)
         self.value = np.array([v for r in rows for v in r.values()])
 
+    def packed(self) -> list[bytes]:
+        return [np.bincount(self.row, minlength=self.n).astype("<i4").tobytes(), self.slot.astype("<u2").tobytes(), self.value.astype("<f4").tobytes()]
+
+    @classmethod
+    def unpacked(cls, sizes: bytes, slots: bytes, values: bytes) -> Sparse:
+        out = cls([])
+        size = np.frombuffer(sizes, "<i4")
+        out.n, out.row = len(size), np.repeat(np.arange(len(size)), size)
+        out.slot, out.value = np.frombuffer(slots, "<u2").astype(np.int64), np.frombuffer(values, "<f4").astype(float)
+        return out
+
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=self.value * w[self.slot], minlength=self.n)
 
-    def fit(self, y: np.ndarray, weight: np.ndarray, *, steps: int = 150, ridge: float = 1e-4) -> np.ndarray:
-        """Weighted logistic regression by Adam on the full gradient."""
-        w, m, v = (np.zeros(1 << BITS) for _ in range(3))
-        total = max(weight.sum(), 1e-9)
-        for t in range(1, steps + 1):
-            error = (_sigmoid(self.dot(w)) - y) * weight / total
-            g = np.bincount(self.slot, weights=self.value * error[self.row], minlength=len(w)) + ridge * w
-            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        return w
+    def sums(self, error: np.ndarray) -> np.ndarray:
+        return np.bincount(self.slot, weights=self.value * error[self.row], minlength=1 << BITS)
+
+
+class Logistic:
+    """Logistic regression by Adam on the full gradient; later steps go on from the earlier ones."""
+
+    def __init__(self):
+        self.w, self.m, self.v = (np.zeros(1 << BITS) for _ in range(3))
+        self.t = 0
+
+    def step(self, gradient: np.ndarray, *, ridge: float = 1e-4) -> None:
+        g = gradient + ridge * self.w
+        self.t += 1
+        self.m, self.v = 0.9 * self.m + 0.1 * g, 0.99 * self.v + 0.01 * g * g
+        self.w = self.w - 0.1 * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -131,31 +154,51 @@ def calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(a), 0.0), float(b)
 
 
-def cotrain(views: list[list[dict]], labels: np.ndarray, *, rounds: int, confident: float, held: np.ndarray) -> tuple[list[np.ndarray], list[tuple[float, float]], float]:
-    """Weights and calibrations of both views, and the prior's log-odds.  labels: 1, 0 or -1 (none)."""
+def cotrain(views: list[list[dict]], labels: np.ndarray, gather: Callable, *, rounds: int, pseudo: float, held: np.ndarray) -> tuple[list[np.ndarray], list[tuple[float, float]], float]:
+    """Weights and calibrations of both views, and the prior's log-odds.
+
+    ``labels`` are 1 or 0.  ``gather(weights, fits, now)`` gives, for each view, the
+    sum of the gradient at ``now`` over the unlabelled documents of which the other
+    view is confident by ``weights`` and ``fits``, and their number.
+    """
     data = [Sparse(v) for v in views]
-    known, test = (labels >= 0) & ~held, (labels >= 0) & held
+    known = ~held
     prior = float(np.log((labels[known].sum() + 1) / ((labels[known] == 0).sum() + 1)))
-    target = [np.where(known, labels, 0).astype(float) for _ in data]
-    weight = [known.astype(float) for _ in data]
-    weights, fits = [], []
-    for r in range(rounds + 1):
-        weights = [d.fit(t, w) for d, t, w in zip(data, target, weight, strict=True)]
-        logits = [d.dot(w) for d, w in zip(data, weights, strict=True)]
-        check = test if test.any() and len(set(labels[test])) == 2 else known
-        fits = [calibrated(z[check], labels[check]) for z in logits]
-        if r == rounds:
-            break
-        for own in (0, 1):
-            a, b = fits[1 - own]
-            p = _sigmoid(a * logits[1 - own] + b)
-            sure = (labels < 0) & ((p >= confident) | (p <= 1 - confident))
-            target[own] = np.where(sure, p > 0.5, np.where(known, labels, 0)).astype(float)
-            weight[own] = known + 0.3 * sure
-    return weights, fits, prior
+    check = held if len(set(labels[held])) == 2 else known
+    models = [Logistic() for _ in data]
 
+    def own(k: int) -> np.ndarray:
+        return data[k].sums((_sigmoid(data[k].dot(models[k].w)) - labels) * known)
 
-def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", metadata: tuple[str, ...] = ("lang", "source", "n_chars"), max_labelled: int = 12_000, max_unlabelled: int = 8_000, rounds: int = 3, confident: float = 0.97, threshold: float = 0.5) -> DataFrame:
+    for _ in range(150):
+        for k, model in enumerate(models):
+            model.step(own(k) / max(known.sum(), 1))
+    for r in range(rounds + 1):
+        weights = [model.w for model in models]
+        fits = [calibrated(d.dot(w)[check], labels[check]) for d, w in zip(data, weights, strict=True)]
+        if r == rounds:
+            return weights, fits, prior
+        for _ in range(STEPS):
+            others = gather(weights, fits, [model.w for model in models])
+            for k, (model, (sums, n)) in enumerate(zip(models, others, strict=True)):
+                model.step((own(k) + pseudo * sums) / (known.sum() + pseudo * n))
+
+
+def confident_sums(views: list[Sparse], weights: list[np.ndarray], fits: list[tuple[float, float]], now: list[np.ndarray], confident: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each view: the gradient summed over the rows of which the other view is confident, in units, and their number."""
+    total, n = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
+    for own in (0, 1):
+        a, b = fits[1 - own]
+        p = _sigmoid(a * views[1 - own].dot(weights[1 - own]) + b)
+        sure = (p >= confident) | (p <= 1 - confident)
+        error = (_sigmoid(views[own].dot(now[own])) - (p > 0.5)) * sure
+        each = np.rint(views[own].value * error[views[own].row] * UNIT)
+        total[own] = np.bincount(views[own].slot, weights=each, minlength=1 << BITS).astype(np.int64)
+        n[own] = sure.sum()
+    return total, n
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", metadata: tuple[str, ...] = ("lang", "source", "n_chars"), max_labelled: int = 12_000, rounds: int = 3, confident: float = 0.97, threshold: float = 0.5) -> DataFrame:
     """Every column of ``docs`` with ``quality_score`` (0 to 1), ``quality_text``, ``quality_metadata`` and ``keep``.
 
     ``labels`` holds (id_col, label_col); several labels of an id count by majority,
@@ -171,10 +214,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     metadata = tuple(c for c in metadata if c in docs.columns and c not in (id_col, text_col))
     told = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).dropna().groupBy("id").agg(F.avg("y").alias("y")).filter("y <> 0.5").select("id", (F.col("y") > 0.5).cast("int").alias("y"))
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(_plain(c) for c in metadata))
-    joined = slim.join(told, "id", "left").withColumn("y", F.coalesce("y", F.lit(-1))).withColumn("pick", F.xxhash64(F.lit("sample"), "id"))
-    ids = joined.select("id", "y", "pick")
-    sample = ids.filter("y >= 0").orderBy("pick", "id").limit(max_labelled).union(ids.filter("y < 0").orderBy("pick", "id").limit(max_unlabelled)).dropDuplicates(["id"])
-    chosen = slim.join(F.broadcast(sample), "id")  # at most max_labelled + max_unlabelled ids
+    ids = slim.select("id").join(told, "id").withColumn("pick", F.xxhash64(F.lit("sample"), "id"))
+    sample = ids.orderBy("pick", "id").limit(max_labelled).dropDuplicates(["id"])
+    chosen = slim.join(F.broadcast(sample), "id")  # at most max_labelled ids
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,9 +227,38 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     views = [[dict(zip(*np.frombuffer(r[k], "<f8").reshape(2, -1), strict=True)) for r in rows] for k in (2, 3)]
     y = np.array([r[0] for r in rows], np.int64)
     model = None
-    if len(set(y[y >= 0])) == 2:
+    if len(set(y)) == 2:
+        parts = [f"{view}{k}" for view in "ab" for k in range(3)]
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for v in _features(b, metadata) for x in Sparse(v).packed()], names=parts)
+
+        # a merge join at every size: the labels grow with the input, so they are not broadcast
+        rest = X.checkpoint(slim.join(told.hint("merge"), "id", "left_anti").mapInArrow(pack, ", ".join(f"{c} binary" for c in parts)))
+
+        def gather(weights: list[np.ndarray], fits: list[tuple[float, float]], now: list[np.ndarray]) -> list[tuple[np.ndarray, int]]:
+            given = spark.sparkContext.broadcast((weights, fits, now))
+
+            def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total, n = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
+                for b in batches:
+                    for row in zip(*(b.column(c).to_pylist() for c in parts), strict=True):
+                        got = confident_sums([Sparse.unpacked(*row[:3]), Sparse.unpacked(*row[3:])], *given.value, confident)
+                        total, n = total + got[0], n + got[1]
+                flat = np.concatenate((total.ravel(), n))
+                at = np.nonzero(flat)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], names=["k", "n"])
+
+            flat = np.zeros((2 << BITS) + 2)
+            for k, n in rest.mapInArrow(add, "k int, n long").groupBy("k").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n")).collect():  # at most 2 models' slots
+                flat[k] = float(n)
+            given.unpersist()
+            return [(flat[k << BITS : (k + 1) << BITS] / UNIT, flat[(2 << BITS) + k]) for k in (0, 1)]
+
         held = np.arange(len(y)) % 4 == 0
-        model = spark.sparkContext.broadcast(cotrain(views, y, rounds=rounds, confident=confident, held=held))
+        pseudo = PSEUDO * len(y) / max(ids.count(), 1)
+        model = spark.sparkContext.broadcast(cotrain(views, y, gather, rounds=rounds, pseudo=pseudo, held=held))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     wanted = docs.withColumn("_q_text", F.col(text_col).cast("string")).withColumns({f"_q_{k}": _plain(c) for k, c in enumerate(metadata)})
 
@@ -197,7 +268,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
             own = pa.RecordBatch.from_arrays(b.columns[n:], names=["text", *metadata])
             if model is None:
                 p = [np.full(b.num_rows, np.nan)] * 2
-                s = np.full(b.num_rows, (y[y >= 0].mean() if (y >= 0).any() else 1.0))
+                s = np.full(b.num_rows, (y.mean() if len(y) else 1.0))
                 keep = np.ones(b.num_rows, bool)
             else:
                 weights, fits, prior = model.value

@@ -304,3 +304,25 @@ def test_near_duplicates_judge_rows_and_keep_one_of_each_group(spark, small):
     assert sorted(map(repr, ((r.doc_id, r.text) for r in one.collect()))) == sorted(map(repr, want))
     left = {r.text for r in pipeline.repeats(spark, one, small).collect()}
     assert {linked, own, again, pair, twin, twin[::-1]} <= left
+
+
+def test_every_unlabelled_document_takes_part_in_cotraining(spark, monkeypatch):
+    from palimpsest.llm import cotraining
+
+    seen = []
+    original = cotraining.cotrain
+
+    def spy(views, labels, gather, **given):
+        def counted(weights, fits, now):
+            out = gather(weights, [(0.0, 50.0)] * 2, now)  # a view that is sure of everything
+            seen.append([n for _, n in out])
+            return out
+
+        return original(views, labels, counted, **given)
+
+    monkeypatch.setattr(cotraining, "cotrain", spy)
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    labels = spark.range(60).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"))
+    scored = quality_scores(docs.unionByName(docs_of(spark, [(None, "x")])), labels, metadata=(), rounds=1)
+    assert scored.count() == 9001
+    assert seen and all(n == [8941, 8941] for n in seen)
