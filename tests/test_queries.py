@@ -46,3 +46,9 @@ def test_anchors_of_intervals(spark):
     segs = work.segments(spark, sf)
     assert segs.count() == 9147
     assert segs.filter("end_us > start_us").count() == 784
+
+
+def test_human_sizes_keeps_documents_of_a_mebibyte_and_more(spark, tmp_path):
+    spark.createDataFrame([(1, "x" * 1536), (2, "x" * (3 << 19))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r["size"] for r in content.human_sizes(spark, str(tmp_path)).collect()}
+    assert got == {1: "1.5 KiB", 2: "1.5 MiB"}
