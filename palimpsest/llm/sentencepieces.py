@@ -18,6 +18,7 @@ the model has no byte fallback.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,6 +32,8 @@ from . import exchange as X
 MARK = "▁"
 #: Words whose ids a task remembers.
 WORDS = 500_000
+#: Bytes of text whose words are sorted together.
+GATHER = 8 << 20
 #: A worker's encoders: what one task learns serves the next.
 _encoders: dict[str, Encoder] = {}
 _UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -58,75 +61,123 @@ class Model:
         self.score = {p.piece: p.score for p in m.pieces if p.type in (_NORMAL, _USER)}
         self.unknown = next(k for k, p in enumerate(m.pieces) if p.type == _UNKNOWN)
         self.bytes = {int(p.piece[3:5], 16): k for k, p in enumerate(m.pieces) if p.type == _BYTE}
-        self.longest = max(map(len, self.id))
         self.inner_mark = any(MARK in p.lstrip(MARK) for p in self.id)
         self.unknown_score = min(self.score.values(), default=0.0) - 10.0
         self.raw = [bytes([int(p.piece[3:5], 16)]) if p.type == _BYTE else p.piece.replace(MARK, " ").encode() if p.type in (_NORMAL, _USER) else b" \xe2\x81\x87 " if p.type == _UNKNOWN else b"" for p in m.pieces]
+        self.id4 = {p: k.to_bytes(4, "little") for p, k in self.id.items()}
+        self.table = pa.array(self.raw, pa.large_binary())
+        self.edges: dict[str, list[tuple]] = {}
         self._apart: dict[tuple[str, str], bool] = {}
-        self._self: dict[str, bool] = {}
-
-    def merged(self, word: str) -> list[str]:
-        """Plain BPE: join the best-scored, then leftmost, neighbours until none has a piece."""
-        parts = list(word)
+        self.trie: dict = {}  # by character: its children, and the piece that ends there
+        for p in sorted(self.id):  # a piece's prefixes that are pieces come first
+            if self.bpe:
+                self.edges[p] = self.merging(p)
+            if len(p) > 1 and (not self.bpe or self.edges[p][-1][1] == p):
+                node = self.trie
+                for c in p[:-1]:
+                    node = node.setdefault(c, ({}, None))[0]
+                node[p[-1]] = ({}, p)
+
+    def merging(self, word: str) -> list[tuple]:
+        """Plain BPE: join the best-scored, then leftmost, neighbours until none has a piece.
+
+        Returns, before each join and at the end, the score of what is joined next
+        (at the end minus infinity) and the first and the last part.
+        """
+        parts, out = list(word), []
         while True:
             found = [(self.score[p], -k) for k in range(len(parts) - 1) if (p := parts[k] + parts[k + 1]) in self.score]
             if not found:
-                return parts
-            k = -max(found)[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-
-    def _whole(self, piece: str) -> bool:
-        known = self._self.get(piece)
-        if known is None:
-            known = self._self[piece] = len(self.merged(piece)) == 1
-        return known
+                return [*out, (-np.inf, parts[0], parts[-1])]
+            top, k = max(found)
+            out.append((top, parts[0], parts[-1]))
+            parts[-k : 2 - k] = [parts[-k] + parts[1 - k]]
 
     def _stays(self, left: str, right: str) -> bool:
-        known = self._apart.get((left, right))
-        if known is None:
-            if len(self._apart) > 2_000_000:
-                self._apart.clear()
-            known = self._apart[left, right] = self.merged(left + right) == [left, right]
+        """Whether two parts stay apart: no join across their border comes before both have merged."""
+        if len(self._apart) > 2_000_000:
+            self._apart.clear()
+        alone = -np.inf
+        lefts, rights = self.edges.get(left, [(alone, left, left)]), self.edges.get(right, [(alone, right, right)])
+        i = j = 0
+        while True:
+            a, _, tail = lefts[i]
+            b, head, _ = rights[j]
+            across = self.score.get(tail + head, alone)
+            if across > a and across >= b:
+                break
+            if a == b == alone:
+                break
+            if a >= b:
+                i += 1
+            else:
+                j += 1
+        known = self._apart[left, right] = across == alone
         return known
 
     def segment(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
         """Sorted distinct words with their pieces."""
         before = ""
-        last, best = [""], [0.0]  # by prefix length: the last piece, and the sum of scores
-        known, score, longest = self.id, self.score, self.longest
+        last = [""]  # by prefix length: the last piece
+        best = [0.0]  # by prefix length: the sum of scores, for unigram models
+        live: list[list[tuple]] = [[(0, self.trie)]]  # by prefix length: where pieces that may still grow begin, the longest first
+        extend = self._extend_merged if self.bpe else self._extend_best
         for word in words:
-            n, common = len(word), 0
-            for common, (a, b) in enumerate(zip(word, before, strict=False)):
-                if a != b:
-                    break
-            else:
-                common = min(n, len(before))
-            del last[common + 1 :], best[common + 1 :]
-            for j in range(common + 1, n + 1):
-                if self.bpe:
-                    chosen = word[j - 1 : j]
-                    for i in range(max(0, j - longest), j):
-                        piece = word[i:j]
-                        if (j - i == 1 or (piece in known and self._whole(piece))) and (i == 0 or self._stays(last[i], piece)):
-                            chosen = piece
-                            break
-                    last.append(chosen)
-                    best.append(0.0)
-                else:
-                    top, chosen = best[j - 1] + self.unknown_score, word[j - 1]
-                    for i in range(max(0, j - longest), j):
-                        piece = word[i:j]
-                        if piece in known and best[i] + score[piece] > top:
-                            top, chosen = best[i] + score[piece], piece
-                    last.append(chosen)
-                    best.append(top)
-            out, j = [], n
+            common, most = 0, min(len(word), len(before))
+            while common < most and word[common] == before[common]:
+                common += 1
+            del last[common + 1 :], best[common + 1 :], live[common + 1 :]
+            extend(word, common, last, best, live)
+            out, j = [], len(word)
             while j:
                 out.append(last[j])
                 j -= len(last[j])
-            yield word, out[::-1]
+            out.reverse()
+            yield word, out
             before = word
 
+    def _extend_merged(self, word: str, start: int, last: list, best: list, live: list) -> None:
+        trie, apart = self.trie, self._apart
+        for j in range(start, len(word)):
+            c, chosen, grown = word[j], None, []
+            for i, kids in live[j]:
+                found = kids.get(c)
+                if found is not None:
+                    kids, piece = found
+                    if kids:
+                        grown.append((i, kids))
+                    if chosen is None and piece is not None:
+                        if i:
+                            stays = apart.get((last[i], piece))
+                            if stays or (stays is None and self._stays(last[i], piece)):
+                                chosen = piece
+                        else:
+                            chosen = piece
+            grown.append((j + 1, trie))
+            live.append(grown)
+            last.append(chosen or c)
+
+    def _extend_best(self, word: str, start: int, last: list, best: list, live: list) -> None:
+        score = self.score
+        for j in range(start, len(word)):
+            c, grown = word[j], []
+            chosen, top = c, best[j] + score.get(c, self.unknown_score)
+            longer = None
+            for i, kids in live[j]:
+                found = kids.get(c)
+                if found is not None:
+                    kids, piece = found
+                    if kids:
+                        grown.append((i, kids))
+                    if piece is not None and (longer is None or best[i] + score[piece] > longer[0]):
+                        longer = (best[i] + score[piece], piece)
+            if longer and longer[0] >= top:  # of equal sums the longer last piece
+                top, chosen = longer
+            grown.append((j + 1, self.trie))
+            live.append(grown)
+            last.append(chosen)
+            best.append(top)
+
     def ids(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
         for p in pieces:
@@ -140,15 +191,37 @@ class Model:
         return out
 
     def units(self, text: str) -> list[str]:
+        """Marked words; of texts whose words stand between single spaces, the words without their marks."""
         if not text:
             return []
+        if self.prefix and not self.inner_mark and text[0] != " " and text[-1] != " " and "  " not in text and MARK not in text:
+            return text.split(" ")
         marked = (MARK if self.prefix else "") + text.replace(" ", MARK)
         return [marked] if self.inner_mark else _UNITS.findall(marked)
 
+    def marked(self, unit: str) -> str:
+        return MARK + unit if self.prefix and not unit.startswith(MARK) else unit
+
+    def packed(self, pieces: list[str]) -> bytes:
+        """Ids as little-endian uint32."""
+        try:
+            return b"".join([self.id4[p] for p in pieces])
+        except KeyError:
+            return np.array(self.ids(pieces), "<u4").tobytes()
+
     def decode(self, ids: Iterator[int]) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
+    def round_trips(self, ids: list[np.ndarray], texts: list[str]) -> list[bool]:
+        """Whether the ids of each text decode to it; all ids of a batch are looked up at once."""
+        found = self.table.take(pa.array(np.concatenate(ids) if ids else np.empty(0, np.uint32)))
+        at = np.frombuffer(found.buffers()[1], np.int64)[: len(found) + 1] if len(found) else np.zeros(1, np.int64)
+        data = memoryview(found.buffers()[2]).cast("B") if len(found) and at[-1] else memoryview(b"")
+        ends = at[np.cumsum([0, *map(len, ids)])].tolist()
+        lead = b" " if self.prefix else b""
+        return [data[a:b] == lead + t.encode() if t else a == b for a, b, t in zip(ends[:-1], ends[1:], texts, strict=True)]
+
 
 class Encoder:
     """Texts to little-endian uint32 ids, a batch at a time."""
@@ -157,22 +230,37 @@ class Encoder:
         self.model, self.known = model, {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        units = [self.model.units(t) for t in texts]
-        fresh = sorted({u for x in units for u in x if u not in self.known})
-        if len(self.known) + len(fresh) > WORDS:
-            self.known.clear()
-            fresh = sorted({u for x in units for u in x})
-        for word, pieces in self.model.segment(fresh):
-            self.known[word] = np.array(self.model.ids(pieces), "<u4").tobytes()
-        return [b"".join([self.known[u] for u in x]) for x in units]
+        model, known = self.model, self.known
+        units = [model.units(t) for t in texts]
+        if len(known) > WORDS:
+            known.clear()
+        found = [list(map(known.get, x)) for x in units]
+        fresh = {u for x, v in zip(units, found, strict=True) if None in v for u, ids in zip(x, v, strict=True) if ids is None}
+        marked = {u: model.marked(u) for u in fresh}
+        packed = {word: model.packed(pieces) for word, pieces in model.segment(sorted(set(marked.values())))}
+        known.update((u, packed[w]) for u, w in marked.items())
+        return [b"".join(v if None not in v else map(known.__getitem__, x)) for x, v in zip(units, found, strict=True)]
 
 
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(Model(path))
+        gc.freeze()  # the model's many small objects stay: no collection need visit them
     return _encoders[path]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to GATHER bytes or a little more: the more words are sorted at once, the more prefixes they share."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= GATHER:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def sentencepiece_encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(id_col, n_ids, ids_crc32, round_trip) of each text and, ``with_ids``, ``ids``.
 
@@ -186,11 +274,11 @@ def sentencepiece_encode(docs: DataFrame, model: str, *, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(model)
         m = encode.model
-        for b in batches:
+        for b in _gathered(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
             got = encode(texts)
             arrays = [np.frombuffer(x, "<u4") for x in got]
-            columns = [b.column("id"), pa.array([len(a) for a in arrays], pa.int64()), pa.array([zlib.crc32(x) for x in got], pa.int64()), pa.array([m.decode(a.tolist()) == t for a, t in zip(arrays, texts, strict=True)])]
+            columns = [b.column("id"), pa.array([len(a) for a in arrays], pa.int64()), pa.array([zlib.crc32(x) for x in got], pa.int64()), pa.array(m.round_trips(arrays, texts), pa.bool_())]
             names = ["id", "n_ids", "ids_crc32", "round_trip"]
             if with_ids:
                 columns.append(pa.array([a.astype(np.int32) for a in arrays], pa.list_(pa.int32())))
