@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -204,7 +205,7 @@ def test_packing(spark, corpus):
 
 def test_html_lines_and_differencing(spark, small):
     page = '<html><head><title>t</title></head><body><nav>menu</nav><header>top</header><article><h1>T&amp;amp;</h1><p>a <b>b</b>&nbsp;c<p>d<br>e<div class="comments">no</div><script>x<y</script><ul><li>i<li>j</ul></article><div class="ad">ad</div><!-- c --><footer>f</footer>'
-    assert H.lines_of(page) == (["T&amp;", "a b c", "d e", "i", "j"], [])
+    assert H.lines_of(page) == [(x, H.ARTICLE_LINE) for x in ("T&amp;", "a b c", "d e", "i", "j")]
     assert H.shared_lines(list("abcbdab"), list("bdcaba")) == [3, 4, 5, 6]
     pages = [(k, f"http://h.com/x/{k}", f"<body><div>Shared template</div><p>own text number {k} that is long enough</p><div>Bottom line</div></body>") for k in range(9)]
     pages += [(20, None, None), (21, "nonsense", "<p>alone"), (22, "http://other.com/", "")]
@@ -326,3 +327,96 @@ def test_every_unlabelled_document_takes_part_in_cotraining(spark, monkeypatch):
     scored = quality_scores(docs.unionByName(docs_of(spark, [(None, "x")])), labels, metadata=(), rounds=1)
     assert scored.count() == 9001
     assert seen and all(n == [8941, 8941] for n in seen)
+
+
+def test_html_of_odd_pages():
+    def text(page):
+        return "\n".join(H.main_lines(H.lines_of(page)))
+
+    assert text("<body><form id=f><div class=menu>m</div><article><p>story</p></article><input><button>go</button></form>") == "story"
+    assert text("<body><form><p>only this</p><button>go</button></form>") == "only this"
+    assert text("<article><p class='side-effects'>a</p><div class=search-results>b</div><p class=share-price>c</p><div class='ad-slot-1'>x</div><div class=shareButtons>y</div><form>z</form></article>") == "a\nb\nc"
+    assert text("<article><a href=/>Teaser</a></article><div><p>" + "story " * 20 + "</p></div>") == "Teaser\n" + " ".join(["story"] * 20)
+    assert text("<article><p>" + "story " * 20 + "</p></article><div><p>Posted by N</p></div>") == " ".join(["story"] * 20)
+    assert text("<article><script src=https://a.b/c/>var leak=1;</script>x<svg><path d=1><p>after</p></article>") == "x\nafter"
+    assert text("<article>a<svg viewBox='0'/>b<!-->c<![CDATA[d]]>e < f &lt;p&gt;</article>") == "abce < f <p>"
+    assert text("<article><a title='x > y'>link</a> <img alt=\"a>b\">t<p>it's<p>end") == "link t\nit's\nend"
+    assert text("") == text("<!-- no end") == text("<script>only") == ""
+    for piece in ("<a \"", "<a =\"", "<a ='x", "<![CDATA[", "<!--", "<p", "<svg>", "<div><p><form>", "</p>", "&", "<li><ul>"):
+        began = time.perf_counter()
+        text(piece * (300_000 // len(piece)))
+        assert time.perf_counter() - began < 20, piece
+
+
+def test_alignment_is_longest_and_bounded():
+    rnd = random.Random(7)
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    for _ in range(200):
+        a, b = ([rnd.randrange(4) for _ in range(rnd.randrange(12))] for _ in range(2))
+        got = H.shared_lines(a, b)
+        at = iter(b)
+        assert len(got) == longest(a, b) and got == sorted(set(got)) and all(any(y == a[k] for y in at) for k in got)
+    assert len(H.shared_lines([1] * 20_000, [1] * 15_000)) == 15_000
+
+
+def test_differencing_against_brute_force(spark):
+    """Pages without an article element, with copies: the neighbour by path decides, and of copies the other one."""
+    rnd = random.Random(11)
+    pages = []
+    for host in ("a.com", "b.org"):
+        menu = [f"{host} menu {k}" for k in range(3)]
+        for k in range(30):
+            own = [" ".join(rnd.choice(("red", "green", "blue", "grey")) + str(rnd.randrange(1000)) for _ in range(12)) for _ in range(4)]
+            if k % 7 == 3:
+                own = [*pages[-1][2][3:-1][:3], own[3]]  # a near copy
+            if k % 7 == 5:
+                own = pages[-1][2][3:-1]  # a copy
+            pages.append((len(pages), f"http://{host}/s{k // 10}/p{k:02}", [*menu, *own, f"{host} bottom"]))
+    pages += [(900, "http://A.com/s0/p00", pages[0][2]), (901, None, ["alone"]), (901, None, ["alone"])]
+    table = docs_of(spark, [(i, u, "<body>" + "".join(f"<div>{x}</div>" for x in ls)) for i, u, ls in pages], "page_id long, url string, html string")
+    faces = {}
+    for _, u, ls in pages:
+        if u:
+            host, _, path = u[7:].partition("/")
+            key = (host.lower(), tuple(ls))
+            faces[key] = min(faces.get(key, "/" + path), "/" + path)
+    want = []
+    for i, u, ls in pages:
+        gone = set()
+        if u:
+            host = u[7:].partition("/")[0].lower()
+            chain = sorted((p, f) for (h, f), p in faces.items() if h == host)
+            at = [f for _, f in chain].index(tuple(ls))
+            near = [chain[k] for k in (at - 1, at + 1) if 0 <= k < len(chain)]
+            near.sort(key=lambda x: (-len(os.path.commonprefix([x[0], chain[at][0]])), x[0]))
+            for _, other in near:
+                shared = H.shared_lines(ls, list(other))
+                if 2 * sum(len(ls[k]) for k in shared) <= sum(map(len, ls)):
+                    gone = set(shared)
+                    break
+        want.append((i, "\n".join(x for k, x in enumerate(ls) if k not in gone)))
+    got = [(r.page_id, r.text) for r in H.extract_main_text(table).collect()]
+    assert sorted(got) == sorted(want)
+    assert sum("menu" not in t for _, t in got) > 40
+
+
+def test_html_of_the_table_equals_its_article_element(spark, small):
+    import html as std
+    import re
+
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    got = {r.page_id: r.text for r in H.extract_main_text(pages).collect()}
+    for r in pages.collect():
+        body = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        blocks = re.split(r"</?(?:p|h1)[^>]*>", body)
+        lines = [" ".join(std.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", x))).split()) for x in blocks]
+        assert got[r.page_id] == "\n".join(x for x in lines if x)
