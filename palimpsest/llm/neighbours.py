@@ -50,7 +50,7 @@ def rotated(x: np.ndarray, table: int, seed: int) -> np.ndarray:
 
 
 def usable(batch: pa.RecordBatch, name: str, kind: type) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers and vectors by length: those without nulls and with a positive, finite norm."""
+    """Row numbers and scaled vectors by length: those that are not zero and hold finite components only."""
     lists = batch.column(name)
     flat, at = lists.flatten(), np.asarray(lists.offsets)
     null = np.asarray(lists.is_null())
@@ -60,11 +60,11 @@ def usable(batch: pa.RecordBatch, name: str, kind: type) -> Iterator[tuple[np.nd
     for d in np.unique(size[size > 0]):
         rows = np.nonzero(size == d)[0]
         x = values[base[rows][:, None] + np.arange(d)]
-        with np.errstate(all="ignore"):
-            norm = np.sqrt((x * x).sum(axis=1))
-        ok = np.isfinite(norm) & (norm > 0)
+        most = np.abs(x).max(axis=1)
+        ok = np.isfinite(x).all(axis=1) & (most > 0)
         if ok.any():
-            yield rows[ok], x[ok].astype(kind)
+            # scaled by a power of two, which changes no digit of a cosine, so that no square is lost
+            yield rows[ok], np.ldexp(x[ok], -np.frexp(most[ok])[1][:, None]).astype(kind)
 
 
 def _index(tables: int, probes: int, seed: int, kind: type, query: bool):
@@ -94,13 +94,21 @@ def _rank(k: int, kind: type):
         qs = np.stack([np.frombuffer(x, kind) for x in q]).astype(float)
         qn = np.sqrt((qs * qs).sum(axis=1))
         rough = (qs @ v.T) / (qn[:, None] * norm[None, :])
+        own = np.nonzero(np.concatenate(([True], ids[1:] != ids[:-1])))[0]  # ids are sorted; repeated ones count once
+        rows = np.diff(np.concatenate((own, [len(ids)])))
         for i, one in enumerate(qid):
             s = np.where(ids == one, -np.inf, rough[i])
-            top = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
-            near = np.nonzero((s >= top - _CLOSE) & (s > -np.inf))[0]
+            each = np.maximum.reduceat(s, own)
+            top = np.partition(each, len(each) - k)[len(each) - k] if len(each) > k else -np.inf
+            near = np.nonzero((s >= top - _CLOSE) & (s > -np.inf) & np.repeat(each >= top - _CLOSE, rows))[0]
             exact = (v[near] * qs[i]).sum(axis=1) / (qn[i] * norm[near])
-            for j in np.lexsort((ids[near], -exact))[:k]:
-                yield one, int(ids[near[j]]), float(exact[j])
+            found: dict[int, float] = {}
+            for j in np.lexsort((ids[near], -exact)):
+                if len(found) == k and int(ids[near[j]]) not in found:
+                    break
+                found.setdefault(int(ids[near[j]]), float(exact[j]))
+            for other, score in found.items():
+                yield one, other, score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, mat = None, [], None
@@ -121,6 +129,7 @@ def _rank(k: int, kind: type):
                     held.append((i, v))
                 elif held or mat is not None:
                     if mat is None:
+                        held.sort()
                         m = np.stack([np.frombuffer(x, kind) for _, x in held]).astype(float)
                         mat, held = (np.array([x for x, _ in held], np.int64), m, np.sqrt((m * m).sum(axis=1))), []
                     asked.append((i, v))
@@ -155,7 +164,7 @@ def cross_polytope_search(rows: DataFrame, queries: DataFrame, *, id_col: str =
 
     def search(index: DataFrame, asked: DataFrame) -> DataFrame:
         one = F.coalesce("parts", F.lit(1))
-        left = index.join(F.broadcast(full), cell, "left").withColumn("salt", F.pmod(F.xxhash64("id"), one).cast("int")).withColumn("query", F.lit(0))
+        left = index.join(F.broadcast(full), cell, "left").withColumn("salt", F.pmod(F.xxhash64("id", "v"), one).cast("int")).withColumn("query", F.lit(0))
         right = asked.join(F.broadcast(full), cell, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), one - 1))).withColumn("query", F.lit(1))
         both = left.select(*cell, "salt", "query", "id", "v").unionByName(right.select(*cell, "salt", "query", "id", "v"))
         dealt = both.repartition(X.partitions(spark), *cell, "salt").sortWithinPartitions(*cell, "salt", "query")
