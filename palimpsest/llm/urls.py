@@ -27,8 +27,8 @@ from . import exchange as X
 ORDER = 5
 #: Weight of the shorter context, in characters.
 PRIOR = 2.0
-#: Words in host names that mark rejected examples.
-REJECTED_WORDS = ("adult", "bets", "casino", "cheap", "click", "dating", "escort", "farm", "free", "gambl", "loan", "lottery", "pills", "poker", "porn", "replica", "sex", "spam", "viagra", "warez", "xxx")
+#: Patterns of words in host names that mark rejected examples.
+REJECTED_WORDS = (r"\bads?\b", r"\btrack(?:er|ing)?\b", "adult", "bets", "casino", "cheap", "click", "dating", "escort", "farm", "free", "gambl", "loan", "lottery", "pills", "poker", "porn", "replica", "sex", "spam", "viagra", "warez", "xxx")
 #: Scores are cut to +-RANGE and counted in BINS for calibration.
 RANGE, BINS = 16.0, 1 << 14
 HELD_OUT = 5
