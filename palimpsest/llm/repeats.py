@@ -129,6 +129,8 @@ def _suffixes(data: bytes, threshold: int) -> tuple | None:
 #: first in 48 bits is confirmed by longer names or by windows.
 _WIDTH, _FULL = 6, 7
 _AUX7 = np.dtype([("low", "<u4"), ("high", "<u2"), ("first", "<u4")])
+#: Positions that one range holds; longer ranges are dealt as several.
+LONGEST = 1 << 23
 #: What a round says of a suffix: name its windows for others or itself; its windows are settled as repeated.
 _NAME, _SETTLED = 1, 2
 
@@ -163,12 +165,16 @@ def _judge_windows(ids: np.ndarray, keys: np.ndarray, aux: np.ndarray, _: object
     ids, at = ids[pick], aux[pick].astype(np.int64)
     order = np.lexsort((at, ids))
     ids, at = ids[order], at[order]
-    cut = np.nonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (at[1:] > at[:-1] + 1)))[: len(ids)])[0]
+    new = np.concatenate(([True], (ids[1:] != ids[:-1]) | (at[1:] > at[:-1] + 1)))[: len(ids)]
+    place = np.arange(len(ids))
+    new |= (place - np.maximum.accumulate(np.where(new, place, 0))) % LONGEST == 0
+    cut = np.nonzero(new)[0]
     length = at[np.concatenate((cut[1:], [len(ids)])) - 1] - at[cut] + 1 if len(cut) else at
     return ids[cut], _ranges(at[cut], length), None, None
 
 
 def _ranges(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """First position, and below it 24 bits of length, which is at most LONGEST."""
     return first.astype(np.uint64) << np.uint64(24) | length.astype(np.uint64)
 
 
