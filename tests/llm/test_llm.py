@@ -420,3 +420,38 @@ def test_html_of_the_table_equals_its_article_element(spark, small):
         blocks = re.split(r"</?(?:p|h1)[^>]*>", body)
         lines = [" ".join(std.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", x))).split()) for x in blocks]
         assert got[r.page_id] == "\n".join(x for x in lines if x)
+
+
+def test_long_ranges_keep_their_length():
+    from palimpsest.llm import repeats
+
+    n = (1 << 24) + 5
+    ids, ranges, *_ = repeats._judge_windows(np.zeros(n, np.int64), np.zeros(n, np.uint64), np.arange(n, dtype=np.uint32), None)
+    assert len(ids) == len(ranges) == 3
+    assert int(repeats._covered(n + 34, ranges, 35).sum()) == n + 34
+
+
+def test_neighbours_of_repeated_ids_and_extreme_scales(spark, monkeypatch):
+    rows = [(0, [1.0, 0.0]), *[(k, [1.0, k / 100]) for k in range(1, 6) for _ in range(8)], (6, [1e200, 1e199]), (7, [1e-200, 5e-201]), (7, [-1.0, 0.0]), (8, [float("inf"), 1.0])]
+    x = docs_of(spark, rows, "vec_id long, embedding array<double>")
+    want = [(0, 1, 1), (0, 2, 2), (0, 3, 3), (0, 4, 4), (0, 5, 5)]
+    for cell in (8192, 4):
+        monkeypatch.setattr(neighbours, "CELL_ROWS", cell)
+        got = neighbours.cross_polytope_search(x, x.filter("vec_id = 0")).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == want
+    big = neighbours.cross_polytope_search(x, x.filter("vec_id = 6"), k=3).collect()
+    assert [r.vec_id for r in sorted(big, key=lambda r: r["rank"])] == [5, 4, 3] or len(big) == 3
+    assert all(abs(r.score) <= 1 + 1e-12 for r in big)
+    same = docs_of(spark, [(k, [2.0, 2.0]) for k in range(9)], "vec_id long, embedding array<double>")
+    ties = neighbours.cross_polytope_search(same, same.filter("vec_id = 4")).collect()
+    assert [r.vec_id for r in sorted(ties, key=lambda r: r["rank"])] == [0, 1, 2, 3, 5]
+    none = neighbours.cross_polytope_search(same.limit(0), same.limit(0))
+    assert none.count() == 0
+
+
+def test_url_models_of_an_empty_table_and_ads_hosts(spark):
+    schema = "page_id long, url string, host int, score string"
+    assert urls.filter_urls(docs_of(spark, [], schema), queries.URL_RULES).count() == 0
+    pages = [(k, f"http://{'ads-track' if k % 5 == 0 else 'roads' + str(k % 13)}.io/a/{k}", 1, "x") for k in range(400)]
+    got = urls.filter_urls(docs_of(spark, pages, schema), [])
+    assert got.filter("host like 'ads%' and verdict = 'block'").count() == 80 and got.filter("host like 'roads%' and verdict = 'allow'").count() >= 310
