@@ -23,7 +23,7 @@ HEADLINE = (
 def main() -> None:
     from pyspark.sql import SparkSession
 
-    from palimpsest.plans import content, registry, work  # noqa: F401
+    from palimpsest.plans import content, records, registry, scope, work  # noqa: F401
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")

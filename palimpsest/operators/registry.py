@@ -2,38 +2,111 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from palimpsest.operators.intervals import as_of
+from palimpsest.session import checkpoint
 
-def most_specific(rows: DataFrame, rules: DataFrame, path: str, at: str, out: str) -> DataFrame:
-    """The longest prefix rule of the path that holds at the time: rule columns (prefix, from_us, to_us, out).
+
+def most_specific(rows: DataFrame, rules: DataFrame, path: str, at: str, out: str, *, optional: list[str] = ()) -> DataFrame:
+    """The most specific prefix rule of the path that holds at the time: rule columns (prefix, from_us, to_us, out).
 
     A prefix fits whole segments.  Rules are joined by each of the path's own
-    prefixes, so the join is an equi-join whatever the number of rules.
+    prefixes, so the join is an equi-join whatever the number of rules.  Rules may
+    name a value for each of ``optional`` columns, or null for any; a rule that
+    names the first of them comes before one that does not, and so on; then the
+    longer prefix, the later start and the greater ``id`` win.
     """
     own = rows.withColumn("_row", F.monotonically_increasing_id())
     parts = F.split(path, "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-    hit = own.withColumn("_p", F.explode(prefixes)).join(rules.select(F.col("prefix").alias("_p"), "from_us", "to_us", F.col(out).alias("_v")), "_p").filter((F.col("from_us") <= F.col(at)) & (F.col(at) < F.col("to_us")))
-    w = Window.partitionBy("_row").orderBy(F.desc(F.length("_p")), F.desc("from_us"), "_v")
+    return _best(own, own.withColumn("_p", F.explode(prefixes)), rules, at, out, list(optional), list(optional))
+
+
+def contributor_of(rows: DataFrame, rules: DataFrame, path: str, at: str, out: str, *, machine: str = "machine", provider: str = "provider") -> DataFrame:
+    """The contributor rule of a row's machine: provider or null, and any leading characters of the path or null.
+
+    Of those in force the longest prefix wins, then the later start, then the
+    greater id.  Rows are joined by their leading characters of those lengths that
+    rules have, as an equi-join; there are no more lengths than a path has characters.
+    """
+    own = rows.withColumn("_row", F.monotonically_increasing_id())
+    lengths = rules.select(F.length(F.coalesce("prefix", F.lit(""))).alias("_n")).distinct()
+    led = own.crossJoin(F.broadcast(lengths)).filter(F.length(path) >= F.col("_n")).withColumn("_p", F.left(F.col(path), F.col("_n"))).drop("_n")
+    return _best(own, led, rules.filter(F.col(machine).isNotNull()), at, out, [machine, provider], [])
+
+
+def _best(own: DataFrame, led: DataFrame, rules: DataFrame, at: str, out: str, optional: list[str], ordered: list[str]) -> DataFrame:
+    identity = F.col("id") if "id" in rules.columns else F.lit(0)
+    r = rules.select(F.coalesce("prefix", F.lit("")).alias("_p"), "from_us", "to_us", F.col(out).alias("_v"), identity.alias("_id"), *(F.col(c).alias(f"_{c}") for c in optional))
+    hit = led.join(r, "_p").filter((F.col("from_us") <= F.col(at)) & (F.col(at) < F.col("to_us")))
+    for c in optional:
+        hit = hit.filter(F.col(f"_{c}").isNull() | (F.col(f"_{c}") == F.col(c)))
+    w = Window.partitionBy("_row").orderBy(*(F.desc(F.col(f"_{c}").isNotNull()) for c in ordered), F.desc(F.length("_p")), F.desc("from_us"), F.desc("_id"), "_v")
     best = hit.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select("_row", F.col("_v").alias(out))
     return own.join(best, "_row", "left").drop("_row")
 
 
-def lineage_roots(edges: DataFrame, *, depth: int = 64) -> DataFrame:
+def first_override(rows: DataFrame, linked: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
+    """Rows with the values of their key's first linked override in order, or nulls."""
+    first = linked.groupBy(key).agg(F.min(F.struct(order, *values)).alias("_o"))
+    return rows.join(first, key, "left").select(*rows.columns, *(F.col(f"_o.{v}").alias(v) for v in values))
+
+
+def activity_of(slices: DataFrame, overrides: DataFrame, defaults: DataFrame, key: str, project: str, at: str) -> DataFrame:
+    """``activity`` and ``ambiguous``: the one activity that overrides a slice; none if several do; else the project's default at the time."""
+    own = overrides.groupBy(key).agg(F.countDistinct("activity").alias("_n"), F.min("activity").alias("_one"))
+    dated = as_of(slices, defaults, [project], at, "activity").withColumnRenamed("activity", "_default")
+    out = dated.join(own, key, "left")
+    return out.withColumn("activity", F.when(F.col("_n") == 1, F.col("_one")).when(F.coalesce("_n", F.lit(0)) == 0, F.col("_default"))).withColumn("ambiguous", F.coalesce(F.col("_n") > 1, F.lit(False))).drop("_n", "_one", "_default")
+
+
+def work_trail(episodes: DataFrame, overrides: DataFrame, defaults: DataFrame, kinds: DataFrame, *, limit: int) -> DataFrame:
+    """The newest episodes with their activity and its classification (a report of ``limit`` rows)."""
+    newest = episodes.orderBy(F.desc_nulls_last("start_us"), F.desc("session_id")).limit(limit)
+    dated = as_of(newest, defaults, ["project_id"], "start_us", "activity").withColumnRenamed("activity", "_default")
+    named = dated.join(overrides, "session_id", "left").withColumn("activity", F.coalesce("activity", "_default"))
+    return named.join(kinds, "activity", "left").withColumn("classification", F.coalesce("classification", F.lit("unclassified")))
+
+
+def related(identities: DataFrame, touched: DataFrame, same: list[str], owner: str) -> DataFrame:
+    """Owners that share an identity with a touched one, themselves included."""
+    return identities.join(touched.select(*same).distinct(), same, "left_semi").select(owner).distinct()
+
+
+def member_faults(rows: DataFrame, member: str, owner: str) -> DataFrame:
+    """Members that more than one owner has, with the number of ``owners``; empty if each has one."""
+    return rows.groupBy(member).agg(F.countDistinct(owner).alias("owners")).filter("owners > 1")
+
+
+def dimension(rows: DataFrame, key: str, columns: dict[str, Column], *, fallback: str) -> DataFrame:
+    """A dimension from the facts that mention it, and the row that unallocated facts go to."""
+    found = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(*(c.alias(n) for n, c in columns.items()))
+    rest = rows.sparkSession.range(1).select(F.lit(fallback).alias(key), *(F.lit(None).cast(found.schema[n].dataType).alias(n) for n in columns))
+    return found.unionByName(rest.join(found.select(key), key, "left_anti"))
+
+
+def lineage_roots(edges: DataFrame) -> DataFrame:
     """(id, parent_id) to (id, root_id) by pointer doubling; a missing parent or none makes a row its own root.
 
-    Each round doubles the distance, so a chain of ``depth`` links takes its logarithm
-    in joins; rows on a cycle get the least id that they reach.
+    Each round doubles the distance, so a chain takes its logarithm in rounds.  As
+    long as a chain is open, a round brings some row to its root; once none gets
+    there and no least id falls, the rows that are left are on cycles, or behind
+    one, and have the least id that they reach.
     """
+
+    def state(p: DataFrame) -> tuple:
+        return tuple(p.filter("not rooted").agg(F.count("*"), F.sum(F.col("least").cast("decimal(38,0)"))).first())
+
     known = edges.select(F.col("id").alias("_k"))
-    parents = edges.join(known, F.col("parent_id") == F.col("_k"), "left").select("id", F.coalesce("_k", "id").alias("to"), F.least("id", F.coalesce("_k", "id")).alias("least"))
-    top = parents.filter("id = to").select(F.col("id").alias("_top"))
-    for _ in range(max(1, (depth - 1).bit_length())):
-        hop = parents.select(F.col("id").alias("to"), F.col("to").alias("_to2"), F.col("least").alias("_least2"))
-        parents = parents.join(hop, "to").select("id", F.col("_to2").alias("to"), F.least("least", "_least2").alias("least"))
-    out = parents.join(top, F.col("to") == F.col("_top"), "left")
-    return out.select("id", F.when(F.col("_top").isNotNull(), F.col("to")).otherwise(F.col("least")).alias("root_id"))
+    up = F.coalesce("_k", "id")
+    parents = checkpoint(edges.join(known, F.col("parent_id") == F.col("_k"), "left").select("id", up.alias("to"), F.least("id", up).alias("least"), (F.col("id") == up).alias("rooted")))
+    before, now = None, state(parents)
+    while now[0] and now != before:
+        hop = parents.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("least").alias("_least"), F.col("rooted").alias("_rooted"))
+        parents = checkpoint(parents.join(hop, "to").select("id", F.col("_to").alias("to"), F.least("least", "_least").alias("least"), F.col("_rooted").alias("rooted")))
+        before, now = now, state(parents)
+    return parents.select("id", F.when(F.col("rooted"), F.col("to")).otherwise(F.col("least")).alias("root_id"))
 
 
 def unresolved(rows: DataFrame, dim: DataFrame, key: str) -> DataFrame:

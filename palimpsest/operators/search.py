@@ -2,36 +2,43 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Most tokens of a query that count.
 QUERY_TOKENS = 64
 
 
+#: Distinct query terms up to which they are broadcast to the words of the corpus.
+BROADCAST_TERMS = 200_000
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased words of letters, digits and underscores, in Unicode."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
 def query_terms(query: Column) -> Column:
-    return F.array_distinct(F.slice(tokens(query), 1, QUERY_TOKENS))
-
-
-def inverted(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, key, tf, length): the index that lexical search joins."""
-    words = docs.select(F.col(key), tokens(F.col(text)).alias("_w"))
-    return words.select(key, F.explode("_w").alias("term"), F.size("_w").alias("length")).groupBy("term", key, "length").agg(F.count("*").alias("tf"))
+    """Distinct words of a query's first QUERY_TOKENS tokens; a token is a run of word characters and ``@ . / : -``."""
+    first = F.slice(F.regexp_extract_all(query, F.lit(r"[\p{L}\p{N}_@./:-]+"), F.lit(0)), 1, QUERY_TOKENS)
+    return F.array_distinct(tokens(F.array_join(first, " ")))
 
 
 def lexical(docs: DataFrame, queries: DataFrame, key: str, text: str, qkey: str, qtext: str) -> DataFrame:
     """Documents that hold every term of a query, with ``tf``: how often they hold them, and the text's ``length``.
 
-    Terms are joined, not documents with queries: a document leaves as soon as a
-    count of matched terms is short of the query's.
+    A text's words meet the queries' distinct terms before anything is counted, so
+    only words that are asked for are shuffled; the terms are broadcast if a count
+    finds them few.  A query without words matches nothing.
     """
     asked = queries.select(F.col(qkey), query_terms(F.col(qtext)).alias("_t"))
     terms = asked.select(qkey, F.explode("_t").alias("term"), F.size("_t").alias("_need"))
-    hits = inverted(docs, key, text).join(terms, "term").groupBy(qkey, key, "_need", "length").agg(F.count("*").alias("_got"), F.sum("tf").alias("tf"))
+    wanted = terms.select("term").distinct()
+    few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    words = docs.select(F.col(key), tokens(F.col(text)).alias("_w")).select(key, F.explode("_w").alias("term"), F.size("_w").alias("length"))
+    counts = words.join(F.broadcast(wanted) if few else wanted, "term", "left_semi").groupBy("term", key, "length").agg(F.count("*").alias("tf"))
+    hits = counts.join(terms, "term").groupBy(qkey, key, "_need", "length").agg(F.count("*").alias("_got"), F.sum("tf").alias("tf"))
     return hits.filter("_got = _need").select(qkey, key, "tf", F.col("length").cast("long").alias("length"))
 
 
@@ -47,11 +54,46 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def exact_neighbours(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """k nearest by cosine of a small set of queries (at most a few thousand rows; it is broadcast)."""
-    q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("_q"))
-    pairs = rows.select(key, vector).join(F.broadcast(q), F.col(key) != F.col("query_id")).withColumn("score", F.round(cosine(F.col(vector), F.col("_q")), 6))
-    return ranked(pairs.select("query_id", key, "score"), ["query_id"], [F.desc("score"), F.col(key)], k)
+def _nearest(k: int):
+    """Rows (side 0) and queries (side 1) of one pair of blocks to each query's k best rows."""
+
+    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if rows.num_rows and queries.num_rows:
+            ids, v = rows.column("id").to_numpy(), np.stack(rows.column("v").to_numpy(zero_copy_only=False)).astype(float)
+            q = np.stack(queries.column("v").to_numpy(zero_copy_only=False)).astype(float)
+            norm, qnorm = np.sqrt((v * v).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
+            rough = (q @ v.T) / (qnorm[:, None] * norm[None, :])
+            for i, one in enumerate(queries.column("id").to_numpy()):
+                s = np.where(ids == one, -np.inf, rough[i])
+                top = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
+                near = np.nonzero((s >= top - 1e-9) & (s > -np.inf))[0]
+                exact = (v[near] * q[i]).sum(axis=1) / (norm[near] * qnorm[i])  # row by row, so that equal vectors tie
+                found += [(int(one), int(ids[near[j]]), float(exact[j])) for j in np.lexsort((ids[near], -exact))[:k]]
+        return pa.table([pa.array([f[c] for f in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "other", "score"])
+
+    return run
+
+
+def exact_neighbours(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, *, cell: str | None = None, row_block: int = 50_000, query_block: int = 2_000) -> DataFrame:
+    """k nearest rows of each query by cosine: (query_id, key, score, rank), ties by key; a query is no neighbour of itself.
+
+    Rows and queries are dealt into blocks whose numbers follow from counts, and each
+    pair of blocks is one matrix product of bounded size; each query's best of the
+    blocks are ranked at the end.  With ``cell``, only rows of the query's own cell
+    are compared: an approximate search that reads one cell instead of all.
+    Vectors that are null or zero, or of other lengths, must be left out before.
+    """
+    own = [F.col(cell).alias("cell")] if cell else [F.lit(0).alias("cell")]
+    size = rows.groupBy(*own).agg(F.ceil(F.count("*") / row_block).alias("nr")).join(queries.groupBy(*own).agg(F.ceil(F.count("*") / query_block).alias("nq")), "cell")
+
+    def dealt(df: DataFrame, mine: str, other: str) -> DataFrame:
+        flat = df.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), *own).join(size, "cell")
+        return flat.withColumn(f"b{mine}", F.pmod(F.xxhash64("id"), F.col(mine))).withColumn(f"b{other}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))).select("cell", "bnr", "bnq", "id", "v")
+
+    keys = ["cell", "bnr", "bnq"]
+    found = dealt(rows, "nr", "nq").groupBy(*keys).cogroup(dealt(queries, "nq", "nr").groupBy(*keys)).applyInArrow(_nearest(k), "query_id long, other long, score double")
+    return ranked(found.withColumnRenamed("other", key), ["query_id"], [F.desc("score"), F.col(key)], k)
 
 
 def fuse(lists: list[DataFrame], by: list[str], key: str, *, constant: int = 60, most: int = 100) -> DataFrame:
@@ -92,11 +134,11 @@ def within_budget(rows: DataFrame, track: str, order: list[str], text: str, budg
 def cluster_keywords(docs: DataFrame, cluster: str, key: str, text: str, stop: list[str], top: int) -> DataFrame:
     """Words that mark a cluster: share of its documents times log1p(N / df), by (score, word) descending."""
     words = docs.select(cluster, key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("word")).filter((F.length("word") > 2) & ~F.col("word").isin(stop))
-    df = words.groupBy("word").agg(F.count("*").alias("_df"))
     dfc = words.groupBy(cluster, "word").agg(F.count("*").alias("_dfc"))
+    dfc = dfc.withColumn("_df", F.sum("_dfc").over(Window.partitionBy("word")))  # as many rows as clusters for a word
     size = docs.groupBy(cluster).agg(F.count("*").alias("_size"))
     total = docs.agg(F.count("*").alias("_all"))
-    scored = dfc.join(df, "word").join(size, cluster).crossJoin(F.broadcast(total)).withColumn("score", F.round(F.col("_dfc") / F.col("_size") * F.log1p(F.col("_all") / F.col("_df")), 6))
+    scored = dfc.join(size, cluster).crossJoin(F.broadcast(total)).withColumn("score", F.round(F.col("_dfc") / F.col("_size") * F.log1p(F.col("_all") / F.col("_df")), 6))
     return ranked(scored.select(cluster, "word", "score"), [cluster], [F.desc("score"), F.desc("word")], top)
 
 
@@ -132,3 +174,9 @@ def rolling_windows(rows: DataFrame, track: str, order: str, text: str, budget:
     windows = F.aggregate("rows", start, step, lambda s: F.concat(s["done"], F.array(s["now"])))
     flat = folded.select(track, F.posexplode(windows).alias("window_no", "_w"))
     return flat.select(track, "window_no", F.element_at("_w", 1)["o"].alias("first"), F.element_at("_w", -1)["o"].alias("last"), total(F.col("_w")).cast("long").alias("characters"))
+
+
+def recent(rows: DataFrame, time: str, span: int) -> DataFrame:
+    """Rows of the last ``span`` units before the newest row."""
+    newest = rows.agg(F.max(time).alias("_newest"))
+    return rows.crossJoin(F.broadcast(newest)).filter(F.col(time) > F.col("_newest") - span).drop("_newest")

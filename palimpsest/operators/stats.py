@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def bucket_label(us: Column, bucket: str) -> Column:
@@ -44,3 +44,22 @@ def repetition(facts: DataFrame, key: str, *, least: int = 2) -> DataFrame:
     own = F.col("canonical")
     out = facts.groupBy(key).agg(F.count("*").alias("physical"), F.sum(own.cast("int")).cast("long").alias("independent"), F.countDistinct(F.when(own, F.col("session_id"))).alias("sessions"), F.countDistinct(F.when(own, F.col("project_id"))).alias("projects"))
     return out.filter(F.col("independent") >= least).withColumn("echoes", F.greatest(F.col("physical") - F.col("independent"), F.lit(0)).cast("long"))
+
+
+def ordinals(rows: DataFrame, key: str, *, span: int = 1 << 16, name: str = "ordinal") -> DataFrame:
+    """Rows numbered from 0 by a distinct whole-number key, without one task seeing them all.
+
+    Keys are cut into spans; counts of the spans, few as they are, give each its
+    first number, and rows are numbered within their span.
+    """
+    spanned = rows.withColumn("_span", F.floor(F.col(key) / span))
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))
+    starts = spanned.groupBy("_span").agg(F.count("*").alias("_n")).select("_span", F.coalesce(before, F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_span").orderBy(key)) - 1
+    return spanned.withColumn("_own", own).join(starts, "_span").withColumn(name, F.col("_start") + F.col("_own")).drop("_span", "_own", "_start")
+
+
+def stride_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """Every n-th row in order of the key, so that at most ``limit`` stay (a sampling operator)."""
+    stride = rows.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(float(limit)))).cast("long").alias("_stride"))
+    return ordinals(rows, key).crossJoin(F.broadcast(stride)).filter("ordinal % _stride = 0").drop("_stride", "ordinal")

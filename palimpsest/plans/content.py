@@ -53,13 +53,12 @@ def shard_filter(spark, sf_dir):
     return T(spark, sf_dir, "documents").select("doc_id", identity.shard(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")), 16).alias("shard"))
 
 
-LEX = f"""WITH q AS (SELECT item_id, list_distinct(({WORDS.format("string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2]")})[1:64]) AS t FROM benchmark), d AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents),
+LEX = f"""WITH q AS (SELECT item_id, list_distinct({WORDS.format("array_to_string((regexp_extract_all(text, '[\\pL\\pN_@./:-]+'))[1:64], ' ')")}) AS t FROM benchmark), d AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents),
 hit AS (SELECT item_id, doc_id, list_sum(list_transform(w, lambda x: list_contains(t, x)::INT))::BIGINT AS tf, len(w)::BIGINT AS length FROM q, d WHERE len(t) > 0 AND list_has_all(w, t))"""
 
 
 def lexical_hits(spark, sf_dir):
-    q = T(spark, sf_dir, "benchmark").select("item_id", F.concat(F.split("text", " ")[0], F.lit(" "), F.split("text", " ")[1]).alias("asked"))
-    return S.lexical(T(spark, sf_dir, "documents"), q, "doc_id", "text", "item_id", "asked")
+    return S.lexical(T(spark, sf_dir, "documents"), T(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
 @query(LEX + " SELECT item_id, doc_id, tf, length FROM hit")
@@ -79,13 +78,16 @@ def lexical_topk(spark, sf_dir):
     return lexical_ranked(spark, sf_dir, 10)
 
 
-NN = """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id < 20),
-s AS (SELECT query_id, vec_id, round(list_dot_product(e, qe) / sqrt(list_dot_product(e, e) * list_dot_product(qe, qe)), 6) AS score FROM v, q WHERE vec_id <> query_id), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)"""
+VECTORS = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)"
+PAIRS = "(SELECT query_id, vec_id, list_dot_product(e, qe) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(qe, qe))) AS s FROM v, q WHERE vec_id <> query_id{}) x"
+TOP = "SELECT query_id, vec_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 13) DESC, vec_id)::INTEGER AS rank FROM "
+NN = f"WITH {VECTORS}, q AS (SELECT vec_id AS query_id, e AS qe, label AS ql FROM v WHERE vec_id % 100 = 0), top AS ({TOP}{PAIRS.format('')})"
 
 
-def nearest(spark, sf_dir, k=10):
+def nearest(spark, sf_dir, k=10, cell=None):
+    """Every vector whose id is divisible by 100, against all vectors or those of its cell."""
     e = T(spark, sf_dir, "embeddings")
-    return S.exact_neighbours(e, e.filter("vec_id < 20"), "vec_id", "embedding", k)
+    return S.exact_neighbours(e, e.filter("vec_id % 100 = 0"), "vec_id", "embedding", k, cell=cell).withColumn("score", F.round("score", 6))
 
 
 @query(NN + " SELECT query_id, vec_id, score, rank FROM top WHERE rank <= 10")
@@ -93,28 +95,28 @@ def semantic_topk(spark, sf_dir):
     return nearest(spark, sf_dir)
 
 
-@query(LEXTOP + """, e AS (SELECT doc_id, item_id, row_number() OVER (PARTITION BY item_id ORDER BY length, doc_id)::INTEGER AS rank FROM hit), u AS (SELECT item_id, doc_id, rank FROM top WHERE rank <= 100 UNION ALL SELECT item_id, doc_id, rank FROM e WHERE rank <= 100)
+@query(f"{LEXTOP}, {VECTORS}, vq AS (SELECT item_id AS query_id, e AS qe FROM benchmark JOIN v ON vec_id = item_id), near AS ({TOP}{PAIRS.format('').replace('v, q', 'v, vq')})" + """,
+u AS (SELECT item_id, doc_id, rank FROM top WHERE rank <= 100 UNION ALL SELECT query_id, vec_id, rank FROM near WHERE rank <= 100)
 SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, count(*) AS lists FROM u GROUP BY 1, 2""")
 def hybrid_rrf(spark, sf_dir):
-    second = S.ranked(lexical_hits(spark, sf_dir), ["item_id"], [F.col("length"), F.col("doc_id")], 100)
-    return S.fuse([lexical_ranked(spark, sf_dir, 100), second], ["item_id"], "doc_id")
+    """Words of a benchmark item and the vector under its id, each against all documents."""
+    e = T(spark, sf_dir, "embeddings")
+    asked = e.join(T(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+    near = S.exact_neighbours(e, asked, "vec_id", "embedding", 100).select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "rank")
+    return S.fuse([lexical_ranked(spark, sf_dir, 100), near], ["item_id"], "doc_id")
 
 
-@query(NN + ", a AS (SELECT query_id, vec_id FROM top WHERE rank <= 10), b AS (SELECT query_id, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s WHERE vec_id % 10 <> 9) x WHERE r <= 10) SELECT round(avg(hit), 6) AS recall FROM (SELECT query_id, (SELECT count(*) FROM a JOIN b USING (query_id, vec_id) WHERE a.query_id = q.query_id) / 10.0::DOUBLE AS hit FROM q)")
+@query(NN + f", part AS ({TOP}{PAIRS.format(' AND v.label = ql')})" + " SELECT round(avg(hit), 6) AS recall, count(*) AS queries FROM (SELECT query_id, (SELECT count(*) FROM top JOIN part USING (query_id, vec_id) WHERE top.query_id = q.query_id AND top.rank <= 10 AND part.rank <= 10) / 10.0::DOUBLE AS hit FROM q)")
 def recall_at_10(spark, sf_dir):
-    e = T(spark, sf_dir, "embeddings")
-    part = S.exact_neighbours(e.filter("vec_id % 10 <> 9"), e.filter("vec_id < 20"), "vec_id", "embedding", 10)
-    found = nearest(spark, sf_dir).join(part.select("query_id", "vec_id"), ["query_id", "vec_id"]).groupBy("query_id").agg((F.count("*") / 10.0).alias("hit"))
-    every = e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"))
-    return every.join(found, "query_id", "left").na.fill(0.0).agg(F.round(F.avg("hit"), 6).alias("recall"))
+    """How many of the ten nearest an inverted file finds that reads only the query's own cell."""
+    found = nearest(spark, sf_dir).join(nearest(spark, sf_dir, cell="label").select("query_id", "vec_id"), ["query_id", "vec_id"]).groupBy("query_id").agg((F.count("*") / 10.0).alias("hit"))
+    every = T(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"))
+    return every.join(found, "query_id", "left").na.fill(0.0).agg(F.round(F.avg("hit"), 6).alias("recall"), F.count("*").alias("queries"))
 
 
 @query("SELECT vec_id, label FROM (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS o, greatest(1, ceil(count(*) OVER () / 100.0))::BIGINT AS stride FROM embeddings) x WHERE o % stride = 0")
 def map_sample(spark, sf_dir):
-    e = T(spark, sf_dir, "embeddings").select("vec_id", "label")
-    stride = e.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / 100.0)).cast("long").alias("_stride"))
-    # the ordinal of a row is its id here: ids are dense from 0
-    return e.crossJoin(F.broadcast(stride)).filter("vec_id % _stride = 0").drop("_stride")
+    return stats.stride_sample(T(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id", 100)
 
 
 @query("SELECT label, count(*) AS total, round(min(embedding[1]::DOUBLE), 6) AS min_x, round(max(embedding[1]::DOUBLE), 6) AS max_x, round(min(embedding[2]::DOUBLE), 6) AS min_y, round(max(embedding[2]::DOUBLE), 6) AS max_y FROM embeddings GROUP BY 1")
@@ -255,42 +257,67 @@ def error_signature_normalize(spark, sf_dir):
     return T(spark, sf_dir, "pages").select("page_id", X.normalize_error(F.concat("url", F.lit(" at 0xDEADbeef 1234567 2024-01-01T10:00:00Z"))).alias("signature"))
 
 
-ERRORS = ["Traceback (most recent call last):", "ValueError: bad", "error: null,", "failed to", "tests failed: 3", "the error was not failed", "process exited with code 2", "process exited with code 0", "# error: x", "npm ERR! code", "fatal: repo", "prose about errors", "lint: error[E12]: x", "error: a => b", "FAILED x", "exception: you may see", "except ValueError:", "errorfoo"]
-#: What the rules of classification say of each, by reading them.
-ACTIONABLE = [1, 1, 1, 1, 1, 0, 1, 0, 0, 1, 1, 0, 1, 1, 1, 1, 0, 0]
-REPORTABLE = [0, 1, 0, 1, 1, 0, 1, 0, 0, 1, 1, 0, 1, 0, 1, 0, 0, 0]
+#: Lines of logs as an event's kind and number give them, in three cases of letters.
+LINES = """lines AS (SELECT event_id, CASE k % 3 WHEN 0 THEN line WHEN 1 THEN upper(line) ELSE lower(line) END AS line FROM (SELECT event_id, k, CASE k % 16 WHEN 0 THEN 'Failed' WHEN 1 THEN 'FAILED tests: ' || k WHEN 2 THEN 'ValueError: bad ' || event_type WHEN 3 THEN 'tests failed: ' || k WHEN 4 THEN 'the ' || event_type || ' was not failed'
+  WHEN 5 THEN 'process exited with code ' || (k % 7) WHEN 6 THEN '# error: ' || event_type WHEN 7 THEN 'npm ERR! code ' || k WHEN 8 THEN 'lint: error[E' || k || ']: x' WHEN 9 THEN 'error: ' || event_type || ' => ' || k WHEN 10 THEN 'exception: you may see ' || event_type WHEN 11 THEN 'except ValueError: ' || k
+  WHEN 12 THEN 'fatal: ' || event_type WHEN 13 THEN 'Traceback (most recent call last):' WHEN 14 THEN 'prose about errors and ' || event_type ELSE 'error: ' || event_type || ',' END AS line FROM (SELECT event_id, event_type, {} AS k FROM events) y) x)"""
+ACTIONABLE_SQL = " OR ".join(f"regexp_matches(t, '{p}')" for p in (
+    r"(?i)^traceback \(most recent call last\):", r"(?i)^(?:fatal|panic|segmentation fault)\b", r"(?i)^(?:failed|failure)\b(?:\s|:)", r"(?i)^(?:npm\s+err!|error\b|exception\b)(?:\s|:)", r"^[A-Za-z_][\w.]*?(?:Error|Exception):(?:\s|$)", r"(?i)^(?:assertionerror|keyboardinterrupt)(?::|$)",
+    r"(?i)^.+?\s+failed:(?:\s|$)", r"(?i)\b(?:command|process) (?:exited|failed)(?: with)? (?:code|status) [1-9]\d*\b", r"(?i)(?:^|:\s)error(?:\[[^\]]+\])?(?:\s+[A-Z]+\d+)?\s*:", r"(?i)^failed(?:\s|$)",
+))
 
 
-def _values(rows) -> str:
-    return "(VALUES " + ", ".join("(" + ", ".join("'" + str(v).replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows) + ")"
+def log_lines(spark, sf_dir):
+    T(spark, sf_dir, "events").createOrReplaceTempView("palimpsest_events")
+    return spark.sql("WITH " + LINES.format("cast(get_json_object(props, '$.k') AS BIGINT)").replace("FROM events)", "FROM palimpsest_events)") + " SELECT event_id, line FROM lines")
 
 
-@query("SELECT line, a = 1 AS actionable, r = 1 AS reportable FROM " + _values(zip(ERRORS, ACTIONABLE, REPORTABLE, strict=True)) + " t(line, a, r)")
+@query("WITH " + LINES.format("(props->>'k')::BIGINT") + f""", a AS (SELECT event_id, t, lower(t) AS l, NOT regexp_matches(lower(t), '^(except |raise |catch |//|# )') AND ({ACTIONABLE_SQL}) AS actionable FROM (SELECT event_id, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS t FROM lines) x)
+SELECT event_id, actionable, actionable AND NOT (l IN ('traceback (most recent call last):', 'error:', 'error: null,', 'failed', 'failure') OR (starts_with(l, 'exception:') AND regexp_matches(l, 'you may |if working |the exception is '))
+ OR regexp_matches(l, ' not failed| no error| not an error') OR regexp_matches(t, '^[a-z][A-Za-z0-9_]*Error:') OR (starts_with(l, 'error:') AND (regexp_matches(t, '[,;]$') OR regexp_matches(l, ' instanceof | \\?\\? |=>|string \\| null')))) AS reportable FROM a""")
 def error_classify(spark, sf_dir):
-    d = spark.createDataFrame([(e,) for e in ERRORS], "line string")
-    return d.select("line", X.is_actionable(F.col("line")).alias("actionable"), X.is_reportable(F.col("line")).alias("reportable"))
+    line = F.col("line")
+    return log_lines(spark, sf_dir).select("event_id", X.is_actionable(line).alias("actionable"), X.is_reportable(line).alias("reportable"))
 
 
-CALLS = [
-    ("exec_command", '{"cmd":"uv run pytest -q"}', "test", "test:pytest"), ("Bash", "psql -c 1", "database", "database:psql"), ("WebSearch", "x", "research", "research:web-search"), ("apply_patch", "p", "edit", "edit:patch"),
-    ("shell", "FOO=1 sudo rg x", "search", "search:rg"), ("bash", "cd a; git commit -m x", "version-control", "git:commit"), ("exec", "tools.view_image (1)", "inspect", "inspect:image"), ("exec", 'tools.exec_command({cmd: "ls -la"})', "inspect", "inspect:ls"),
-    ("exec", "tools.a__b_c()", "other", "tool:a:b-c"), ("exec", "tools.a() tools.b()", "orchestrate", "orchestrate:batch"), ("code-search", "", "search", "search:code_search"), ("MyBrowser", "", "research", "research:mybrowser"), ("zzz", "", "other", "tool:zzz"), ("bash", "/usr/bin/Make all", "execute", "execute:make"), ("bash", "ruff check .", "validate", "validate:ruff"),
-]
+@query("WITH " + LINES.format("(props->>'k')::BIGINT") + " SELECT event_id, (regexp_matches(line, '(?i)^(fatal|panic|failed|failure|error|exception|traceback|assertionerror)(:|\\s|$)') OR regexp_matches(line, '(?i)(command|process).*(exited|failed).*(code|status) [1-9][0-9]*'))::INTEGER AS flag FROM lines")
+def error_flag(spark, sf_dir):
+    return log_lines(spark, sf_dir).select("event_id", X.error_flag(F.col("line")).alias("flag"))
 
 
-@query("SELECT * FROM " + _values(CALLS) + " t(tool, value, action, operation)")
-def normalize_call(spark, sf_dir):
-    d = spark.createDataFrame([c[:2] for c in CALLS], "tool string, value string").withColumn("n", X.normalize_call(F.col("tool"), F.col("value")))
-    return d.select("tool", "value", "n.action", "n.operation")
+#: Tool calls as an event's number gives them: a tool's name and its value.
+CALLS = """calls AS (SELECT event_id, CASE k % 9 WHEN 0 THEN 'exec_command' WHEN 1 THEN 'Bash' WHEN 2 THEN 'shell' WHEN 3 THEN 'WebSearch' WHEN 4 THEN 'apply-patch' WHEN 5 THEN 'code_search' WHEN 6 THEN 'My_Browser' WHEN 7 THEN 'file_read' ELSE 'tool_' || event_type END AS tool,
+  CASE k % 12 WHEN 0 THEN 'uv run pytest -q ' || k WHEN 1 THEN 'psql -c ' || k WHEN 2 THEN 'FOO=1 sudo rg ' || event_type WHEN 3 THEN 'cd a; git commit -m ' || k WHEN 4 THEN 'ls -la' WHEN 5 THEN '/usr/bin/Make all' WHEN 6 THEN 'ruff check .' WHEN 7 THEN 'docker ps' WHEN 8 THEN 'curl http://' || event_type WHEN 9 THEN 'env A=b python3 x.py' WHEN 10 THEN 'cat ' || k || ' | wc' ELSE event_type END AS command FROM (SELECT event_id, event_type, {} AS k FROM events) y)"""
 
 
-REMOTES = [("git@Host.org:Team/Repo.git", "https://host.org/team/repo"), ("https://u@host.org:8080/a/b/c.git", "https://host.org/a/b/c"), ("host.org/a/b/", "https://host.org/a/b"), ("ssh://git@h/x/y", "https://h/x/y")]
+@query("WITH " + CALLS.format("(props->>'k')::BIGINT") + r""", n AS (SELECT event_id, replace(lower(trim(tool)), '-', '_') AS t, regexp_replace(command, '^(?:[A-Za-z_][A-Za-z0-9_]*=[^ ]+\s+|sudo\s+|env\s+)+', '') AS c FROM calls),
+s AS (SELECT *, lower(c) AS l, lower(regexp_extract(regexp_extract(c, '^\s*(\S+)', 1), '([^/]+)/*$', 1)) AS w FROM n),
+o AS (SELECT event_id, t, CASE WHEN regexp_matches(l, '\b(?:pytest|vitest|jest|bun test|npm test|cargo test|go test)\b') THEN 'test test:' || regexp_extract(l, 'pytest|vitest|jest|bun|npm|cargo|go')
+ WHEN regexp_matches(l, '\b(?:ruff|mypy|pyright|tsc|eslint|prettier)\b') THEN 'validate validate:' || regexp_extract(l, 'ruff|mypy|pyright|tsc|eslint|prettier')
+ WHEN regexp_matches(l, '(?:^|[;&|]\s*)(rg|grep|find|fd)\b') THEN 'search search:' || regexp_extract(l, '(?:^|[;&|]\s*)(rg|grep|find|fd)\b', 1)
+ WHEN regexp_matches(l, '(?:^|[;&|]\s*)(sed|head|tail|cat|ls|wc)\b') THEN 'inspect inspect:' || regexp_extract(l, '(?:^|[;&|]\s*)(sed|head|tail|cat|ls|wc)\b', 1)
+ WHEN regexp_matches(l, '\b(psql|sqlite3|mysql|duckdb)\b') THEN 'database database:' || regexp_extract(l, '\b(psql|sqlite3|mysql|duckdb)\b', 1)
+ WHEN regexp_matches(l, '\bgit\s+([a-z-]+)') THEN 'version-control git:' || regexp_extract(l, '\bgit\s+([a-z-]+)', 1)
+ WHEN regexp_matches(l, '\b(systemctl|docker|kubectl|tmux|tailscale)\b') THEN 'operate operate:' || regexp_extract(l, '\b(systemctl|docker|kubectl|tmux|tailscale)\b', 1)
+ WHEN regexp_matches(l, '\b(curl|wget)\b') THEN 'research network:' || regexp_extract(l, '\b(curl|wget)\b', 1)
+ WHEN regexp_matches(l, '\b(python3?|uv|node|bun|deno|cargo|go)\b') THEN 'execute execute:' || regexp_extract(l, '\b(python3?|uv|node|bun|deno|cargo|go)\b', 1) ELSE 'execute execute:' || left(w, 40) END AS sh FROM s),
+r AS (SELECT event_id, CASE WHEN t IN ('exec_command', 'bash', 'shell') THEN sh WHEN t = 'websearch' THEN 'research research:web-search' WHEN t = 'apply_patch' THEN 'edit edit:patch' WHEN contains(t, 'search') THEN 'search search:' || t WHEN contains(t, 'read') THEN 'inspect inspect:' || t WHEN contains(t, 'browser') THEN 'research research:' || t ELSE 'other tool:' || t END AS x FROM o)
+SELECT event_id, split_part(x, ' ', 1) AS action, split_part(x, ' ', 2) AS operation FROM r""")
+def normalize_call(spark, sf_dir):
+    T(spark, sf_dir, "events").createOrReplaceTempView("palimpsest_events")
+    d = spark.sql("WITH " + CALLS.format("cast(get_json_object(props, '$.k') AS BIGINT)").replace("FROM events)", "FROM palimpsest_events)") + " SELECT * FROM calls")
+    value = F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct(F.col("command").alias("cmd")))).otherwise(F.col("command"))
+    return d.select("event_id", X.normalize_call(F.col("tool"), value).alias("n")).select("event_id", "n.action", "n.operation")
 
 
-@query("SELECT * FROM " + _values(REMOTES) + " t(remote, url) UNION ALL SELECT * FROM (VALUES ('nothing', NULL), ('', NULL)) x")
+@query(r"""WITH u AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#]+)', 1)) AS h, regexp_extract(url, '://[^/?#]+/+([^/?#]+)', 1) AS o, regexp_replace(regexp_extract(url, '://[^/?#]+/+[^/?#]+/+([^/?#]+)', 1), '\.git$', '') AS r FROM pages)
+SELECT page_id, CASE WHEN h <> '' AND o <> '' AND r <> '' THEN 'https://' || h || '/' || lower(o) || '/' || lower(r) END AS url FROM u""")
 def git_remote_parts(spark, sf_dir):
-    d = spark.createDataFrame([(r,) for r, _ in REMOTES] + [("nothing",), ("",)], "remote string")
-    return d.select("remote", X.git_remote(F.col("remote"))["url"].alias("url"))
+    """Each page's address as a remote: with a scheme, as a bare host, or in the form user@host:path."""
+    bare = F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "^[^:]+://", "")
+    scp = F.concat(F.lit("git@"), F.regexp_replace(F.regexp_replace(bare, "/+$", ""), "^([^/]+)/+", "$1:"), F.lit(".git"))
+    remote = F.when(F.col("page_id") % 3 == 0, F.col("url")).when(F.col("page_id") % 3 == 1, bare).otherwise(scp)
+    return T(spark, sf_dir, "pages").select("page_id", X.git_remote(remote)["url"].alias("url"))
 
 
 @query(r"SELECT page_id, CASE WHEN length(p) > 1 THEN regexp_replace(p, '/$', '') ELSE p END AS path FROM (SELECT page_id, regexp_replace(replace('\root\' || url, '\', '/'), '/+', '/', 'g') AS p FROM pages) x")
@@ -298,13 +325,15 @@ def path_normalize(spark, sf_dir):
     return T(spark, sf_dir, "pages").select("page_id", X.normalize_path(F.concat(F.lit("\\root\\"), "url")).alias("path"))
 
 
-TIMES = [("1704067200", 1704067200000000), ("1704067200123", 1704067200123000), ("2024-01-01T00:00:00Z", 1704067200000000), ("2024-01-01 08:00:00+08:00", 1704067200000000), ("2024-01-01T00:00:00", 1704067200000000)]
-
-
-@query("SELECT * FROM " + _values(TIMES) + " t(text, us) UNION ALL SELECT * FROM (VALUES ('soon', NULL), ('', NULL)) x")
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN epoch_us(ts) // 1000000 * 1000000 WHEN 1 THEN epoch_us(ts) // 1000 * 1000 WHEN 5 THEN NULL ELSE epoch_us(ts) // 1000000 * 1000000 END AS us FROM events")
 def timestamp_normalize(spark, sf_dir):
-    d = spark.createDataFrame([(t,) for t, _ in TIMES] + [("soon",), ("",)], "text string")
-    return d.select("text", X.normalize_timestamp(F.col("text")).alias("us"))
+    """Each event's time written as seconds, milliseconds, ISO in UTC, ISO with an offset, naive ISO, or as no time."""
+    us = V.micros("ts")
+    second = F.timestamp_seconds(F.floor(us / 1_000_000))
+    text = F.when(F.col("event_id") % 6 == 0, F.floor(us / 1_000_000).cast("string")).when(F.col("event_id") % 6 == 1, F.floor(us / 1000).cast("string"))
+    text = text.when(F.col("event_id") % 6 == 2, F.date_format(second, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(F.col("event_id") % 6 == 3, F.date_format(F.from_utc_timestamp(second, "+08:00"), "yyyy-MM-dd HH:mm:ss'+08:00'"))
+    text = text.when(F.col("event_id") % 6 == 4, F.date_format(second, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.col("event_type"))
+    return T(spark, sf_dir, "events").select("event_id", X.normalize_timestamp(text).alias("us"))
 
 
 @query()
@@ -318,9 +347,9 @@ def tidy_preview(spark, sf_dir):
     return T(spark, sf_dir, "documents").select("doc_id", X.bounded(X.tidy(F.col("text")), 60).alias("short"))
 
 
-@query("SELECT doc_id, CASE WHEN n < 1024 THEN printf('%d B', n) ELSE printf('%.1f KiB', n / 1024.0) END AS size FROM (SELECT doc_id, strlen(text) AS n FROM documents) x WHERE n < 1048576")
+@query("SELECT doc_id, CASE WHEN n < 1024 THEN printf('%d B', n) WHEN n < 1048576 THEN printf('%.1f KiB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MiB', n / 1048576.0) ELSE printf('%.1f GiB', n / 1073741824.0) END AS size FROM (SELECT doc_id, strlen(text) AS n FROM documents) x")
 def human_sizes(spark, sf_dir):
-    d = T(spark, sf_dir, "documents").withColumn("n", F.octet_length("text"))  # all sizes, though the SQL ends at 1 MiB
+    d = T(spark, sf_dir, "documents").withColumn("n", F.octet_length("text"))
     return d.select("doc_id", X.human_bytes(F.col("n")).alias("size"))
 
 
@@ -329,10 +358,10 @@ def correction_turns(spark, sf_dir):
     return V.units(spark, sf_dir).filter(F.col("text").rlike(X.CORRECTION)).select("session_id", "ordinal")
 
 
-@query("SELECT event_id, (props->>'k')::BIGINT AS k FROM events WHERE (props->>'k')::BIGINT % 10 = 0")
+@query("SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
 def json_probe(spark, sf_dir):
     k = F.get_json_object("props", "$.k").cast("long")
-    return T(spark, sf_dir, "events").select("event_id", k.alias("k")).filter("k % 10 = 0")
+    return T(spark, sf_dir, "events").select("event_id", k.alias("k"))
 
 
 @query("SELECT source, n_chars, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n FROM documents) x WHERE n <= 2")

@@ -73,3 +73,17 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 USAGE_SQL = """usage AS (SELECT o_orderkey AS message_id, o_custkey AS session_id, 'model-' || (o_custkey % 4) AS model,
   CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'fast' END AS tier, o_orderdate::DATE AS day, tokens
   FROM orders JOIN (SELECT l_orderkey, sum(l_quantity::BIGINT * 1000)::BIGINT AS tokens FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey)"""
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each session of the events: who, where and when, with counts."""
+    ev = events(spark, sf_dir)
+    s = F.col("session_id")
+    place = F.concat(F.lit("src/src"), (s % 23).cast("string"), F.when(s % 2 == 0, "/en").otherwise("/de"), F.lit("/x"))
+    return ev.groupBy("session_id", "project_id", "contributor_id").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count("*").alias("events"), F.count_if(F.col("kind") == "error").alias("errors"), F.count_if(F.col("kind").isin("tool-input", "tool-output")).alias("attempts")).withColumns(
+        {"provider": F.concat(F.lit("p"), (s % 3).cast("string")), "machine": F.concat(F.lit("m"), (s % 4).cast("string")), "cwd": place}
+    )
+
+
+SESSIONS_SQL = """ses AS (SELECT session_id, project_id, contributor_id, min(us) AS start_us, max(us) AS end_us, count(*) AS events, count(*) FILTER (WHERE kind = 'error') AS errors, count(*) FILTER (WHERE kind IN ('tool-input', 'tool-output')) AS attempts,
+  'p' || (session_id % 3) AS provider, 'm' || (session_id % 4) AS machine, 'src/src' || (session_id % 23) || CASE WHEN session_id % 2 = 0 THEN '/en' ELSE '/de' END || '/x' AS cwd FROM ev GROUP BY session_id, project_id, contributor_id)"""
