@@ -1,11 +1,17 @@
 """Document fingerprints of closed syncmers, in DataFrame functions alone.
 
-A text's words (``[^\\x20\\x09-\\x0D]+``) are named by a 64-bit hash.  Of the runs of
-``K`` words those are chosen whose least word name stands at an edge: closed
-syncmers, whose choice depends on nothing outside of them, so that a copied
-passage anchors the same runs wherever it stands.  The fingerprint is the
-``SKETCH`` least names of distinct syncmers, each of 8 hex digits, so its size is
-bounded and two fingerprints estimate the share of syncmers in common.
+A text's words (``[^\\x20\\x09-\\x0D]+``; of a word of more than ``PIECE`` characters its
+pieces, so that texts without white space have anchors too) are named by a 64-bit
+hash.  Of the runs of ``K`` words those are chosen whose least word name stands at
+an edge: closed syncmers, whose choice depends on nothing outside of them, so
+that a copied passage anchors the same runs wherever it stands.
+
+The fingerprint holds the ``SKETCH`` least names of distinct syncmers, each of 8 hex
+digits with 6 more that tell the place of its first word, so its size is bounded.
+Two fingerprints are matched by position: of the anchors with a common name those
+count that are displaced alike.  Anchors are sorted by place, and a step of
+displacement from one common anchor to the next that is larger than ``SLACK`` words
+breaks the match; the anchors of unbroken neighbours are what the texts share.
 """
 
 from __future__ import annotations
@@ -14,38 +20,73 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .order import successors
 
-K, SKETCH = 3, 64
+K, SKETCH, PIECE = 3, 64, 16
+#: Words by which neighbouring common anchors may shift against each other.
+SLACK = 8
+_MARK = 14
 
 
 def fingerprint(text: Column, sketch: int = SKETCH) -> Column:
-    """Hex fingerprint; of fewer than K words all are one run; no words: an empty string."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), "[ \\t-\\r]+"), lambda w: w != "")
+    """Hex fingerprint, by ascending name; of fewer than K words all are one run; no words: an empty string."""
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[^ \\t-\\r]{{1,{PIECE}}}"), F.lit(0))
     names = F.transform(words, lambda w: F.xxhash64(w))
 
+    def anchor(h: Column, i: Column) -> Column:
+        return F.struct(F.shiftrightunsigned(h, 32).alias("h"), i.alias("i"))
+
     def runs(h: Column) -> Column:
         def chosen(i: Column) -> Column:
             a, b, c = F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)
-            return F.when(F.least(a, c) <= b, F.xxhash64(a, b, c))
+            return F.when(F.least(a, c) <= b, anchor(F.xxhash64(a, b, c), i))
 
-        few = F.when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
+        few = F.when(F.size(h) > 0, F.array(anchor(F.xxhash64(h), F.lit(0)))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
         return F.when(F.size(h) < K, few).otherwise(F.transform(F.sequence(F.lit(0), F.size(h) - K), chosen))
 
+    def first_of_each(sorted_: Column) -> Column:
+        return F.filter(sorted_, lambda x, k: (k == 0) | (F.get(sorted_, k - 1)["h"] != x["h"]))
+
     # each array is bound once, as a lambda's variable, and not computed again for each element
-    each = F.flatten(F.transform(F.array(names), runs))
-    least = F.slice(F.sort_array(F.array_distinct(F.transform(F.filter(each, lambda x: x.isNotNull()), lambda x: F.shiftrightunsigned(x, 32)))), 1, sketch)
-    return F.array_join(F.transform(least, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    each = F.transform(F.array(names), runs)
+    each = F.transform(each, lambda r: F.sort_array(F.filter(r, lambda x: x.isNotNull())))
+    least = F.slice(F.flatten(F.transform(each, first_of_each)), 1, sketch)
+    return F.array_join(F.transform(least, lambda x: F.concat(F.lpad(F.lower(F.hex(x["h"])), 8, "0"), F.lpad(F.lower(F.hex(F.least(x["i"], F.lit(0xFFFFFF)))), 6, "0"))), "")
 
 
 def likeness(a: Column, b: Column, sketch: int = SKETCH) -> Column:
-    """Estimated share (Jaccard) of syncmers in common, 0 to 1; 1 for equal fingerprints, also empty ones."""
+    """Estimated share (Jaccard) of anchors in common and displaced alike, 0 to 1; 1 for equal fingerprints, also empty ones.
+
+    Of both texts' anchors the ``sketch`` least names are a sample of their union;
+    those of them that both hold and that match by position are counted.
+    """
 
     def marks(f: Column) -> Column:
-        return F.regexp_extract_all(f, F.lit("[0-9a-f]{8}"), F.lit(0))
+        return F.regexp_extract_all(f, F.lit(f"[0-9a-f]{{{_MARK}}}"), F.lit(0))
+
+    def name(mark: Column) -> Column:
+        return F.left(mark, F.lit(8))
+
+    def place(mark: Column) -> Column:
+        return F.conv(F.substring(mark, 9, 6), 16, 10).cast("int")
+
+    def matched(common: Column) -> Column:
+        """Of (place, shift) sorted by place: those with a neighbour that is displaced alike; a single one counts."""
+        def alike(x: Column, k: Column) -> Column:
+            near = F.lit(False)
+            for step in (-1, 1):
+                there = F.get(common, k + step)
+                near = near | F.coalesce((k + step >= 0) & (F.abs(there["d"] - x["d"]) <= SLACK), F.lit(False))
+            return near | (F.size(common) == 1)
+
+        return F.size(F.filter(common, alike))
 
     def share(pair: Column) -> Column:
         x, y = F.get(pair, 0), F.get(pair, 1)
-        least = F.slice(F.sort_array(F.array_union(x, y)), 1, sketch)
-        return F.size(F.array_intersect(F.array_intersect(least, x), y)).cast("double") / F.greatest(F.size(least), F.lit(1))
+        return F.get(F.transform(F.array(F.struct(x.alias("x"), y.alias("y"), F.transform(y, name).alias("n"), F.slice(F.sort_array(F.array_union(F.transform(x, name), F.transform(y, name))), 1, sketch).alias("u"))), counted), 0)
+
+    def counted(s: Column) -> Column:
+        at = F.transform(F.filter(s["x"], lambda m: F.array_contains(s["n"], name(m)) & F.array_contains(s["u"], name(m))), lambda m: F.struct(place(m).alias("p"), (place(F.get(s["y"], F.array_position(s["n"], name(m)).cast("int") - 1)) - place(m)).alias("d")))
+        both = F.get(F.transform(F.array(F.sort_array(at)), matched), 0)
+        return both.cast("double") / F.greatest(F.size(s["u"]), F.lit(1))
 
     return F.when(a == b, F.lit(1.0)).otherwise(F.get(F.transform(F.array(F.array(marks(a), marks(b))), share), 0))
 
