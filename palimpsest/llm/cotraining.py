@@ -216,7 +216,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(_plain(c) for c in metadata))
     ids = slim.select("id").join(told, "id").withColumn("pick", F.xxhash64(F.lit("sample"), "id"))
     sample = ids.orderBy("pick", "id").limit(max_labelled).dropDuplicates(["id"])
-    chosen = slim.join(F.broadcast(sample), "id")  # at most max_labelled ids
+    # at most max_labelled rows: of rows that share an id one stands for all
+    given = F.struct("pick", "y", "text", *metadata)
+    chosen = slim.join(F.broadcast(sample), "id").groupBy("id").agg(F.min_by(given, F.xxhash64("text", *metadata)).alias("g")).select("g.*")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
