@@ -55,12 +55,17 @@ def prepare(spark: SparkSession) -> None:
 def checkpoint(df: DataFrame, name: str = "") -> DataFrame:
     """Cut the lineage with files in the shared checkpoint folder.
 
-    The folder is ``spark.checkpoint.dir`` of the session; a folder of our own
-    is set only where that is unset, as in local tests.
+    The folder is ``spark.checkpoint.dir`` of the session.  Only a local session may
+    leave that unset; it gets a folder of its own.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/palimpsest-checkpoints"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="palimpsest-checkpoints-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

@@ -455,3 +455,61 @@ def test_url_models_of_an_empty_table_and_ads_hosts(spark):
     pages = [(k, f"http://{'ads-track' if k % 5 == 0 else 'roads' + str(k % 13)}.io/a/{k}", 1, "x") for k in range(400)]
     got = urls.filter_urls(docs_of(spark, pages, schema), [])
     assert got.filter("host like 'ads%' and verdict = 'block'").count() == 80 and got.filter("host like 'roads%' and verdict = 'allow'").count() >= 310
+
+
+def _plain_fingerprint(hashes, text, k=3, piece=16, sketch=64):
+    """Anchors by name with their first place, from the words' 64-bit names (signed)."""
+    import re
+
+    words = re.findall("[^ \t-\r]{1,%d}" % piece, text or "")
+    h = [hashes[(w,)] for w in words]
+    if not words:
+        return {}
+    if len(h) < k:
+        runs = [(tuple(h), 0)]
+    else:
+        runs = [(tuple(h[i : i + k]), i) for i in range(len(h) - k + 1) if min(h[i], h[i + k - 1]) <= min(h[i + 1 : i + k - 1])]
+    return runs
+
+
+def test_fingerprints_and_likeness_against_brute_force(spark):
+    import re
+
+    from palimpsest.llm.fingerprints import fingerprint, likeness
+
+    rnd = random.Random(12)
+    words = ["w%d" % k for k in range(300)]
+    base = [" ".join(rnd.choice(words) for _ in range(n)) for n in (0, 1, 2, 3, 4, 30, 200, 400)]
+    texts = base + [b[: len(b) * 3 // 4] + " " + base[-1][: len(b) // 4] for b in base] + ["start " * 9 + base[-1], "x" * 500, "x" * 480 + "y" * 20, "dup dup dup " * 40, " \t\n", None, base[-1][900:] + " " + base[-1][:900]]
+    singles = sorted({w for t in texts if t for w in re.findall("[^ \t-\r]{1,16}", t)})
+    one = dict(zip(singles, [r[0] for r in docs_of(spark, [(w,) for w in singles], "w string").select(F.xxhash64("w")).collect()], strict=True))
+    named = {(w,): v for w, v in one.items()}
+    runs = [_plain_fingerprint(named, t) for t in texts]
+    whole = sorted({r for rs in runs for r, _ in rs if len(r) == 3}) if runs else []
+    triple = dict(zip(whole, [r[0] for r in docs_of(spark, whole, "a long, b long, c long").select(F.xxhash64("a", "b", "c")).collect()], strict=True))
+    short = sorted({r for rs in runs for r, _ in rs if len(r) < 3})
+    few = dict(zip(short, [r[0] for r in docs_of(spark, [(list(r),) for r in short], "h array<long>").select(F.xxhash64("h")).collect()], strict=True))
+    want = []
+    for rs in runs:
+        first = {}
+        for r, i in rs:
+            name = ((triple if len(r) == 3 else few)[r] % (1 << 64)) >> 32
+            first[name] = min(i, first.get(name, i))
+        want.append("".join(f"{n:08x}{first[n]:06x}" for n in sorted(first)[:64]))
+    got = [r[0] for r in docs_of(spark, list(enumerate(texts))).orderBy("doc_id").select(fingerprint(F.col("text"))).collect()]
+    assert got == want
+
+    def share(a, b):
+        if a == b:
+            return 1.0
+        x, y = ({m[:8]: int(m[8:], 16) for m in re.findall(".{14}", f)} for f in (a, b))
+        union = sorted({*x, *y})[:64]
+        common = sorted((x[n], y[n] - x[n]) for n in union if n in x and n in y)
+        near = [k for k, (_, d) in enumerate(common) if len(common) == 1 or any(0 <= j < len(common) and abs(common[j][1] - d) <= 8 for j in (k - 1, k + 1))]
+        return len(near) / max(len(union), 1)
+
+    pairs = [(a, b) for a in want for b in want]
+    liked = docs_of(spark, [(k, *p) for k, p in enumerate(pairs)], "k long, a string, b string").orderBy("k").select(likeness(F.col("a"), F.col("b"))).collect()
+    assert np.allclose([r[0] for r in liked], [share(a, b) for a, b in pairs])
+    at = {t: k for k, t in enumerate(texts)}
+    assert share(want[at["x" * 500]], want[at["x" * 480 + "y" * 20]]) > 0 and share(want[7], want[at["start " * 9 + base[-1]]]) > 0.9
