@@ -1,4 +1,4 @@
-"""Goal-driven episodes: a state machine over each track, folded inside the engine."""
+"""Goal-driven episodes: openings by windows over each track."""
 
 from __future__ import annotations
 
@@ -11,27 +11,24 @@ def segment(events: DataFrame, track: list[str], *, break_us: int = BREAK_US, or
     """``events`` with ``episode_no``.
 
     A goal opens a new episode once the current one has a goal and progress after
-    it, or after a break; any activity opens one after a break.  The state depends
-    on the current episode, so each track's events are folded in order with
-    ``aggregate`` (no Python, one pass); a track's events are one row while folded.
+    it, or after a break; any activity opens one after a break.
+
+    Breaks depend on times alone and cut a track into stretches.  Within a stretch,
+    goals and progress alternate in runs, and the first goal of a run opens an
+    episode if there was a goal before: then the run of goals before it is in the
+    current episode and the progress between them came after it.  So windows tell
+    all openings, and no track is held as one row.
     """
     goal, progress = F.col("kind") == "goal", F.col("kind").isin("tool-input", "tool-output", "error", "outcome")
-    row = F.struct(F.col(order).alias("id"), F.col(time).alias("at"), goal.alias("goal"), progress.alias("progress"))
-    folded = events.groupBy(*track).agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    start = F.struct(F.lit(0).alias("no"), F.lit(None).cast("long").alias("last"), F.lit(False).alias("has_goal"), F.lit(False).alias("moved"), F.array().cast("array<int>").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        gap = F.greatest(F.lit(0), r["at"] - s["last"]) >= break_us
-        gap = F.coalesce(gap, F.lit(False))
-        opens = (s["no"] == 0) | (r["goal"] & s["has_goal"] & s["moved"]) | (gap & (r["goal"] | r["progress"]))
-        no = s["no"] + opens.cast("int")
-        had = ~opens & s["has_goal"]
-        return F.struct(no.alias("no"), F.coalesce(r["at"], s["last"]).alias("last"), (had | r["goal"]).alias("has_goal"), ((~opens & s["moved"]) | (had & r["progress"])).alias("moved"), F.concat(s["out"], F.array(no)).alias("out"))
-
-    numbers = F.aggregate("rows", start, step, lambda s: s["out"])
-    ids = F.arrays_zip(F.transform("rows", lambda r: r["id"]).alias("id"), numbers.alias("no"))
-    flat = folded.select(*track, F.explode(ids).alias("e")).select(*track, F.col("e.id").alias(order), F.col("e.no").alias("episode_no"))
-    return events.join(flat, [*track, order])
+    w = Window.partitionBy(*track).orderBy(order)
+    gap = F.greatest(F.lit(0), F.col(time) - F.last(time, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))) >= break_us
+    cut = (F.row_number().over(w) == 1) | (F.coalesce(gap, F.lit(False)) & (goal | progress))
+    rows = events.withColumn("_cut", cut).withColumn("_stretch", F.sum(F.col("_cut").cast("int")).over(w))
+    earlier = Window.partitionBy(*track, "_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    moved = F.last(F.when(goal | progress, progress), ignorenulls=True).over(earlier)
+    opens = F.col("_cut") | (goal & F.coalesce(moved, F.lit(False)) & F.coalesce(F.max(goal).over(earlier), F.lit(False)))
+    rows = rows.withColumn("_opens", opens)
+    return rows.withColumn("episode_no", F.sum(F.col("_opens").cast("int")).over(w).cast("int")).drop("_cut", "_stretch", "_opens")
 
 
 def render(segmented: DataFrame, track: list[str], *, order: str = "event_id", time: str = "us", cap_us: int = 1_800_000_000) -> DataFrame:

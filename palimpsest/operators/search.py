@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -142,6 +144,14 @@ def cluster_keywords(docs: DataFrame, cluster: str, key: str, text: str, stop: l
     return ranked(scored.select(cluster, "word", "score"), [cluster], [F.desc("score"), F.desc("word")], top)
 
 
+def cluster_labels(docs: DataFrame, cluster: str, key: str, text: str, stop: list[str], *, words: int = 3) -> DataFrame:
+    """(cluster, label, size): a cluster's best words; documents without a cluster are 'Unclustered', under an empty name."""
+    own = docs.withColumn(cluster, F.coalesce(F.col(cluster), F.lit("")))
+    best = cluster_keywords(own, cluster, key, text, stop, words).groupBy(cluster).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]), " / ").alias("label"))
+    size = own.groupBy(cluster).agg(F.count("*").alias("size"))
+    return best.join(size, cluster).withColumn("label", F.when(F.col(cluster) == "", "Unclustered").otherwise(F.col("label")))
+
+
 def chunks(rows: DataFrame, text: str, size: int) -> DataFrame:
     """Texts cut into pieces of ``size`` characters: chunk_no from 0 and ``chunk``; an empty text has none."""
     n = F.ceil(F.length(text) / size).cast("int")
@@ -151,32 +161,58 @@ def chunks(rows: DataFrame, text: str, size: int) -> DataFrame:
 def rolling_windows(rows: DataFrame, track: str, order: str, text: str, budget: int, overlap: int) -> DataFrame:
     """Greedy windows of at most ``budget`` characters; the next window starts ``overlap`` rows before the last one's end.
 
-    Returns (track, window_no, first, last, characters).  Each track is folded once
-    with ``aggregate``; a row longer than the budget is a window of its own.
+    Returns (track, window_no, first, last, characters).  Tracks are dealt out and
+    sorted, and each is read once with the state of one window, so that no track is
+    held whole; a row longer than the budget is a window of its own.  Tracks and
+    orders are whole numbers.
     """
-    row = F.struct(F.col(order).alias("o"), F.length(text).alias("n"))
-    folded = rows.groupBy(track).agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    held = "array<struct<o:bigint,n:int>>"
-    start = F.struct(F.array().cast(held).alias("now"), F.array().cast(f"array<{held}>").alias("done"), F.lit(0).alias("fresh"))
-
-    def total(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0), lambda s, r: s + r["n"])
-
-    def step(s: Column, r: Column) -> Column:
-        one = F.struct(r["o"].cast("bigint").alias("o"), r["n"].cast("int").alias("n"))
-        full = (F.size(s["now"]) > 0) & (total(s["now"]) + r["n"] > budget)
-        keep = F.slice(s["now"], F.greatest(F.lit(1), F.size(s["now"]) - overlap + 1), F.lit(overlap)) if overlap else F.array().cast(held)
-        keep = F.when(total(keep) + r["n"] <= budget, keep).otherwise(F.array().cast(held))
-        now = F.when(full, F.concat(keep, F.array(one))).otherwise(F.concat(s["now"], F.array(one)))
-        done = F.when(full, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"])
-        return F.struct(now.alias("now"), done.alias("done"), F.lit(0).alias("fresh"))
-
-    windows = F.aggregate("rows", start, step, lambda s: F.concat(s["done"], F.array(s["now"])))
-    flat = folded.select(track, F.posexplode(windows).alias("window_no", "_w"))
-    return flat.select(track, "window_no", F.element_at("_w", 1)["o"].alias("first"), F.element_at("_w", -1)["o"].alias("last"), total(F.col("_w")).cast("long").alias("characters"))
+    sized = rows.select(F.col(track).cast("long").alias("t"), F.col(order).cast("long").alias("o"), F.length(text).cast("long").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: list[tuple[int, int]] = []
+        owner, number, out = None, 0, []
+
+        def close() -> None:
+            nonlocal number
+            if now:
+                out.append((owner, number, now[0][0], now[-1][0], sum(n for _, n in now)))
+                number += 1
+
+        def given() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            found = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["t", "window_no", "first", "last", "characters"])
+            out.clear()
+            return found
+
+        for b in batches:
+            for t, o, n in zip(b.column("t").to_pylist(), b.column("o").to_pylist(), b.column("n").to_pylist(), strict=True):
+                n = n or 0
+                if t != owner:
+                    close()
+                    now, owner, number = [], t, 0
+                if now and sum(x for _, x in now) + n > budget:
+                    close()
+                    now = now[max(len(now) - overlap, 0) :] if overlap else []
+                    if sum(x for _, x in now) + n > budget:
+                        now = []
+                now.append((o, n))
+            yield given()
+        close()
+        yield given()
+
+    dealt = sized.repartition("t").sortWithinPartitions("t", "o")
+    out = dealt.mapInArrow(run, "t long, window_no int, first long, last long, characters long")
+    return out.withColumnRenamed("t", track)
 
 
 def recent(rows: DataFrame, time: str, span: int) -> DataFrame:
     """Rows of the last ``span`` units before the newest row."""
     newest = rows.agg(F.max(time).alias("_newest"))
     return rows.crossJoin(F.broadcast(newest)).filter(F.col(time) > F.col("_newest") - span).drop("_newest")
+
+
+def headline(text: Column, terms: Column, *, before: int = 80, width: int = 320) -> Column:
+    """An excerpt around the first of the terms, each of them within <mark> tags; the text's head if it holds none."""
+    pattern = F.concat(F.lit(r"(?i)(?<![\p{L}\p{N}_])("), F.array_join(terms, "|"), F.lit(r")(?![\p{L}\p{N}_])"))
+    start = F.greatest(F.regexp_instr(text, pattern) - before, F.lit(1))
+    return F.when(F.size(terms) > 0, F.regexp_replace(F.substring(text, start, F.lit(width)), pattern, F.lit("<mark>$1</mark>"))).otherwise(F.substring(text, 1, width))

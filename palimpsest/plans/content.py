@@ -135,12 +135,24 @@ def cluster_keywords(spark, sf_dir):
     return S.cluster_keywords(T(spark, sf_dir, "documents"), "source", "doc_id", "text", STOP, 8)
 
 
+@query("WITH c AS (SELECT CASE WHEN source LIKE '%1' THEN NULL ELSE source END AS cluster, doc_id, text FROM documents)" + f""", w AS (SELECT cluster, doc_id, unnest(list_distinct({WORDS.format('text')})) AS word FROM c), f AS (SELECT * FROM w WHERE length(word) > 2 AND word NOT IN ({', '.join(repr(s) for s in STOP)})),
+df AS (SELECT word, count(*) AS df FROM f GROUP BY 1), dc AS (SELECT cluster, word, count(*) AS dfc FROM f GROUP BY 1, 2), sz AS (SELECT cluster, count(*) AS n FROM c GROUP BY 1),
+s AS (SELECT dc.cluster, word, round(dfc::DOUBLE / n * ln(1 + (SELECT count(*) FROM c)::DOUBLE / df), 6) AS score, n FROM dc JOIN df USING (word) JOIN sz ON sz.cluster IS NOT DISTINCT FROM dc.cluster), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, word DESC) AS rank FROM s)
+SELECT coalesce(cluster, '') AS cluster, CASE WHEN cluster IS NULL THEN 'Unclustered' ELSE string_agg(word, ' / ' ORDER BY rank) END AS label, any_value(n) AS size FROM r WHERE rank <= 3 GROUP BY cluster""")
+def cluster_labels(spark, sf_dir):
+    d = T(spark, sf_dir, "documents").withColumn("cluster", F.when(~F.col("source").like("%1"), F.col("source")))
+    return S.cluster_labels(d, "cluster", "doc_id", "text", STOP)
+
+
 @query("SELECT doc_id, k::INTEGER AS chunk_no, substr(text, k * 1000 + 1, 1000) AS chunk FROM (SELECT doc_id, text, unnest(range(ceil(length(text) / 1000.0)::BIGINT)) AS k FROM documents WHERE length(text) > 0) x".replace("k * 1000 + 1", "(k * 1000 + 1)::BIGINT"))
 def chunk_text(spark, sf_dir):
     return S.chunks(T(spark, sf_dir, "documents").select("doc_id", "text"), "text", 1000).select("doc_id", "chunk_no", "chunk")
 
 
-@query()
+@query("""WITH RECURSIVE u AS (SELECT conv_id AS session_id, turn AS ordinal, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
+st(session_id, rn, f, o, n, total, w) AS (SELECT session_id, rn, ordinal, ordinal, n, n, 0 FROM u WHERE rn = 1 UNION ALL SELECT u.session_id, u.rn, CASE WHEN st.total + u.n <= 1500 THEN st.f WHEN st.n + u.n <= 1500 THEN st.o ELSE u.ordinal END, u.ordinal, u.n,
+ CASE WHEN st.total + u.n <= 1500 THEN st.total + u.n WHEN st.n + u.n <= 1500 THEN st.n + u.n ELSE u.n END, CASE WHEN st.total + u.n <= 1500 THEN st.w ELSE st.w + 1 END FROM st JOIN u ON u.session_id = st.session_id AND u.rn = st.rn + 1)
+SELECT session_id, w::INTEGER AS window_no, min(f) AS first, max(o) AS last, max(total)::BIGINT AS characters FROM st GROUP BY session_id, w""")
 def rolling_windows(spark, sf_dir):
     return S.rolling_windows(V.units(spark, sf_dir), "session_id", "ordinal", "text", 1500, 1)
 

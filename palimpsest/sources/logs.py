@@ -10,7 +10,7 @@ a ``parse-error`` event.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from palimpsest.functions import text as X
 
@@ -23,10 +23,10 @@ def raw_lines(spark: SparkSession, path: str) -> DataFrame:
     Files are session logs: each fits a row.  Offsets count bytes of the file.
     """
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\n").alias("_l"))
-    whole = files.withColumn("_l", F.slice("_l", 1, F.greatest(F.size("_l") - 1, F.lit(0))))
-    ends = F.aggregate("_l", F.array(F.lit(0).cast("bigint")), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + F.octet_length(x) + 1)))
-    out = whole.select("path", ends.alias("_at"), F.posexplode("_l").alias("_n", "payload"))
-    return out.select("path", (F.col("_n") + 1).alias("line_no"), F.get("_at", F.col("_n")).alias("byte_offset"), "payload", F.sha2("payload", 256).alias("payload_hash"))
+    rows = files.select("path", (F.size("_l") - 1).alias("_whole"), F.posexplode("_l").alias("_n", "payload")).filter("_n < _whole")
+    before = Window.partitionBy("path").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum(F.octet_length("payload").cast("long") + 1).over(before), F.lit(0))
+    return rows.select("path", (F.col("_n") + 1).alias("line_no"), offset.alias("byte_offset"), "payload", F.sha2("payload", 256).alias("payload_hash"))
 
 
 def _frag(kind: Column, value: Column, label: Column | None = None, error: Column | None = None) -> Column:
@@ -165,6 +165,30 @@ def document_events(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", "session_external_id", "projection_index", F.when(m.isNull(), "session_meta").otherwise(F.coalesce(_get(m, "$.type"), F.lit("unknown"))).alias("event_type"), X.normalize_timestamp(F.coalesce(_get(m, "$.timestamp"), _get(F.col("d"), "$.startTime"))).alias("us"), _get(m, "$.id").alias("provider_event_id"), _some(fragments).alias("fragments"))
 
 
+def table_events(sessions: DataFrame, messages: DataFrame, parts: DataFrame) -> DataFrame:
+    """Events of a store with sessions (id, directory, parent_id, time_created), messages and parts (id, ..., data as JSON).
+
+    One event for each message, in order of its id; its fragments are its parts by
+    id: text, reasoning, and tools with input, output and whether they failed.  A
+    message without parts has no fragments, and one of an unknown session is kept.
+    """
+    d = F.col("_p.data")
+    kind, state = _get(d, "$.type"), "$.state"
+    said = F.when(F.col("_role") == "user", "user-message").otherwise("assistant-message")
+    failed = _get(d, f"{state}.status") == "error"
+    one = (
+        F.when(kind == "text", F.array(_frag(said, _get(d, "$.text")))).when(kind == "reasoning", F.array(_frag(F.lit("reasoning"), _get(d, "$.text"))))
+        .when(kind == "tool", F.array(_frag(F.lit("tool-input"), _get(d, f"{state}.input"), _get(d, "$.tool")), _frag(F.lit("tool-output"), F.coalesce(_get(d, f"{state}.output"), _get(d, f"{state}.error")), _get(d, "$.tool"), failed)))
+        .when(kind == "file", F.array(_frag(F.lit("attachment"), F.concat_ws(" ", F.lit("[attachment]"), _get(d, "$.mime"), _get(d, "$.filename"))))).otherwise(F.array().cast(FRAGMENT))
+    )
+    own = messages.select(F.col("id").alias("message_id"), F.col("session_id"), F.col("time_created"), _get(F.col("data"), "$.role").alias("_role"))
+    held = parts.select("message_id", F.struct("id", "data").alias("_p")).join(own.select("message_id", "_role"), "message_id").select("message_id", F.col("_p.id").alias("_id"), one.alias("_f"))
+    whole = held.groupBy("message_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_id", "_f"))), lambda x: x["_f"])).alias("_all"))
+    s = sessions.select(F.col("id").alias("session_id"), F.col("directory").alias("cwd"), F.col("parent_id").alias("parent_session_external_id"))
+    out = own.join(whole, "message_id", "left").join(s, "session_id", "left")
+    return out.select(F.col("session_id").alias("session_external_id"), "parent_session_external_id", F.lit("message").alias("event_type"), F.col("_role").alias("role"), X.normalize_timestamp(F.col("time_created").cast("string")).alias("us"), F.col("message_id").alias("provider_event_id"), "cwd", _some(F.coalesce("_all", F.array().cast(FRAGMENT))).alias("fragments"))
+
+
 def commit_log(log: DataFrame, column: str = "value") -> DataFrame:
     """Commits of a log framed by the ASCII record (30) and unit (31) separators: hash, parents, name, email, time, subject, body."""
     records = log.select(F.explode(F.split(column, "\x1e")).alias("r")).select(F.split(X.strip(F.col("r")), "\x1f").alias("f")).filter(F.size("f") >= 6)

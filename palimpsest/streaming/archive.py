@@ -30,6 +30,11 @@ def timeline(stream: DataFrame, time: str, by: str, *, window: str = "1 day", la
     return stream.withWatermark(time, late).groupBy(F.window(time, window), by).agg(F.count("*").alias("events")).select(F.col("window.start").alias("start"), by, "events")
 
 
+def sliding(stream: DataFrame, time: str, by: str, *, window: str = "7 days", slide: str = "1 day", late: str = "2 days") -> DataFrame:
+    """Counts by windows that overlap: each event counts in every window that it falls into."""
+    return stream.withWatermark(time, late).groupBy(F.window(time, window, slide), by).agg(F.count("*").alias("events")).select(F.col("window.start").alias("start"), by, "events")
+
+
 def sessions(stream: DataFrame, time: str, key: str, *, gap: str = "1 hour", late: str = "2 days") -> DataFrame:
     """Work sessions by inactivity: an event exactly a gap later joins; ``last`` is the last event, not its end of waiting."""
     return stream.withWatermark(time, late).groupBy(F.session_window(time, gap), key).agg(F.min(time).alias("first"), F.max(time).alias("last"), F.count("*").alias("events")).select(key, "first", "last", "events")

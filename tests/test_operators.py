@@ -189,3 +189,140 @@ def test_entry_imports_without_llm(small, spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_episodes_equal_a_state_machine(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows, want, k = [], {}, 0
+    for track in range(30):
+        no, last, has_goal, moved, at = 0, None, False, False, 0
+        for _ in range(60):
+            kind = rnd.choice(("goal", "goal", "tool-input", "error", "note"))
+            at += rnd.choice((1, 2, 11, 12, 13)) * 60 * MIN if rnd.random() < 0.2 else MIN
+            us = None if rnd.random() < 0.1 else at
+            goal, progress = kind == "goal", kind in ("tool-input", "error")
+            gap = us is not None and last is not None and max(0, us - last) >= 12 * 60 * MIN
+            if no == 0 or (goal and has_goal and moved) or (gap and (goal or progress)):
+                no, has_goal, moved = no + 1, False, False
+            moved = moved or (has_goal and progress)
+            has_goal = has_goal or goal
+            last = last if us is None else us
+            rows.append((k, track, kind, us))
+            want[k] = no
+            k += 1
+    ev = spark.createDataFrame(rows, "event_id long, session_id long, kind string, us long")
+    assert {r.event_id: r.episode_no for r in episodes.segment(ev, ["session_id"]).collect()} == want
+
+
+def test_rolling_windows_equal_a_plain_loop(spark):
+    import random
+
+    rnd = random.Random(6)
+    rows = [(t, k, "x" * rnd.choice((0, 5, 30, 90, 200))) for t in range(12) for k in range(40)]
+    want = []
+    for t in range(12):
+        now, n = [], 0
+        for _, k, x in [r for r in rows if r[0] == t]:
+            if now and sum(len(y) for _, y in now) + len(x) > 150:
+                want.append((t, n, now[0][0], now[-1][0]))
+                n += 1
+                now = now[-2:]
+                if sum(len(y) for _, y in now) + len(x) > 150:
+                    now = []
+            now.append((k, x))
+        want.append((t, n, now[0][0], now[-1][0]))
+    df = spark.createDataFrame(rows, "session_id long, ordinal long, text string").repartition(5)
+    got = S.rolling_windows(df, "session_id", "ordinal", "text", 150, 2).collect()
+    assert sorted((r.session_id, r.window_no, r.first, r.last) for r in got) == want
+
+
+def test_headlines_mark_whole_words(spark):
+    r = spark.createDataFrame([("x" * 300 + " The Cat sat; concat cat.", ["cat", "sat"]), ("nothing", [])], "t string, q array<string>").select(S.headline(F.col("t"), F.col("q")).alias("h")).collect()
+    assert r[0].h.endswith("The <mark>Cat</mark> <mark>sat</mark>; concat <mark>cat</mark>.") and len(r[0].h) < 340 and r[1].h == "nothing"
+
+
+def test_failed_lines_in_any_case_are_actionable(spark):
+    lines = ["failed", "Failed", "FAILED x", "failed: y", "unfailed", "not failed"]
+    got = spark.createDataFrame([(x,) for x in lines], "t string").select(X.is_actionable(F.col("t")).alias("a")).collect()
+    assert [r.a for r in got] == [True, True, True, True, False, False]
+
+
+def test_lineage_of_long_chains_and_long_cycles(spark):
+    chain = [(k, k - 1 if k else None) for k in range(300)]
+    ring = [(1000 + k, 1000 + (k + 7) % 150) for k in range(150)] + [(2000, 1003)]
+    got = {r.id: r.root_id for r in R.lineage_roots(spark.createDataFrame(chain + ring, "id long, parent_id long")).collect()}
+    assert all(got[k] == 0 for k in range(300)) and all(got[1000 + k] == 1000 for k in range(150)) and got[2000] == 1000
+
+
+def test_fair_shares_and_balanced_sections():
+    from palimpsest.operators import records as C
+
+    assert C.fair_shares([5, 50, 50], 61) == [5, 28, 28] and C.fair_shares([10, 10], 5) == [3, 2] and C.fair_shares([1, 2], 50) == [1, 2] and C.fair_shares([], 5) == []
+    text = "".join(f"[{n}]\n{c * 900}\n\n" for n, c in (("GOAL", "a"), ("RESULT", "b"), ("ERROR", "c"), ("CONTEXT", "d")))
+    cut = C.balanced_text(text, 2000)
+    assert len(cut) <= 2000 and all(f"[{n}]" in cut for n in ("GOAL", "RESULT", "ERROR", "CONTEXT")) and C.balanced_text("short", 10) == "short" and C.balanced_text("x" * 20, 10) == "x" * 10
+
+
+def test_json_redaction_and_counts(spark):
+    from palimpsest.functions import jsontext as J
+
+    body = json.dumps({"type": "reasoning", "encrypted_content": "äb", "summary": [{"type": "t", "text": "s"}], "deep": [{"type": "REASONING", "summary": "A" * 128}]})
+    d = spark.createDataFrame([(body,), ("no",), (None,)], "t string").select(J.redacted(F.col("t")).alias("r"), J.footprint(F.col("t")).alias("n"), J.sorted_json(F.col("t")).alias("s")).collect()
+    out = json.loads(d[0].r)
+    assert out["encrypted_content"] == J.MARKER and out["encrypted_content_byte_count"] == 3 and out["encrypted_content_redacted"] is True
+    assert tuple(d[0].n) == (2, 1, 3, 1, 1) and tuple(d[1].n) == (0, 0, 0, 0, 0) and d[1].r is None and d[2].s is None
+    assert d[0].s == json.dumps(json.loads(body), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def test_table_stores(spark):
+    s = spark.createDataFrame([("s1", "/w", None)], "id string, directory string, parent_id string")
+    m = spark.createDataFrame([("m1", "s1", 1704067200000, '{"role":"user"}'), ("m2", "s1", 1704067201000, '{"role":"assistant"}'), ("m3", "s9", 1, "{}")], "id string, session_id string, time_created long, data string")
+    p = spark.createDataFrame([("p2", "m2", '{"type":"tool","tool":"bash","state":{"status":"error","input":{"a":1},"error":"bad"}}'), ("p1", "m2", '{"type":"text","text":"hi"}'), ("p0", "m1", '{"type":"text","text":"q"}')], "id string, message_id string, data string")
+    rows = {r.provider_event_id: r for r in logs.table_events(s, m, p).collect()}
+    assert [(f.kind, f.text, f.is_error) for f in rows["m2"].fragments] == [("assistant-message", "hi", False), ("tool-input", '{"a":1}', False), ("tool-output", "bad", True)]
+    assert [f.kind for f in rows["m1"].fragments] == ["user-message"] and rows["m1"].us == 1_704_067_200_000_000 and rows["m3"].fragments == [] and rows["m1"].cwd == "/w"
+
+
+def test_commit_owners_and_source_scopes(spark):
+    seen = spark.createDataFrame([("h", "b", 5), ("h", "a", 5), ("h", "c", 9), ("g", "z", 1)], "hash string, identity string, first_seen long")
+    assert {r.hash: r.identity for r in logs.commit_owners(seen).collect()} == {"h": "a", "g": "z"}
+    files = spark.createDataFrame([("x/2024/01/05/a.jsonl", "2024-03-01"), ("y/b.jsonl", "2024-01-06"), ("z/c.jsonl", "2024-02-01")], "path string, d string").select("path", F.to_timestamp("d").alias("modified"))
+    got = {r.path[0]: r.decision for r in logs.in_scope(files, "2024-01-05", "2024-01-31").collect()}
+    assert got == {"x": "exact", "y": "mtime"} and {r.decision for r in logs.in_scope(files, None, None).collect()} == {"unbounded"}
+
+
+def test_snapshots_and_partitions(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    root = str(tmp_path / "p")
+    exports.publish(rows, root, "one")
+    exports.publish(rows.filter("k = 2"), root, "two")
+    assert [r.k for r in exports.published(spark, root).collect()] == [2]
+    path = str(tmp_path / "q")
+    exports.replace_partitions(rows, path, ["k"])
+    exports.replace_partitions(spark.createDataFrame([(2, "c")], "k long, v string"), path, ["k"])
+    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c")]
+
+
+def test_streamed_windows(spark, tmp_path):
+    src = str(tmp_path / "in")
+    rows = [("a", "2024-01-01 10:00:00"), ("a", "2024-01-01 10:30:00"), ("a", "2024-01-02 10:00:00"), ("b", "2024-01-01 11:00:00")]
+    spark.createDataFrame(rows, "who string, t string").select("who", F.to_timestamp("t").alias("at")).write.parquet(src)
+
+    def run(build, name, mode):
+        q = build(archive.read_stream(spark, src, "who string, at timestamp"), "at", "who").writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.table(name).collect()
+
+    assert sorted((r.who, r.events) for r in run(archive.timeline, "tumbling", "complete")) == [("a", 1), ("a", 2), ("b", 1)]
+    assert len(run(archive.sliding, "overlapping", "complete")) == 8 + 7
+    assert sorted((r.who, r.events) for r in run(archive.sessions, "by_gap", "complete")) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_price_books_do_not_change_under_their_version(spark):
+    from palimpsest.operators import reports as P
+
+    book = spark.createDataFrame([("v1", 1, "2.5"), ("v1", 2, "3")], "version string, line long, rate string")
+    old, other = P.price_books(book, "version", ["line"], ["line", "rate"]), P.price_books(book.withColumn("rate", F.lit("9")), "version", ["line"], ["line", "rate"])
+    assert P.check_book(old, old, "version").count() == 0 and P.check_book(old, other, "version").count() == 1
