@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from palimpsest.session import checkpoint
+
 #: Most tokens of a query that count.
 QUERY_TOKENS = 64
 
@@ -32,15 +34,21 @@ def lexical(docs: DataFrame, queries: DataFrame, key: str, text: str, qkey: str,
 
     A text's words meet the queries' distinct terms before anything is counted, so
     only words that are asked for are shuffled; the terms are broadcast if a count
-    finds them few.  A query without words matches nothing.
+    finds them few.  A query's candidates are the documents that hold its rarest
+    term, and only they meet its other terms.  A query without words matches nothing.
     """
     asked = queries.select(F.col(qkey), query_terms(F.col(qtext)).alias("_t"))
     terms = asked.select(qkey, F.explode("_t").alias("term"), F.size("_t").alias("_need"))
     wanted = terms.select("term").distinct()
     few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    words = docs.select(F.col(key), tokens(F.col(text)).alias("_w")).select(key, F.explode("_w").alias("term"), F.size("_w").alias("length"))
+    words = docs.select(F.col(key), tokens(F.col(text)).alias("_w")).withColumn("length", F.size("_w"))
+    words = words.select(key, "length", F.explode("_w").alias("term"))  # without the array itself, which each row would copy
     counts = words.join(F.broadcast(wanted) if few else wanted, "term", "left_semi").groupBy("term", key, "length").agg(F.count("*").alias("tf"))
-    hits = counts.join(terms, "term").groupBy(qkey, key, "_need", "length").agg(F.count("*").alias("_got"), F.sum("tf").alias("tf"))
+    counts = checkpoint(counts)  # it is read three times
+    held = counts.groupBy("term").agg(F.count("*").alias("_df"))
+    rare = terms.join(held, "term", "left").groupBy(qkey, "_need").agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("n"), "term"))["term"].alias("term"))
+    found = counts.join(rare, "term").select(qkey, key, "_need")
+    hits = found.join(terms.select(qkey, "term"), qkey).join(counts, [key, "term"]).groupBy(qkey, key, "_need", "length").agg(F.count("*").alias("_got"), F.sum("tf").alias("tf"))
     return hits.filter("_got = _need").select(qkey, key, "tf", F.col("length").cast("long").alias("length"))
 
 

@@ -58,7 +58,7 @@ hit AS (SELECT item_id, doc_id, list_sum(list_transform(w, lambda x: list_contai
 
 
 def lexical_hits(spark, sf_dir):
-    return S.lexical(T(spark, sf_dir, "documents"), T(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+    return S.lexical(V.texts(spark, sf_dir, "documents"), T(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
 @query(LEX + " SELECT item_id, doc_id, tf, length FROM hit")
@@ -132,7 +132,7 @@ STOP = ["the", "and", "que", "les", "der", "die", "und", "des"]
 df AS (SELECT word, count(*) AS df FROM f GROUP BY 1), dc AS (SELECT source, word, count(*) AS dfc FROM f GROUP BY 1, 2), sz AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
 s AS (SELECT source, word, round(dfc::DOUBLE / n * ln(1 + (SELECT count(*) FROM documents)::DOUBLE / df), 6) AS score FROM dc JOIN df USING (word) JOIN sz USING (source)), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, word DESC)::INTEGER AS rank FROM s) SELECT * FROM r WHERE rank <= 8""")
 def cluster_keywords(spark, sf_dir):
-    return S.cluster_keywords(T(spark, sf_dir, "documents"), "source", "doc_id", "text", STOP, 8)
+    return S.cluster_keywords(V.texts(spark, sf_dir, "documents"), "source", "doc_id", "text", STOP, 8)
 
 
 @query("WITH c AS (SELECT CASE WHEN source LIKE '%1' THEN NULL ELSE source END AS cluster, doc_id, text FROM documents)" + f""", w AS (SELECT cluster, doc_id, unnest(list_distinct({WORDS.format('text')})) AS word FROM c), f AS (SELECT * FROM w WHERE length(word) > 2 AND word NOT IN ({', '.join(repr(s) for s in STOP)})),
@@ -140,7 +140,7 @@ df AS (SELECT word, count(*) AS df FROM f GROUP BY 1), dc AS (SELECT cluster, wo
 s AS (SELECT dc.cluster, word, round(dfc::DOUBLE / n * ln(1 + (SELECT count(*) FROM c)::DOUBLE / df), 6) AS score, n FROM dc JOIN df USING (word) JOIN sz ON sz.cluster IS NOT DISTINCT FROM dc.cluster), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, word DESC) AS rank FROM s)
 SELECT coalesce(cluster, '') AS cluster, CASE WHEN cluster IS NULL THEN 'Unclustered' ELSE string_agg(word, ' / ' ORDER BY rank) END AS label, any_value(n) AS size FROM r WHERE rank <= 3 GROUP BY cluster""")
 def cluster_labels(spark, sf_dir):
-    d = T(spark, sf_dir, "documents").withColumn("cluster", F.when(~F.col("source").like("%1"), F.col("source")))
+    d = V.texts(spark, sf_dir, "documents").withColumn("cluster", F.when(~F.col("source").like("%1"), F.col("source")))
     return S.cluster_labels(d, "cluster", "doc_id", "text", STOP)
 
 
@@ -350,7 +350,7 @@ def timestamp_normalize(spark, sf_dir):
 
 @query()
 def artifact_extract(spark, sf_dir):
-    pages = T(spark, sf_dir, "pages").select("page_id", F.explode(X.artifacts(F.concat("url", F.lit("\n"), "html"))).alias("a"))
+    pages = V.texts(spark, sf_dir, "pages").select("page_id", F.explode(X.artifacts(F.concat("url", F.lit("\n"), "html"))).alias("a"))
     return pages.select("page_id", "a.kind", "a.value")
 
 

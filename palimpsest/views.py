@@ -21,6 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for costly work on each row: a small one, with fewer splits than cores, is dealt to all cores.
+
+    A table that fills the cluster is read as it is, so nothing large is shuffled.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def micros(column: str) -> Column:
     return F.unix_micros(F.col(column).cast("timestamp"))
 
