@@ -23,6 +23,9 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import cache, lru_cache
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +35,15 @@ from . import exchange as X
 
 BITS = 14
 _SHAPES = [(re.compile(p), r) for p, r in ((r"[A-ZÀ-ÖØ-Þ]+", "A"), (r"[a-zß-öø-ÿ]+", "a"), (r"[0-9]+", "0"), (r"([^Aa0])\1+", r"\1\1"))]
+#: Words whose shape is told at once: capitals, small letters and one mark, each part possibly empty.
+_PLAIN = re.compile(r"([A-ZÀ-ÖØ-Þ]*)([a-zß-öø-ÿ]*)([.,;:!?]?)")
 _SHAPE_OF: dict[str, int] = {}
 _LEVELS = 12
 #: Steps over all confident documents in a round, weight of a pseudo-label, and unit of the gradients' sums.
 STEPS, PSEUDO, UNIT = 10, 0.3, float(1 << 30)
 
 
+@lru_cache(1 << 14)
 def _slot(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "replace")) & ((1 << BITS) - 1)
 
@@ -45,9 +51,12 @@ def _slot(name: str) -> int:
 def _shape(word: str) -> int:
     slot = _SHAPE_OF.get(word)
     if slot is None:
-        shape = word[:40]
-        for pattern, by in _SHAPES:
-            shape = pattern.sub(by, shape)
+        if plain := _PLAIN.fullmatch(word, 0, 40):
+            shape = "A" * bool(plain[1]) + "a" * bool(plain[2]) + plain[3]
+        else:
+            shape = word[:40]
+            for pattern, by in _SHAPES:
+                shape = pattern.sub(by, shape)
         slot = _slot("s" + shape[:12])
         if len(_SHAPE_OF) > 150_000:
             _SHAPE_OF.clear()
@@ -55,22 +64,33 @@ def _shape(word: str) -> int:
     return slot
 
 
+@cache
+def _kinds() -> np.ndarray:
+    """For each code point: 1 for a letter, 2 more for an upper-case one."""
+    points = list(map(chr, range(0x110000)))
+    return np.fromiter(map(str.isalpha, points), np.uint8, len(points)) | np.fromiter(map(str.isupper, points), np.uint8, len(points)) << 1
+
+
 def text_features(text: str) -> dict[int, float]:
     """Slots and weights; an empty text has the bias and a mark of its own."""
     words = text.split()
     out = {_slot("bias"): 1.0}
     if not words:
         return out | {_slot("empty"): 1.0}
-    n = len(words)
-    for s, c in Counter(map(_shape, words)).items():
+    n, times = len(words), Counter(words)
+    shapes: dict[int, int] = {}
+    for s, c in zip(map(_shape, times), times.values(), strict=True):
+        shapes[s] = shapes.get(s, 0) + c
+    for s, c in shapes.items():
         out[s] = out.get(s, 0.0) + (c / n) ** 0.5
-    letters = sum(map(str.isalpha, text)) or 1
+    kinds = np.bincount(_kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")], minlength=4).tolist()
+    letters = kinds[1] + kinds[3] or 1
     ratios = {
-        "upper": sum(map(str.isupper, text)) / letters,
+        "upper": (kinds[2] + kinds[3]) / letters,
         "letters": letters / len(text),
-        "distinct": len(set(words)) / n,
-        "again": sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
-        "long": sum(len(w) > 20 for w in words) / n,
+        "distinct": len(times) / n,
+        "again": sum(map(eq, words, islice(words, 1, None))) / n,
+        "long": sum(c for w, c in times.items() if len(w) > 20) / n,
         "lines": len(set(lines := text.split("\n"))) / len(lines),
         "size": min(np.log2(n + 1) / 16, 1.0),
     }
