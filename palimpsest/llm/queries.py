@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .conversations import conversation_trie
 from .cotraining import quality_scores
 from .fingerprints import syncmer_fingerprints
 from .html import extract_main_text
@@ -71,6 +72,10 @@ def op10_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_smallest_member_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations"), family=5, shared=9)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [v for k, v in globals().items() if k.startswith("op") and callable(v)]
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
@@ -108,7 +113,21 @@ n AS (SELECT doc_id, count(*) AS spans, sum(e - s + 1)::BIGINT AS gone FROM span
 SELECT d.doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id"""
 
+# CRC-32 of the decimal digits, bit by bit; a node is the list of its turns' digests
+_TRIE_SQL = """WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place, md5(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS e, strlen(coalesce(text, ''))::BIGINT AS b FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ord(s)::BIGINT)),
+  lambda x, y: list_reduce(list_prepend(xor(x, y), range(8)), lambda v, i: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 9 AS h FROM (SELECT DISTINCT conv_id FROM t) q),
+s AS (SELECT c.conv_id, 0 AS part, place, e, b FROM c JOIN t ON t.conv_id = base AND place <= h UNION ALL SELECT c.conv_id, 1, place, e, b FROM c JOIN t ON t.conv_id = c.conv_id AND place > h),
+path AS (SELECT c.conv_id, coalesce(list(e ORDER BY part, place) FILTER (e IS NOT NULL), []) AS es, coalesce(list(b ORDER BY part, place) FILTER (e IS NOT NULL), []) AS bs FROM c LEFT JOIN s ON s.conv_id = c.conv_id GROUP BY 1),
+occ AS (SELECT conv_id, d, es[:d] AS node, d = len(es) AS ends, coalesce(bs[d], 0) AS b FROM (SELECT *, unnest(range(len(es) + 1)) AS d FROM path) x),
+node AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n, any_value(b) AS b, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends FROM occ GROUP BY 1, 2),
+kid AS (SELECT node[:d - 1] AS node, d - 1 AS d, count(*) AS k FROM node WHERE d > 0 GROUP BY 1, 2),
+full_node AS (SELECT node.*, coalesce(k, 0) AS k FROM node LEFT JOIN kid ON kid.node = node.node AND kid.d = node.d),
+sub AS (SELECT node[:j] AS node, j AS d, sum((n - 1) * b)::BIGINT AS saved, count(*) FILTER (k = 0) AS leaves FROM (SELECT *, unnest(range(d + 1)) AS j FROM full_node) x GROUP BY 1, 2)
+SELECT f.conv_id, f.d::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n AS n_convs, f.k AS n_children, leaves AS n_leaves, saved AS saved_tokens, f.ends AS ends_sha256
+FROM full_node f JOIN sub ON sub.node = f.node AND sub.d = f.d LEFT JOIN node p ON p.d = f.d - 1 AND p.node = f.node[:f.d - 1]"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that SQL can express on whole tables; the others are tested against brute force."""
-    return {"op1_ngram_jaccard_join": _JACCARD_SQL, "op7_suffix_array_dedup": _BYTES_SQL, "op9_recompression_dedup": _REPEATS_SQL}
+    return {"op1_ngram_jaccard_join": _JACCARD_SQL, "op7_suffix_array_dedup": _BYTES_SQL, "op9_recompression_dedup": _REPEATS_SQL, "op11_smallest_member_trie": _TRIE_SQL}
