@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .conversations import conversation_trie
 from .cotraining import quality_scores
@@ -16,6 +16,7 @@ from .packing import pack_documents
 from .repeats import recompression_dedup, suffix_array_dedup
 from .sentencepieces import sentencepiece_encode
 from .urls import filter_urls
+from .whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +77,11 @@ def op11_smallest_member_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(_table(spark, sf_dir, "conversations"), family=5, shared=9)
 
 
+def op12_compensated_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # null where the exact number is no long
+    return whiten(_table(spark, sf_dir, "embeddings"), components=16).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [v for k, v in globals().items() if k.startswith("op") and callable(v)]
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
