@@ -25,11 +25,11 @@ def local_components(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarr
             return nodes, nodes[label]
 
 
-def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(u, v) long edges to (node, label): the least node of each component.
 
     Alternates large-star and small-star steps, which need a logarithmic number of
-    rounds; each round is a checkpoint.  Nodes without an edge do not appear.  The
+    rounds, and stops when a round changes nothing; each round is a checkpoint.  Nodes without an edge do not appear.  The
     joins are plain equi-joins whose hot keys (centres of stars) the adaptive
     skew join splits.  Self-edges and nulls are ignored; an empty table gives an
     empty result.
@@ -40,9 +40,7 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
 
     e = X.checkpoint(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     now = state(e)
-    for _ in range(rounds):
-        if not now[0]:
-            break
+    while now[0]:
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .conversations import conversation_trie
 from .cotraining import quality_scores
+from .descent import near_links
 from .fingerprints import syncmer_fingerprints
 from .html import extract_main_text
 from .jaccard import ngram_jaccard_join
@@ -82,6 +83,10 @@ def op12_compensated_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_table(spark, sf_dir, "embeddings"), components=16).withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+def op13_descent_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_links(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [v for k, v in globals().items() if k.startswith("op") and callable(v)]
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
