@@ -14,10 +14,16 @@ def rank_usage(rows: DataFrame, identity: list[str], order: list[Column]) -> Dat
 
 
 def priced(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """Each usage with the ``rate`` of the latest price not after its day; a null tier only matches a null tier."""
-    p = prices.select(F.col("model").alias("_m"), F.col("tier").alias("_t"), "effective_from", "rate")
-    hit = usage.join(F.broadcast(p), (F.col("model") == F.col("_m")) & F.col("tier").eqNullSafe(F.col("_t")) & (F.col("effective_from") <= F.col("day")), "left")
-    return hit.groupBy(*usage.columns).agg(F.max_by("rate", "effective_from").alias("rate"))
+    """Each usage, repeated ones too, with the ``rate`` of the latest price not after its day; a null tier only matches a null tier.
+
+    A price holds until the next one of its model and tier; of two of one day the
+    greater rate holds.  So a usage meets at most one row and nothing is aggregated.
+    """
+    until = F.lead("effective_from").over(Window.partitionBy("model", "tier").orderBy("effective_from", "rate"))
+    book = prices.select(F.col("model").alias("_model"), F.col("tier").alias("_tier"), F.col("effective_from").alias("_from"), until.alias("_until"), F.col("rate").alias("_rate"))
+    holds = (F.col("_from") <= F.col("day")) & (F.col("_until").isNull() | (F.col("day") < F.col("_until")))
+    hit = usage.join(book, (F.col("model") == F.col("_model")) & F.col("tier").eqNullSafe(F.col("_tier")) & holds, "left")
+    return hit.select(*usage.columns, F.col("_rate").alias("rate"))
 
 
 def amount(micro: Column) -> Column:

@@ -85,22 +85,31 @@ def as_of(rows: DataFrame, dated: DataFrame, keys: list[str], at: str, value: st
     return hit.groupBy("_row", *rows.columns).agg(best.alias(value)).drop("_row")
 
 
-def combined_clock(intervals: DataFrame, clock: list[str], member: str) -> DataFrame:
+def combined_clock(intervals: DataFrame, clock: list[str], member: str, *, span_us: int = 86_400_000_000) -> DataFrame:
     """Elementary intervals of a clock with the set of members active in each, equal neighbours merged.
 
-    Returns (clock, start_us, end_us, members, member_count).  Starts and ends are
-    events of a sweep; a member is active while its running balance is positive.
+    Returns (clock, start_us, end_us, members, member_count).  A sweep: starts count 1
+    and ends -1, and a member is active while its running sum is positive.  Time is
+    cut into spans first, into each of which an interval that lies across is carried,
+    so a clock spreads over tasks by its spans; within a span the running sums of its
+    members are windows, and what the cuts parted is merged again at the end.
     """
-    live = intervals.filter("end_us > start_us")
-    edges = live.select(*clock, member, F.explode(F.array(F.struct(F.col("start_us").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end_us").alias("at"), F.lit(-1).alias("d")))).alias("e")).select(*clock, member, "e.at", "e.d")
-    times = edges.select(*clock, "at").distinct()
-    w = Window.partitionBy(*clock).orderBy("at")
-    cells = times.withColumn("to", F.lead("at").over(w)).filter("`to` is not null")
-    # a union of each member's own intervals first, so that a cell meets a member at most once
-    own = union(live, [*clock, member]).select(*(F.col(c).alias(f"_{c}") for c in clock), F.col(member).alias("_m"), F.col("start_us").alias("_s"), F.col("end_us").alias("_e"))
-    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in clock] + [F.col("_s") <= F.col("at"), F.col("to") <= F.col("_e")]
-    active = cells.join(own, on).groupBy(*clock, F.col("at").alias("start_us"), F.col("to").alias("end_us")).agg(F.sort_array(F.collect_set("_m")).alias("members"))
-    merged = coalesce_touching(active.withColumn("members", F.array_join("members", ",")), clock, ["members"])
+    place = [*clock, "_span"]
+    own = union(intervals.filter("end_us > start_us"), [*clock, member])  # disjoint, so a member's sum is 0 or 1
+    first, last = F.floor(F.col("start_us") / span_us), F.floor((F.col("end_us") - 1) / span_us)
+    cut = own.withColumn("_span", F.explode(F.sequence(first, last)))
+    edge = F.explode(F.array(F.struct(F.greatest("start_us", F.col("_span") * span_us).alias("at"), F.lit(1).alias("step")), F.struct(F.least("end_us", (F.col("_span") + 1) * span_us).alias("at"), F.lit(-1).alias("step"))))
+    edges = cut.select(*place, member, edge.alias("_e")).select(*place, member, "_e.at", "_e.step")
+    cells = edges.select(*place, "at").distinct().withColumn("to", F.lead("at").over(Window.partitionBy(*place).orderBy("at"))).filter("`to` is not null")
+    there = edges.select(*(F.col(c).alias(f"_{c}") for c in place), member).distinct()
+    on = F.lit(True)
+    for c in place:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    grid = cells.join(there, on).select(*place, member, "at", F.lit(0).alias("step"), "to")
+    running = F.sum("step").over(Window.partitionBy(*place, member).orderBy("at"))  # with all rows of the same time
+    live = edges.withColumn("to", F.lit(None).cast("long")).unionByName(grid).withColumn("_live", running).filter("_live > 0 and `to` is not null")
+    active = live.groupBy(*clock, F.col("at").alias("start_us"), F.col("to").alias("end_us")).agg(F.array_join(F.sort_array(F.collect_set(member)), ",").alias("members"))
+    merged = coalesce_touching(active, clock, ["members"])
     return merged.withColumn("member_count", F.size(F.split("members", ",")))
 
 

@@ -193,7 +193,7 @@ def commit_log(log: DataFrame, column: str = "value") -> DataFrame:
     """Commits of a log framed by the ASCII record (30) and unit (31) separators: hash, parents, name, email, time, subject, body."""
     records = log.select(F.explode(F.split(column, "\x1e")).alias("r")).select(F.split(X.strip(F.col("r")), "\x1f").alias("f")).filter(F.size("f") >= 6)
     names = ("hash", "parents", "author_name", "author_email", "timestamp", "subject")
-    return records.select(*(F.get("f", F.lit(k)).alias(n) for k, n in enumerate(names)), F.array_join(F.slice("f", 7, 1000), "\x1f").alias("body")).withColumn("parents", F.filter(F.split("parents", " "), lambda x: x != "")).withColumn("us", X.normalize_timestamp(F.col("timestamp")))
+    return records.select(*(F.get("f", F.lit(k)).alias(n) for k, n in enumerate(names)), F.array_join(F.slice("f", 7, F.size("f")), "\x1f").alias("body")).withColumn("parents", F.filter(F.split("parents", " "), lambda x: x != "")).withColumn("us", X.normalize_timestamp(F.col("timestamp")))
 
 
 def reflog(lines: DataFrame, column: str = "value") -> DataFrame:

@@ -256,13 +256,20 @@ def test_lineage_of_long_chains_and_long_cycles(spark):
     assert all(got[k] == 0 for k in range(300)) and all(got[1000 + k] == 1000 for k in range(150)) and got[2000] == 1000
 
 
-def test_fair_shares_and_balanced_sections():
+def test_sections_keep_fair_shares(spark):
     from palimpsest.operators import records as C
 
-    assert C.fair_shares([5, 50, 50], 61) == [5, 28, 28] and C.fair_shares([10, 10], 5) == [3, 2] and C.fair_shares([1, 2], 50) == [1, 2] and C.fair_shares([], 5) == []
-    text = "".join(f"[{n}]\n{c * 900}\n\n" for n, c in (("GOAL", "a"), ("RESULT", "b"), ("ERROR", "c"), ("CONTEXT", "d")))
-    cut = C.balanced_text(text, 2000)
-    assert len(cut) <= 2000 and all(f"[{n}]" in cut for n in ("GOAL", "RESULT", "ERROR", "CONTEXT")) and C.balanced_text("short", 10) == "short" and C.balanced_text("x" * 20, 10) == "x" * 10
+    def level(sizes, room):
+        r = spark.range(1).select(C.fair_level(F.lit(sizes) if sizes else F.array().cast("array<int>"), F.lit(room)).alias("w")).first().w
+        return r.level, r.odd
+
+    assert level([5, 50, 50], 61) == (28, 0) and level([10, 10], 5) == (2, 1) and level([1, 2], 50) == (None, 0) and level([], 5) == (None, 0)
+    parts = "".join(f"[{n}]\n{c * 900}\n\n" for n, c in (("GOAL", "a"), ("RESULT", "b"), ("ERROR", "c"), ("CONTEXT", "d")))
+    texts = [parts, "short", "x" * 3000, f"[GOAL]\n  \n[ERROR]\n{'e' * 3000}\n\n[RESULT]\nr\n", None]
+    cut = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(C.balanced(F.col("t"), 2000)).collect()]
+    assert [len(p.split("\n")[1]) for p in cut[0].split("\n\n")] == [489] * 4 and all(p.endswith("…") for p in cut[0].split("\n\n"))
+    assert cut[1] == "short" and cut[2] == "x" * 2000 and cut[4] is None
+    assert cut[3] == f"[ERROR]\n{'e' * 1977}…\n\n[RESULT]\nr"
 
 
 def test_json_redaction_and_counts(spark):
@@ -326,3 +333,40 @@ def test_price_books_do_not_change_under_their_version(spark):
     book = spark.createDataFrame([("v1", 1, "2.5"), ("v1", 2, "3")], "version string, line long, rate string")
     old, other = P.price_books(book, "version", ["line"], ["line", "rate"]), P.price_books(book.withColumn("rate", F.lit("9")), "version", ["line"], ["line", "rate"])
     assert P.check_book(old, old, "version").count() == 0 and P.check_book(old, other, "version").count() == 1
+
+
+def test_json_of_any_depth_and_odd_numbers(spark):
+    from palimpsest.functions import jsontext as J
+
+    deep = "[" * 50_000 + "]" * 50_000
+    texts = [deep, '{"a":NaN}', '{"b":1,"a":"\\ud800"}', '{"type":"reasoning","summary":["' + "QUJD" * 32 + '"," x ",{"id":"no","y":["z"]}]}']
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(J.sorted_json(F.col("t")).alias("s"), J.redacted(F.col("t")).alias("r"), J.footprint(F.col("t")).alias("n")).collect()
+    assert rows[0].s is None and rows[0].r is None and rows[1].s is None and tuple(rows[1].n) == (0,) * 5
+    assert rows[2].s == '{"a":"\\ud800","b":1}' and tuple(rows[3].n) == (1, 0, 0, 1, 2)
+
+
+def test_repeated_usage_is_priced_once_a_row(spark):
+    prices = spark.createDataFrame([("m", None, "2024-01-01", "2"), ("m", None, "2024-01-01", "1"), ("m", None, "2024-03-01", "3"), ("m", "fast", "2024-01-01", "9")], "model string, tier string, d string, r string").select("model", "tier", F.to_date("d").alias("effective_from"), F.col("r").cast("decimal(12,6)").alias("rate"))
+    rows = [(1, "m", None, "2024-02-01", 10)] * 2 + [(2, "m", None, "2024-03-01", 10), (3, "m", None, "2023-12-31", 10), (4, "m", "fast", "2025-01-01", 10), (5, None, None, "2024-02-01", 10)]
+    usage = spark.createDataFrame(rows, "message_id long, model string, tier string, d string, tokens long").withColumn("day", F.to_date("d")).drop("d")
+    got = sorted((r.message_id, r.rate and int(r.rate)) for r in costs.priced(usage, prices).collect())
+    assert got == [(1, 2), (1, 2), (2, 3), (3, None), (4, 9), (5, None)]
+
+
+def test_combined_clock_equals_a_scan_of_instants(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 1, 1, None]), rng.randrange(4), a, a + rng.randrange(0, 60)) for a in (rng.randrange(-200, 400) for _ in range(80))]
+    df = spark.createDataFrame(rows, "contributor_id long, project_id long, start_us long, end_us long")
+    got = {}
+    for r in I.combined_clock(df, ["contributor_id"], "project_id", span_us=50).collect():
+        assert r.member_count == len(r.members.split(","))
+        for t in range(r.start_us, r.end_us):
+            assert (r.contributor_id, t) not in got
+            got[r.contributor_id, t] = r.members
+    want = {(c, t): ",".join(str(p) for p in sorted({p for k, p, a, b in rows if k == c and a <= t < b})) for c in (1, None) for t in range(-200, 460)}
+    assert got == {k: v for k, v in want.items() if v}
+    whole = I.combined_clock(df, ["contributor_id"], "project_id")
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, I.combined_clock(df, ["contributor_id"], "project_id", span_us=50).collect()))
+    assert "NestedLoop" not in (plan := whole._jdf.queryExecution().toString()) and "Cartesian" not in plan
