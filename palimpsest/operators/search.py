@@ -85,6 +85,12 @@ def _nearest(k: int):
     return run
 
 
+def usable_vectors(rows: DataFrame, vector: str) -> DataFrame:
+    """Rows whose vector is neither null, empty nor zero and holds only finite components."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return rows.filter(F.col(vector).isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(vector, lambda x: x != 0))
+
+
 def exact_neighbours(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, *, cell: str | None = None, row_block: int = 50_000, query_block: int = 2_000) -> DataFrame:
     """k nearest rows of each query by cosine: (query_id, key, score, rank), ties by key; a query is no neighbour of itself.
 
@@ -92,16 +98,17 @@ def exact_neighbours(rows: DataFrame, queries: DataFrame, key: str, vector: str,
     pair of blocks is one matrix product of bounded size; each query's best of the
     blocks are ranked at the end.  With ``cell``, only rows of the query's own cell
     are compared: an approximate search that reads one cell instead of all.
-    Vectors that are null or zero, or of other lengths, must be left out before.
+    Vectors that are null, zero or not finite take no part; only equal lengths are compared.
     """
-    own = [F.col(cell).alias("cell")] if cell else [F.lit(0).alias("cell")]
-    size = rows.groupBy(*own).agg(F.ceil(F.count("*") / row_block).alias("nr")).join(queries.groupBy(*own).agg(F.ceil(F.count("*") / query_block).alias("nq")), "cell")
+    own = [(F.col(cell) if cell else F.lit(0)).alias("cell"), F.size(vector).alias("dim")]
+    rows, queries = usable_vectors(rows, vector), usable_vectors(queries, vector)
+    size = rows.groupBy(*own).agg(F.ceil(F.count("*") / row_block).alias("nr")).join(queries.groupBy(*own).agg(F.ceil(F.count("*") / query_block).alias("nq")), ["cell", "dim"])
 
     def dealt(df: DataFrame, mine: str, other: str) -> DataFrame:
-        flat = df.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), *own).join(size, "cell")
-        return flat.withColumn(f"b{mine}", F.pmod(F.xxhash64("id"), F.col(mine))).withColumn(f"b{other}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))).select("cell", "bnr", "bnq", "id", "v")
+        flat = df.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), *own).join(size, ["cell", "dim"])
+        return flat.withColumn(f"b{mine}", F.pmod(F.xxhash64("id"), F.col(mine))).withColumn(f"b{other}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))).select("cell", "dim", "bnr", "bnq", "id", "v")
 
-    keys = ["cell", "bnr", "bnq"]
+    keys = ["cell", "dim", "bnr", "bnq"]
     found = dealt(rows, "nr", "nq").groupBy(*keys).cogroup(dealt(queries, "nq", "nr").groupBy(*keys)).applyInArrow(_nearest(k), "query_id long, other long, score double")
     return ranked(found.withColumnRenamed("other", key), ["query_id"], [F.desc("score"), F.col(key)], k)
 
