@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from palimpsest import views as V
 from palimpsest.functions import jsontext as J, text as X
-from palimpsest.operators import records as C, search as S
-from palimpsest.plans.content import LEX, LINES, lexical_hits, log_lines
+from palimpsest.operators import lexicon as L, recall, records as C, search as S
+from palimpsest.plans.content import LEX, LEXTOP, LINES, lexical_hits, lexical_ranked, log_lines
 from palimpsest.plans.registry import query
 from palimpsest.plans.work import EV
 
@@ -104,6 +104,27 @@ def recall_units(spark, sf_dir):
     return C.unit_copies(d.withColumn("us", F.col("rank")), ["unit"], "text", rank="rank", recency="us")
 
 
+def prior_candidates(spark, sf_dir, n):
+    """Documents as events of sessions (their sources' numbers), later ids being newer, ranked for each item."""
+    d = T(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("provider"), "source")
+    hit = lexical_ranked(spark, sf_dir, n).join(d, "doc_id")
+    return hit.select("item_id", "rank", F.col("doc_id").alias("event_id"), F.regexp_extract("source", "[0-9]+$", 0).try_cast("long").alias("session_id"), F.lit("u").alias("unit_key"), "text", "provider", F.col("doc_id").alias("us"), F.col("source").alias("source_path"), F.col("score").alias("lexical_score"))
+
+
+@query(LEXTOP + ", g AS (SELECT item_id, max(top.doc_id) AS representative, min(rank) AS first_rank, count(*) - 1 AS collapsed FROM top JOIN documents doc ON doc.doc_id = top.doc_id WHERE rank <= 45 GROUP BY item_id, doc.lang, doc.text) SELECT item_id, representative, first_rank::INTEGER AS rank, collapsed FROM g")
+def prior_work_groups(spark, sf_dir):
+    """Copies among each item's candidates: here whole equal texts of one language, the newest of which leads."""
+    return recall.grouped(prior_candidates(spark, sf_dir, 45), query="item_id", most=45)
+
+
+@query()
+def find_prior_work(spark, sf_dir):
+    """A reply of at most 12,000 characters for each item, with excerpts around its words; tests hold its rules."""
+    items = T(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"), S.query_terms(F.col("text")).alias("terms"))
+    found = L.headlines(prior_candidates(spark, sf_dir, 45).join(items, "item_id"), "text", "terms").withColumnRenamed("headline", "snippet")
+    return recall.find_prior_work(found, items, query="item_id")
+
+
 @query(LEX + ", e AS (SELECT DISTINCT item_id, d.source AS episode FROM hit JOIN documents d USING (doc_id)) SELECT item_id, episode FROM e")
 def episode_lexical(spark, sf_dir):
     """Episodes (here sources) that hold a document with all words of a query."""
