@@ -32,7 +32,10 @@ def segment(events: DataFrame, track: list[str], *, break_us: int = BREAK_US, or
 
 
 def render(segmented: DataFrame, track: list[str], *, order: str = "event_id", time: str = "us", cap_us: int = 1_800_000_000) -> DataFrame:
-    """One row for each episode: bounds, counts by role, capped active time and the state of its evidence."""
+    """One row for each episode: bounds, counts by role, capped active time and the state of its evidence.
+
+    Attempts are tool inputs; an outcome is a result only of an attempt.
+    """
     keys = [*track, "episode_no"]
     gap = F.col(time) - F.lag(time).over(Window.partitionBy(*keys).orderBy(order))
     rows = segmented.withColumn("_gap", F.when(gap.isNotNull(), F.greatest(F.lit(0), F.least(gap, F.lit(cap_us)))))
@@ -40,8 +43,8 @@ def render(segmented: DataFrame, track: list[str], *, order: str = "event_id", t
     def n(*kinds: str) -> Column:
         return F.count(F.when(F.col("kind").isin(*kinds), 1))
 
-    out = rows.groupBy(*keys).agg(F.min(order).alias("anchor_id"), F.min(time).alias("start_us"), F.max(time).alias("end_us"), F.count("*").alias("events"), n("goal").alias("goals"), n("tool-input", "tool-output").alias("attempts"), n("error").alias("errors"), n("outcome").alias("outcomes"), F.coalesce(F.sum("_gap"), F.lit(0)).alias("active_us"))
-    state = F.when(F.col("errors") > 0, "error-observed").when(F.col("outcomes") > 0, "result-observed").when(F.col("attempts") > 0, "attempt-observed").otherwise("discussion")
+    out = rows.groupBy(*keys).agg(F.min(order).alias("anchor_id"), F.min(time).alias("start_us"), F.max(time).alias("end_us"), F.count("*").alias("events"), n("goal").alias("goals"), n("tool-input").alias("attempts"), n("error").alias("errors"), n("outcome").alias("outcomes"), F.coalesce(F.sum("_gap"), F.lit(0)).alias("active_us"))
+    state = F.when(F.col("errors") > 0, "error-observed").when((F.col("attempts") > 0) & (F.col("outcomes") > 0), "result-observed").when(F.col("attempts") > 0, "attempt-observed").otherwise("discussion")
     return out.withColumn("evidence_state", state)
 
 

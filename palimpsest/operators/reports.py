@@ -63,13 +63,6 @@ def archive_status(revisions: DataFrame) -> DataFrame:
     return revisions.agg(F.countDistinct("source").alias("sources"), F.count("*").alias("revisions"), F.count_if(F.col("byte_length") != F.col("real_length")).alias("length_mismatches"), F.count_if(failing).alias("attention"), F.coalesce(F.sum("pending"), F.lit(0)).alias("pending_bytes"), *states)
 
 
-def automation_status(revisions: DataFrame, by: str) -> DataFrame:
-    """The state of each source: failed beyond a quarter, attention, pending or current."""
-    n = revisions.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("f"), F.count_if(F.col("status") == "partial").alias("p"), F.sum("pending").alias("pending"))
-    state = F.when(F.col("f") * 4 > F.col("n"), "failed").when(F.col("f") + F.col("p") > 0, "attention").when(F.col("pending") > 0, "pending").otherwise("current")
-    return n.select(by, state.alias("state"), "pending")
-
-
 def locations(sessions: DataFrame, spoken: DataFrame, group: str) -> DataFrame:
     """Places where a group's work went on, the newest session of each, newest first.
 
@@ -97,10 +90,17 @@ def older_than(rows: DataFrame, by: list[str], order: list, keep: int) -> DataFr
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_n") > keep).drop("_n")
 
 
-def available_run(runs: DataFrame, *, prefer: str | None = None) -> DataFrame:
-    """The active complete run, of the preferred profile if there is one, the newest first: one row or none."""
-    liked = (F.col("profile") == F.lit(prefer)).cast("int") if prefer else F.lit(0)
-    return runs.filter("active and status = 'complete'").orderBy(F.desc(liked), F.desc("completed"), F.desc("run_id")).limit(1)
+def available_run(runs: DataFrame, *, profile: str | None = None, run_key: str | None = None, prefer: str = "conversation") -> DataFrame:
+    """The complete run to use: active ones first, then the preferred profile, then the newest; one row or none.
+
+    ``profile`` and ``run_key`` leave only runs of theirs.
+    """
+    found = runs.filter("status = 'complete'")
+    for column, value in (("profile", profile), ("run_key", run_key)):
+        if value is not None:
+            found = found.filter(F.col(column) == value)
+    liked = (F.col("profile") == prefer).cast("int")
+    return found.orderBy(F.desc_nulls_last("active"), F.desc_nulls_last(liked), F.desc_nulls_last("completed"), F.desc("run_id")).limit(1)
 
 
 def run_overview(runs: DataFrame) -> DataFrame:
@@ -137,15 +137,6 @@ def report_lines(sections: list[tuple[str, DataFrame, list[str]]]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def price_books(rows: DataFrame, version: str, order: list[str], columns: list[str]) -> DataFrame:
-    """(version, book_hash, active): a version's content hash over its rows in order; the greatest version is active."""
-    body = F.concat_ws(":", *(F.col(c).cast("string") for c in columns))
-    items = F.sort_array(F.collect_list(F.struct(*order, body.alias("body"))))
-    books = rows.groupBy(version).agg(F.sha2(F.array_join(F.transform(items, lambda x: x["body"]), ","), 256).alias("book_hash"))
-    newest = books.agg(F.max(version).alias("_newest"))
-    return books.crossJoin(F.broadcast(newest)).select(version, "book_hash", (F.col(version) == F.col("_newest")).alias("active"))
-
-
 def check_book(books: DataFrame, new: DataFrame, version: str) -> DataFrame:
     """Versions that are given again with another content: a book must not change under its version."""
     return new.join(books.select(version, F.col("book_hash").alias("_was")), version).filter(F.col("book_hash") != F.col("_was")).drop("_was")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import views as V
 from palimpsest.functions import jsontext as J, text as X
-from palimpsest.operators import lexicon as L, recall, records as C, search as S
+from palimpsest.operators import inventory, lexicon as L, recall, records as C, search as S, semanticmap
 from palimpsest.plans.content import LEX, LEXTOP, LINES, lexical_hits, lexical_ranked, log_lines
 from palimpsest.plans.registry import query
 from palimpsest.plans.work import EV
@@ -152,11 +152,11 @@ def spoken(spark, sf_dir):
     k, t = F.col("ordinal") % 6, F.col("text")
     said = F.when(k == 0, F.concat(F.lit("<command-name>/goal</command-name> <command-args> "), t, F.lit(" </command-args>"))).when(k == 1, F.lit("<command-name> /clear </command-name>"))
     said = said.when(k == 2, F.concat(F.lit("<environment_context>"), t)).when(k == 3, F.concat(F.lit(" <goal_context><objective> "), t, F.lit(" </objective>"))).otherwise(t)
-    return V.units(spark, sf_dir).withColumn("text", said).withColumn("kind", F.when(F.col("ordinal") % 5 == 4, "tool-input").when(F.col("ordinal") % 5 == 3, "assistant-message").otherwise("user-message")).withColumn("is_error", F.col("ordinal") % 10 == 9)
+    return V.units(spark, sf_dir).withColumn("text", said).withColumn("kind", F.when(F.col("ordinal") % 5 == 4, "tool-input").when(F.col("ordinal") % 5 == 3, "assistant-message").otherwise("user-message")).withColumn("is_error", F.col("ordinal") % 7 == 5)
 
 
 SPOKEN = r"""sp AS (SELECT session_id, ordinal, CASE ordinal % 6 WHEN 0 THEN '<command-name>/goal</command-name> <command-args> ' || text || ' </command-args>' WHEN 1 THEN '<command-name> /clear </command-name>' WHEN 2 THEN '<environment_context>' || text WHEN 3 THEN ' <goal_context><objective> ' || text || ' </objective>' ELSE text END AS text,
-CASE ordinal % 5 WHEN 4 THEN 'tool-input' WHEN 3 THEN 'assistant-message' ELSE 'user-message' END AS kind, ordinal % 10 = 9 AS is_error, regexp_replace(text, '^\s+|\s+$', '', 'g') AS bare FROM u),
+CASE ordinal % 5 WHEN 4 THEN 'tool-input' WHEN 3 THEN 'assistant-message' ELSE 'user-message' END AS kind, ordinal % 7 = 5 AS is_error, regexp_replace(text, '^\s+|\s+$', '', 'g') AS bare FROM u),
 gl AS (SELECT *, CASE WHEN kind <> 'user-message' THEN NULL WHEN ordinal % 6 = 0 THEN CASE WHEN bare <> '' THEN bare END WHEN ordinal % 6 IN (1, 2, 3) THEN NULL ELSE bare END AS goal FROM sp)"""
 
 
@@ -173,8 +173,15 @@ def event_sections(spark, sf_dir):
     return C.event_sections(spoken(spark, sf_dir).withColumn("event", F.floor(F.col("ordinal") / 2)), ["session_id", "event"])
 
 
-@query("WITH " + UNITS + ", " + SPOKEN + ", " + SECTION + """, f AS (SELECT session_id, section, text, min(ordinal) AS o FROM se WHERE section IS NOT NULL GROUP BY 1, 2, 3), p AS (SELECT session_id, section, min(o) AS o, '[' || upper(section) || ']' || chr(10) || string_agg(text, chr(10) ORDER BY o) AS b FROM f GROUP BY 1, 2)
-SELECT session_id, (SELECT arg_min(goal, ordinal) FROM se WHERE se.session_id = p.session_id AND goal IS NOT NULL) AS goal, string_agg(b, chr(10) || chr(10) ORDER BY o) AS document FROM p GROUP BY 1""")
+DOCUMENTS = r""", dv AS (SELECT session_id, ordinal, kind, is_error, regexp_replace(text, '^\s+|\s+$', '', 'g') AS whole, bare, goal, CASE WHEN goal IS NOT NULL THEN 2 WHEN ordinal % 6 = 3 AND bare <> '' THEN 1 WHEN kind = 'user-message' AND ordinal % 6 IN (2, 3) THEN NULL WHEN is_error THEN 7 WHEN kind = 'tool-input' THEN 5 WHEN kind = 'assistant-message' THEN 8 END AS k FROM gl),
+dt AS (SELECT *, CASE k WHEN 2 THEN goal WHEN 1 THEN bare ELSE whole END AS v FROM dv), once AS (SELECT session_id, k, v, min(ordinal) AS o FROM dt WHERE k IS NOT NULL GROUP BY 1, 2, 3),
+part AS (SELECT session_id, k, '[' || ['OBJECTIVE', 'GOAL', 'CONTEXT', 'REASONING', 'ATTEMPTS', 'RESULTS', 'ERROR EVIDENCE', 'OUTCOME MESSAGES'][k] || ']' || chr(10) || string_agg(v, chr(10) || chr(10) ORDER BY o) AS b FROM once GROUP BY 1, 2),
+whole AS (SELECT session_id, string_agg(b, chr(10) || chr(10) ORDER BY k) AS document FROM part GROUP BY 1), gs AS (SELECT session_id, string_agg(v, chr(10) || chr(10) ORDER BY o) FILTER (k = 2) AS g, arg_max(v, o) FILTER (k = 1) AS ob FROM once GROUP BY 1),
+n AS (SELECT session_id, count(*) FILTER (k = 5) AS attempts, count(DISTINCT whole) FILTER (k = 7) AS errors, string_agg(v, chr(10) || chr(10) ORDER BY ordinal) FILTER (k = 8) AS said FROM dt GROUP BY 1)"""
+
+
+@query("WITH " + UNITS + ", " + SPOKEN + DOCUMENTS + """ SELECT session_id, coalesce(g, ob, '') AS goal, coalesce(said, '') AS outcome, coalesce(document, '') AS document, attempts, errors, CASE WHEN errors > 0 THEN 'error-observed' WHEN attempts > 0 AND said <> '' THEN 'result-observed' WHEN attempts > 0 THEN 'attempt-observed' ELSE 'discussion' END AS evidence_state
+FROM n LEFT JOIN whole USING (session_id) LEFT JOIN gs USING (session_id)""")
 def episode_documents(spark, sf_dir):
     return C.documents(spoken(spark, sf_dir), ["session_id"], "ordinal")
 
@@ -216,13 +223,18 @@ def event_gaps(spark, sf_dir):
     return rows.withColumn("a", F.lag("b").over(Window.partitionBy("session_id").orderBy("event_id"))).select("event_id", C.gap_us(F.col("a"), F.col("b")).alias("gap_us"))
 
 
-@query(EV + ", f AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'active' WHEN 1 THEN 'complete' WHEN 2 THEN 'done' END AS state, CASE WHEN event_id % 3 = 0 THEN ' ' ELSE event_type END AS goal, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS remaining, CASE WHEN event_id % 7 = 0 THEN 'go' END AS mv FROM ev) SELECT event_id, array_to_string(list_filter([CASE WHEN coalesce(state, '') NOT IN ('active', 'blocked', 'paused', 'complete') THEN 'state' END, CASE WHEN trim(goal) = '' THEN 'goal' END, CASE WHEN remaining > 0 AND mv IS NULL THEN 'next_move' END, CASE WHEN remaining > 0 AND state = 'complete' THEN 'remaining' END], lambda x: x IS NOT NULL), ',') AS faults FROM f")
+@query(EV + """, f AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'done' WHEN 1 THEN 'ready' WHEN 2 THEN 'decision' WHEN 3 THEN 'waiting' WHEN 4 THEN 'paused' END AS st, CASE event_id % 5 WHEN 0 THEN 'No further decision needed.' WHEN 1 THEN 'Which ' || event_type || '?' WHEN 2 THEN ' ' END AS de, CASE event_id % 4 WHEN 0 THEN ['No further action required.'] WHEN 1 THEN ['Run ' || event_type, 'none'] ELSE [] END AS mv, event_id % 7 = 0 AS lo FROM ev),
+g AS (SELECT *, CASE WHEN event_id % 5 = 1 THEN de END AS d, CASE WHEN event_id % 4 = 1 THEN mv[1:1] ELSE [] END AS m FROM f), h AS (SELECT *, coalesce(st = 'done', false) AND d IS NULL AND len(m) = 0 AND NOT lo AS settled FROM g)
+SELECT event_id, CASE WHEN settled THEN st WHEN d IS NOT NULL THEN 'decision' WHEN st IN ('done', 'decision') THEN 'ready' ELSE st END AS state, d AS decision, array_to_string(m, ';') AS moves, CASE WHEN coalesce(st, '') NOT IN ('ready', 'decision', 'blocked', 'waiting', 'done', 'unclear') THEN 'state' WHEN NOT settled AND len(m) = 0 THEN 'next_moves' END AS fault FROM h""")
 def draft_faults(spark, sf_dir):
-    k = F.col("event_id")
-    state = F.when(k % 5 == 0, "active").when(k % 5 == 1, "complete").when(k % 5 == 2, "done")
-    left = F.when(k % 2 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
-    faults = C.draft_faults(state, F.when(k % 3 == 0, " ").otherwise(F.col("event_type")), left, F.when(k % 7 == 0, "go"))
-    return V.events(spark, sf_dir).select("event_id", F.array_join(faults, ",").alias("faults"))
+    """Drafts of all states with decisions, moves and open loops, and with words that say there are none."""
+    k, kind = F.col("event_id"), F.col("event_type")
+    none = F.array().cast("array<string>")
+    state = F.when(k % 6 == 0, "done").when(k % 6 == 1, "ready").when(k % 6 == 2, "decision").when(k % 6 == 3, "waiting").when(k % 6 == 4, "paused")
+    decision = F.when(k % 5 == 0, "No further decision needed.").when(k % 5 == 1, F.concat(F.lit("Which "), kind, F.lit("?"))).when(k % 5 == 2, " ")
+    moves = F.when(k % 4 == 0, F.array(F.lit("No further action required."))).when(k % 4 == 1, F.array(F.concat(F.lit(" Run  "), kind), F.lit("none"))).otherwise(none)
+    draft = C.resume_draft(state, decision, moves, none, F.when(k % 7 == 0, F.array(F.lit("loop"))).otherwise(none))
+    return V.events(spark, sf_dir).select("event_id", draft.alias("d")).select("event_id", "d.state", "d.decision", F.array_join("d.moves", ";").alias("moves"), "d.fault")
 
 
 # ---------------------------------------------------------------- JSON and paths
@@ -267,3 +279,25 @@ def path_parts(spark, sf_dir):
     k, place = F.col("page_id") % 4, F.regexp_replace("url", "[?#].*$", "")
     path = F.when(k == 0, F.lit("a/history.jsonl")).when(k == 1, F.concat(F.lit("a/parent"), F.col("page_id").cast("string"), F.lit("/subagents/x.jsonl"))).when(k == 2, F.lit("b/journal.jsonl")).otherwise(place)
     return T(spark, sf_dir, "pages").select("page_id", X.path_leaf(place).alias("leaf"), X.source_kind(path).alias("kind"), X.parent_session(path).alias("parent"))
+
+
+DEEPER = """rec AS (SELECT c, kind, count(*) AS n FROM js GROUP BY 1, 2), sums AS (SELECT sum(n) FILTER (c = 0) AS n0, sum(n) FILTER (c = 1) AS n1 FROM rec)"""
+
+
+@query("WITH " + DEEP + " SELECT 'events:' || CASE c WHEN 0 THEN 'Reasoning:a,encrypted_content,summary,type' WHEN 1 THEN 'history-record:b,z' ELSE 'parse-error:' END AS shape, count(*) AS records FROM js GROUP BY c")
+def schema_shapes(spark, sf_dir):
+    return inventory.shapes(json_records(spark, sf_dir).withColumn("provider", F.lit("events")), "provider", "body")
+
+
+@query("WITH " + DEEP + ", " + DEEPER + """ SELECT path, type, (CASE WHEN d = 0 THEN n0 ELSE n1 END)::BIGINT AS values FROM sums, (VALUES ('b', 'string', 1), ('z', 'array', 1), ('z[]', 'bigint', 1), ('z[]', 'object', 1)) t(path, type, d)
+UNION ALL SELECT CASE WHEN d = 0 THEN path ELSE 'z[].' || path END, type, (CASE WHEN d = 0 THEN n0 ELSE n1 END)::BIGINT FROM sums, (VALUES ('a', 'bigint'), ('encrypted_content', 'string'), ('summary', 'array'), ('summary[]', 'object'), ('summary[].text', 'string'), ('summary[].type', 'string'), ('type', 'string')) t(path, type), range(2) r(d)""")
+def schema_paths(spark, sf_dir):
+    """Every path of keys within the records, whatever its depth."""
+    return inventory.key_paths(json_records(spark, sf_dir), "body")
+
+
+@query()
+def semantic_map(spark, sf_dir):
+    """Windows of the conversations with given vectors, in two coordinates and eight labelled clusters; tests hold the axes against numpy."""
+    vectors = T(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 5).alias("session_id"), (F.col("vec_id") % 5).cast("int").alias("window_no"), F.col("embedding").alias("vector"))
+    return semanticmap.semantic_map(V.units(spark, sf_dir), vectors, "session_id", "ordinal", stop=["the", "and", "que", "les", "der", "die", "und", "des"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest import views as V
-from palimpsest.operators import dedup, policy, registry as R, reports as P
+from palimpsest.operators import dedup, freshness as fresh, policy, registry as R, reports as P
 from palimpsest.plans.registry import query
 from palimpsest.plans.work import EV
 
@@ -189,10 +189,49 @@ def archive_status(spark, sf_dir):
     return P.archive_status(revisions(spark, sf_dir))
 
 
-@query("WITH " + REVISIONS + """, a AS (SELECT source, count(*) AS revisions, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'partial') AS partial, sum(pending)::BIGINT AS pending FROM rev GROUP BY 1)
-SELECT source, CASE WHEN failed * 4 > revisions THEN 'failed' WHEN failed + partial > 0 THEN 'attention' WHEN pending > 0 THEN 'pending' ELSE 'current' END AS state, pending FROM a""")
+# the columns of a row, nulls told apart from texts
+FINGER = "(SELECT source, count(*) AS n, sum(('0x' || substr(h, 1, 15))::BIGINT)::HUGEINT AS a, sum(('0x' || substr(h, 16, 15))::BIGINT)::HUGEINT AS b FROM (SELECT source, md5('=' || doc_id || chr(31) || coalesce('=' || lang, '-') || chr(31) || '=' || text) AS h FROM documents) x GROUP BY 1)"
+
+
+def content_fingerprints(spark, sf_dir):
+    return fresh.fingerprints(V.table(spark, sf_dir, "documents"), ["source"], ["doc_id", "lang", "text"])
+
+
+@query("SELECT source, n, a::VARCHAR AS a, b::VARCHAR AS b FROM " + FINGER + " f")
+def corpus_fingerprints(spark, sf_dir):
+    """The fingerprint of each source's documents."""
+    return content_fingerprints(spark, sf_dir).withColumns({c: F.col(c).cast("string") for c in ("a", "b")})
+
+
+@query("SELECT sha256(sum(n) || ':' || sum(a) || ':' || sum(b)) AS revision FROM " + FINGER + " f")
+def corpus_revision(spark, sf_dir):
+    """One text for the whole corpus from its sources' fingerprints, some of them counted anew."""
+    kept = content_fingerprints(spark, sf_dir)
+    again = content_fingerprints(spark, sf_dir).filter(F.length("source") % 2 == 0)
+    return fresh.revision(fresh.replaced(kept, again, ["source"]), [])
+
+
+def archive_number(source):
+    return F.regexp_extract(source, "[0-9]+$", 0).try_cast("long")
+
+
+@query("WITH " + REVISIONS + ", f AS " + FINGER + r""", s AS (SELECT source, try_cast(regexp_extract(source, '[0-9]+$') AS BIGINT) AS k, count(*) FILTER (WHERE status = 'partial' AND doc_id % 3 = 0) AS open, count(*) FILTER (WHERE status = 'failed' AND doc_id % 14 = 0) AS failed, sum(pending)::BIGINT AS pending_bytes, count(*) FILTER (WHERE doc_id % 10 = 0) AS parse_errors FROM rev GROUP BY 1),
+w AS (SELECT s.*, [CASE WHEN open > 0 THEN 'active source revisions are incomplete or still ingesting' END, CASE WHEN failed > 0 THEN 'one or more active source revisions failed' END, CASE WHEN k % 2 = 0 THEN 'derived episodes are stale relative to the active source catalog' END, CASE WHEN k % 5 = 0 THEN 'no complete timesheet snapshot exists' END, CASE WHEN k % 5 IN (1, 2) THEN 'latest timesheet snapshot is stale relative to the active source catalog' END, CASE WHEN k % 3 = 0 THEN 'token-cost snapshot is missing or stale' END, CASE WHEN k % 4 = 1 THEN 'latest semantic conversation attempt failed' END, CASE WHEN k % 4 IN (1, 3) THEN 'semantic conversation index is stale' END] AS t,
+ [CASE WHEN open > 0 THEN 'allow the next sync cycle to ingest newly completed source lines' END, CASE WHEN failed > 0 THEN 'inspect the sync log and repair or quarantine the failed source revision' END, CASE WHEN k % 2 = 0 THEN 'run the derived episode refresh' END, CASE WHEN k % 5 < 3 THEN 'run the timesheet refresh' END, CASE WHEN k % 3 = 0 THEN 'run the token-cost refresh' END, CASE WHEN k % 4 = 1 THEN 'inspect the semantic conversation job error before retrying' END, CASE WHEN k % 4 IN (1, 3) THEN 'run the guarded semantic conversation refresh' END] AS act FROM s)
+SELECT source, CASE WHEN failed > 0 THEN 'blocked' WHEN len(list_filter(t, lambda x: x IS NOT NULL)) > 0 THEN 'needs-attention' ELSE 'healthy' END AS status, array_to_string(list_filter(t, lambda x: x IS NOT NULL), '; ') AS warnings, array_to_string(list_filter(act, lambda x: x IS NOT NULL), '; ') AS actions, pending_bytes, parse_errors, failed = 0 AS safe FROM w WHERE k IS NOT NULL""")
 def automation_status(spark, sf_dir):
-    return P.automation_status(revisions(spark, sf_dir), "source")
+    """Each source as an archive, with episodes, timesheets, costs and semantic runs of its revision or of an older one."""
+    k = archive_number(F.col("source"))
+    d = F.col("doc_id")
+    state = F.when((F.col("status") == "partial") & (d % 3 == 0), "partial").when((F.col("status") == "failed") & (d % 14 == 0), "failed").otherwise("complete")
+    sources = revisions(spark, sf_dir).filter(k.isNotNull()).select("source", state.alias("status"), "pending", (d % 10 == 0).cast("int").alias("errors"))
+    now = fresh.revision(content_fingerprints(spark, sf_dir), ["source"])
+    old = F.lit("an older revision")
+    made = [("episodes", F.when(k % 2 == 0, old).otherwise(F.col("revision")), F.lit(None), F.lit(None)), ("timesheet", F.when(k % 5 == 1, old).otherwise(F.col("revision")), F.when(k % 5 == 2, 1).otherwise(2), k % 5 == 0), ("costs", F.when(k % 3 != 0, F.col("revision")), F.lit(None), F.lit(None))]
+    derived = [now.filter(~F.coalesce(without.cast("boolean"), F.lit(False))).select("source", F.lit(what).alias("what"), r.alias("revision"), version.cast("int").alias("algorithm"), F.lit(1).alias("rows")) for what, r, version, without in made]
+    runs = now.filter(k % 4 > 0).select("source", F.lit("conversation").alias("profile"), F.when(k % 4 == 1, "failed").otherwise("complete").alias("attempt_status"), F.when(k % 4 == 2, F.col("revision")).otherwise(old).alias("revision"))
+    out = fresh.automation_status(sources, now, derived[0].unionByName(derived[1]).unionByName(derived[2]), runs, "source", algorithm=2)
+    return out.select("source", "status", F.array_join("warnings", "; ").alias("warnings"), F.array_join("actions", "; ").alias("actions"), "pending_bytes", "parse_errors", "safe")
 
 
 @query(SES + ", r AS (SELECT contributor_id, machine, project_id, provider, cwd, session_id, end_us, errors, events FROM ses WHERE session_id IN (SELECT conv_id FROM conversations WHERE role = 'user')) SELECT contributor_id, machine, project_id, provider, cwd, session_id, position::INTEGER AS position FROM (SELECT *, row_number() OVER (PARTITION BY contributor_id ORDER BY end_us DESC, session_id DESC) AS position FROM (SELECT *, row_number() OVER (PARTITION BY contributor_id, machine, cwd, project_id, provider ORDER BY end_us DESC, session_id DESC) AS n FROM r) x WHERE n = 1) y")
@@ -238,7 +277,7 @@ def latest_snapshot(spark, sf_dir):
     return semantic_run_table(spark, sf_dir).filter("status = 'complete'").groupBy("profile").agg(F.max_by("run_id", F.struct("completed", "run_id")).alias("run_id"))
 
 
-@query("WITH " + RUNS + " SELECT run_id, profile FROM run WHERE active AND status = 'complete' ORDER BY (profile = 'de') DESC, completed DESC, run_id DESC LIMIT 1")
+@query("WITH " + RUNS + " SELECT run_id, profile FROM run WHERE status = 'complete' ORDER BY active DESC, (profile = 'de') DESC, completed DESC, run_id DESC LIMIT 1")
 def available_run(spark, sf_dir):
     return P.available_run(semantic_run_table(spark, sf_dir), prefer="de").select("run_id", "profile")
 
@@ -309,8 +348,8 @@ def scope_estimate(spark, sf_dir):
     return P.scope_estimate(V.table(spark, sf_dir, "documents"), ["lang"], F.col("n_chars") > 500, F.col("n_chars"))
 
 
-@query("WITH " + RUNS + ", p AS (SELECT sha256(string_agg(run_id || ':' || completed, ',' ORDER BY run_id)) AS book, profile AS version FROM run GROUP BY profile) SELECT version, book AS book_hash, version = (SELECT max(version) FROM p) AS active FROM p")
+@query("WITH " + RUNS + ", p AS (SELECT profile AS version, max(completed) AS imported, sha256(count(*) || ':' || sum(('0x' || substr(h, 1, 15))::BIGINT)::HUGEINT || ':' || sum(('0x' || substr(h, 16, 15))::BIGINT)::HUGEINT) AS book_hash FROM (SELECT *, md5('=' || run_id || chr(31) || '=' || completed) AS h FROM run) x GROUP BY profile) SELECT version, book_hash, imported, row_number() OVER (ORDER BY imported DESC, version DESC) = 1 AS active FROM p")
 def price_books(spark, sf_dir):
-    """Versions of a price book by content hash; the greatest version is the active one."""
+    """Versions of a price book by content hash; the one that was imported last is active."""
     rows = semantic_run_table(spark, sf_dir).select(F.col("profile").alias("version"), "run_id", "completed")
-    return P.price_books(rows, "version", ["run_id"], ["run_id", "completed"])
+    return fresh.price_books(rows, "version", ["run_id", "completed"], "completed")

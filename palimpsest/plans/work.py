@@ -169,6 +169,28 @@ def trace_runs(spark, sf_dir):
     return T.runs(V.events(spark, sf_dir), ["session_id"], "kind")
 
 
+def call_units(spark, sf_dir):
+    """Events as units of calls: operations by their counter, some outputs with an error signature, some of these reporting success."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    return V.events(spark, sf_dir).withColumns({"action": F.when(k % 2 == 0, "test").otherwise("edit"), "operation": F.concat(F.lit("op:"), (k % 3).cast("string")), "is_error": k % 11 == 0, "has_signature": k % 4 == 0, "text": F.when(k % 8 == 0, "log\nExit code: 0").otherwise("log\nExit code: 1")})
+
+
+CALLS = PAIR.replace("kind IN ('tool-input', 'tool-output')", "kind IN ('tool-input', 'tool-output', 'error')") + """, u AS (SELECT *, (props->>'k')::BIGINT AS k FROM ev),
+calls AS (SELECT ins.session_id, call_id, output_id, CASE WHEN a.k % 2 = 0 THEN 'test' ELSE 'edit' END AS action, 'op:' || (a.k % 3) AS operation, CASE WHEN output_id IS NULL THEN 'unknown' WHEN b.kind = 'error' OR b.k % 11 = 0 OR (b.k % 4 = 0 AND b.k % 8 <> 0) THEN 'error' ELSE 'result' END AS outcome, a.us AS start_us, coalesce(b.us, a.us) AS end_us
+ FROM ins LEFT JOIN outs USING (session_id, k) JOIN u a ON a.event_id = call_id LEFT JOIN u b ON b.event_id = output_id)"""
+
+
+@query(CALLS + " SELECT * FROM calls")
+def trace_call_outcomes(spark, sf_dir):
+    return T.call_outcomes(call_units(spark, sf_dir), ["session_id"])
+
+
+@query(CALLS + """, m AS (SELECT *, CASE WHEN lag(action || operation || outcome) OVER (PARTITION BY session_id ORDER BY call_id) = action || operation || outcome THEN 0 ELSE 1 END AS n FROM calls), nb AS (SELECT *, (sum(n) OVER (PARTITION BY session_id ORDER BY call_id))::BIGINT AS run_no FROM m)
+SELECT session_id, run_no, action, operation, outcome, count(*) AS count, min(call_id) AS first_id, arg_max(coalesce(output_id, call_id), call_id) AS last_id, arg_min(start_us, call_id) AS start_us, arg_max(end_us, call_id) AS end_us FROM nb GROUP BY ALL""")
+def trace_call_runs(spark, sf_dir):
+    return T.call_runs(T.call_outcomes(call_units(spark, sf_dir), ["session_id"]), ["session_id"])
+
+
 TRANS = EV + ", p AS (SELECT session_id, event_id, kind, lead(kind) OVER (PARTITION BY session_id ORDER BY event_id) AS next_value FROM ev)"
 
 
@@ -199,9 +221,9 @@ def episode_segments(spark, sf_dir):
 
 
 @query(EPISODE + """, gp AS (SELECT *, us - lag(us) OVER (PARTITION BY session_id, no ORDER BY event_id) AS gap FROM st),
-r AS (SELECT session_id, no::INTEGER AS episode_no, min(event_id) AS anchor_id, min(us) AS start_us, max(us) AS end_us, count(*) AS events, count(*) FILTER (WHERE kind = 'goal') AS goals, count(*) FILTER (WHERE kind IN ('tool-input', 'tool-output')) AS attempts,
+r AS (SELECT session_id, no::INTEGER AS episode_no, min(event_id) AS anchor_id, min(us) AS start_us, max(us) AS end_us, count(*) AS events, count(*) FILTER (WHERE kind = 'goal') AS goals, count(*) FILTER (WHERE kind = 'tool-input') AS attempts,
  count(*) FILTER (WHERE kind = 'error') AS errors, count(*) FILTER (WHERE kind = 'outcome') AS outcomes, coalesce(sum(greatest(0, least(gap, 1800000000))) FILTER (WHERE gap IS NOT NULL), 0)::BIGINT AS active_us FROM gp GROUP BY session_id, no)
-SELECT *, CASE WHEN errors > 0 THEN 'error-observed' WHEN outcomes > 0 THEN 'result-observed' WHEN attempts > 0 THEN 'attempt-observed' ELSE 'discussion' END AS evidence_state FROM r""")
+SELECT *, CASE WHEN errors > 0 THEN 'error-observed' WHEN attempts > 0 AND outcomes > 0 THEN 'result-observed' WHEN attempts > 0 THEN 'attempt-observed' ELSE 'discussion' END AS evidence_state FROM r""")
 def episode_render(spark, sf_dir):
     return episodes.render(episode_rows(spark, sf_dir), ["session_id"])
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
-from palimpsest.operators import costs, dedup, episodes, intervals as I, registry as R, search as S, trace
+from palimpsest.operators import costs, freshness as fresh, dedup, episodes, intervals as I, registry as R, search as S, trace
 from palimpsest.sources import exports, logs
 from palimpsest.streaming import archive
 
@@ -331,7 +331,7 @@ def test_price_books_do_not_change_under_their_version(spark):
     from palimpsest.operators import reports as P
 
     book = spark.createDataFrame([("v1", 1, "2.5"), ("v1", 2, "3")], "version string, line long, rate string")
-    old, other = P.price_books(book, "version", ["line"], ["line", "rate"]), P.price_books(book.withColumn("rate", F.lit("9")), "version", ["line"], ["line", "rate"])
+    old, other = (fresh.price_books(b, "version", ["line", "rate"], "version") for b in (book, book.withColumn("rate", F.lit("9"))))
     assert P.check_book(old, old, "version").count() == 0 and P.check_book(old, other, "version").count() == 1
 
 
