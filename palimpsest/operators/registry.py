@@ -20,7 +20,7 @@ def most_specific(rows: DataFrame, rules: DataFrame, path: str, at: str, out: st
     own = rows.withColumn("_row", F.monotonically_increasing_id())
     parts = F.split(path, "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-    return _best(own, own.withColumn("_p", F.explode(prefixes)), rules, at, out, list(optional), list(optional))
+    return _best(own.withColumn("_p", F.explode_outer(prefixes)), rows.columns, rules, at, out, list(optional), list(optional))
 
 
 def contributor_of(rows: DataFrame, rules: DataFrame, path: str, at: str, out: str, *, machine: str = "machine", provider: str = "provider") -> DataFrame:
@@ -31,20 +31,22 @@ def contributor_of(rows: DataFrame, rules: DataFrame, path: str, at: str, out: s
     rules have, as an equi-join; there are no more lengths than a path has characters.
     """
     own = rows.withColumn("_row", F.monotonically_increasing_id())
-    lengths = rules.select(F.length(F.coalesce("prefix", F.lit(""))).alias("_n")).distinct()
-    led = own.crossJoin(F.broadcast(lengths)).filter(F.length(path) >= F.col("_n")).withColumn("_p", F.left(F.col(path), F.col("_n"))).drop("_n")
-    return _best(own, led, rules.filter(F.col(machine).isNotNull()), at, out, [machine, provider], [])
+    none = rows.sparkSession.range(1).select(F.lit(0).alias("_n"))  # so that every row stays, whatever its path
+    lengths = rules.select(F.length(F.coalesce("prefix", F.lit(""))).alias("_n")).union(none).distinct()
+    led = own.crossJoin(F.broadcast(lengths)).filter((F.length(path) >= F.col("_n")) | (F.col("_n") == 0)).withColumn("_p", F.left(F.coalesce(F.col(path), F.lit("")), F.col("_n"))).drop("_n")
+    return _best(led, rows.columns, rules.filter(F.col(machine).isNotNull()), at, out, [machine, provider], [])
 
 
-def _best(own: DataFrame, led: DataFrame, rules: DataFrame, at: str, out: str, optional: list[str], ordered: list[str]) -> DataFrame:
+def _best(led: DataFrame, columns: list[str], rules: DataFrame, at: str, out: str, optional: list[str], ordered: list[str]) -> DataFrame:
+    """Each row (``_row``; once for each of its prefixes ``_p``) with its best rule's value; numbers of rows are read once, so they may differ after a retry."""
     identity = F.col("id") if "id" in rules.columns else F.lit(0)
-    r = rules.select(F.coalesce("prefix", F.lit("")).alias("_p"), "from_us", "to_us", F.col(out).alias("_v"), identity.alias("_id"), *(F.col(c).alias(f"_{c}") for c in optional))
-    hit = led.join(r, "_p").filter((F.col("from_us") <= F.col(at)) & (F.col(at) < F.col("to_us")))
+    r = rules.select(F.coalesce("prefix", F.lit("")).alias("_q"), F.col("from_us").alias("_from"), F.col("to_us").alias("_to"), F.col(out).alias("_v"), identity.alias("_id"), *(F.col(c).alias(f"_{c}") for c in optional))
+    on = (F.col("_p") == F.col("_q")) & (F.col("_from") <= F.col(at)) & (F.col(at) < F.col("_to"))
     for c in optional:
-        hit = hit.filter(F.col(f"_{c}").isNull() | (F.col(f"_{c}") == F.col(c)))
-    w = Window.partitionBy("_row").orderBy(*(F.desc(F.col(f"_{c}").isNotNull()) for c in ordered), F.desc(F.length("_p")), F.desc("from_us"), F.desc("_id"), "_v")
-    best = hit.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select("_row", F.col("_v").alias(out))
-    return own.join(best, "_row", "left").drop("_row")
+        on = on & (F.col(f"_{c}").isNull() | (F.col(f"_{c}") == F.col(c)))
+    w = Window.partitionBy("_row").orderBy(F.desc(F.col("_q").isNotNull()), *(F.desc(F.col(f"_{c}").isNotNull()) for c in ordered), F.desc(F.length("_q")), F.desc("_from"), F.desc("_id"), "_v")
+    best = led.join(r, on, "left").withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
+    return best.select(*columns, F.col("_v").alias(out))
 
 
 def first_override(rows: DataFrame, linked: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from palimpsest.session import checkpoint
+
 
 def bucket_label(us: Column, bucket: str) -> Column:
     """Label of a day, ISO week (2024-W01) or month of a UTC instant."""
@@ -46,17 +52,51 @@ def repetition(facts: DataFrame, key: str, *, least: int = 2) -> DataFrame:
     return out.filter(F.col("independent") >= least).withColumn("echoes", F.greatest(F.col("physical") - F.col("independent"), F.lit(0)).cast("long"))
 
 
-def ordinals(rows: DataFrame, key: str, *, span: int = 1 << 16, name: str = "ordinal") -> DataFrame:
-    """Rows numbered from 0 by a distinct whole-number key, without one task seeing them all.
+def ordinals(rows: DataFrame, key: str, *, name: str = "ordinal") -> DataFrame:
+    """Rows numbered from 0 in order of a key (nulls first), without one task seeing them all.
+
+    Rows are dealt by range of the key, whatever its values; the counts of the ranges,
+    as many as there are partitions, give each its first number.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpoint(rows.repartitionByRange(n, key).withColumn("_range", F.spark_partition_id()))  # read twice
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
+    return dealt.withColumn("_own", own).join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_own")).drop("_range", "_own", "_start")
+
+
+def ordered_md5(rows: DataFrame, by: list[str], number: str, *, name: str = "md5") -> DataFrame:
+    """(by, md5) of each group's whole numbers, ascending and joined by commas.
 
-    Keys are cut into spans; counts of the spans, few as they are, give each its
-    first number, and rows are numbered within their span.
+    Numbers become text in pieces of 4,096 consecutive ones; the pieces of a group pass
+    through one hash in order, of which a task holds a batch at a time.
     """
-    spanned = rows.withColumn("_span", F.floor(F.col(key) / span))
-    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))
-    starts = spanned.groupBy("_span").agg(F.count("*").alias("_n")).select("_span", F.coalesce(before, F.lit(0)).alias("_start"))
-    own = F.row_number().over(Window.partitionBy("_span").orderBy(key)) - 1
-    return spanned.withColumn("_own", own).join(starts, "_span").withColumn(name, F.col("_start") + F.col("_own")).drop("_span", "_own", "_start")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(number)), lambda x: x.cast("string")), ",")
+    pieces = rows.groupBy(*by, F.shiftright(number, 12).alias("_at")).agg(text.alias("_piece")).withColumn("_group", F.to_json(F.struct(*by)))
+    kinds = {c: t for c, t in rows.dtypes if c in by}
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, hashlib.md5()
+        for b in batches:
+            rows_ = b.to_pylist()
+            done = []
+            for r in rows_:
+                if now is not None and r["_group"] == now["_group"]:
+                    state.update(b"," + r["_piece"].encode())
+                    continue
+                if now is not None:
+                    done.append(now | {name: state.hexdigest()})
+                now, state = r, hashlib.md5(r["_piece"].encode())
+            yield made(done, b.schema)
+        if now is not None:
+            yield made([now | {name: state.hexdigest()}], b.schema)
+
+    def made(done: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{k: r[k] for k in (*by, name)} for r in done], schema=pa.schema([*(schema.field(c) for c in by), (name, pa.string())]))
+
+    dealt = pieces.repartition("_group").sortWithinPartitions("_group", "_at").select(*by, "_group", "_piece")
+    return dealt.mapInArrow(hashed, ", ".join(f"{c} {kinds[c]}" for c in by) + f", {name} string")
 
 
 def stride_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from palimpsest import views as V
 from palimpsest.functions import jsontext as J, text as X
-from palimpsest.operators import inventory, lexicon as L, recall, records as C, search as S, semanticmap
-from palimpsest.plans.content import LEX, LEXTOP, LINES, lexical_hits, lexical_ranked, log_lines
+from palimpsest.operators import inventory, lexicon as L, reads, recall, records as C, search as S, semanticmap
+from palimpsest.plans.content import LEX, LEXTOP, WORDS, LINES, lexical_hits, lexical_ranked, log_lines
 from palimpsest.plans.registry import query
-from palimpsest.plans.work import EV
+from palimpsest.plans.work import EPISODE, EV, episode_rows
 
 T = V.table
 UNITS = "u AS (SELECT conv_id AS session_id, turn AS ordinal, role, role || '-message' AS kind, text FROM conversations)"
@@ -301,3 +301,53 @@ def semantic_map(spark, sf_dir):
     """Windows of the conversations with given vectors, in two coordinates and eight labelled clusters; tests hold the axes against numpy."""
     vectors = T(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 5).alias("session_id"), (F.col("vec_id") % 5).cast("int").alias("window_no"), F.col("embedding").alias("vector"))
     return semanticmap.semantic_map(V.units(spark, sf_dir), vectors, "session_id", "ordinal", stop=["the", "and", "que", "les", "der", "die", "und", "des"])
+
+
+# ---------------------------------------------------------------- lists and details
+
+SES = EV + ", " + V.SESSIONS_SQL
+
+
+@query(SES + " SELECT session_id, provider, cwd, events, position::INTEGER AS position FROM (SELECT *, row_number() OVER (ORDER BY coalesce(end_us, start_us) DESC, session_id DESC) AS position FROM ses WHERE provider = 'p1' AND contains(lower(cwd), '/en')) x WHERE position BETWEEN 6 AND 25")
+def session_list(spark, sf_dir):
+    """A page of one provider's sessions by part of their folder, the latest first."""
+    return reads.list_sessions(V.sessions(spark, sf_dir), provider="p1", text="/EN", limit=20, offset=5).select("session_id", "provider", "cwd", "events", "position")
+
+
+@query("WITH " + UNITS + ", " + LINES.format("(props->>'k')::BIGINT") + r""", un AS (SELECT session_id AS event_id, string_agg(ordinal || ':' || kind || ':' || length(text), ',' ORDER BY ordinal) AS units FROM u GROUP BY 1), ar AS (SELECT event_id, '1:' || sha256(line) AS artifacts FROM lines WHERE event_id % 3 = 0)
+SELECT event_id, event_type, coalesce(units, '') AS units, coalesce(artifacts, '') AS artifacts FROM events LEFT JOIN un USING (event_id) LEFT JOIN ar USING (event_id) WHERE event_id % 2 = 0""")
+def event_details(spark, sf_dir):
+    """Every second event with the units of the conversation under its number and, for some, its log line as an artifact."""
+    units = V.units(spark, sf_dir).select(F.col("session_id").alias("event_id"), F.col("ordinal").alias("unit_index"), F.concat(F.lit("u"), "ordinal").alias("unit_key"), "kind", F.lit(None).cast("string").alias("label"), F.lit(False).alias("is_error"), "text")
+    artifacts = log_lines(spark, sf_dir).filter("event_id % 3 = 0").select("event_id", F.lit(1).alias("artifact_id"), F.lit("line").alias("kind"), F.lit(None).cast("string").alias("label"), F.col("line").alias("value"))
+    events = T(spark, sf_dir, "events")
+    found = reads.event_details(events, units, artifacts, events.filter("event_id % 2 = 0"))
+    each = F.array_join(F.transform("units", lambda u: F.concat_ws(":", u["unit_index"], u["kind"], u["chars"])), ",")
+    return found.select("event_id", "event_type", each.alias("units"), F.array_join(F.transform("artifacts", lambda a: F.concat_ws(":", a["artifact_id"], a["value_hash"])), ",").alias("artifacts"))
+
+
+@query(EPISODE + """, li AS (SELECT session_id, no, string_agg(event_id || ':' || kind, ',' ORDER BY event_id) AS events FROM st GROUP BY 1, 2), pr AS (SELECT session_id, no, string_agg(kind || '=' || props, ',' ORDER BY kind, props) AS fingerprints FROM (SELECT DISTINCT st.session_id, no, st.kind, props FROM st JOIN ev USING (event_id)) x GROUP BY 1, 2)
+SELECT session_id, no::INTEGER AS episode_no, events, fingerprints FROM li JOIN pr USING (session_id, no) WHERE no % 2 = 1""")
+def episode_details(spark, sf_dir):
+    """Every second episode of a session with its events in order and its fingerprints by kind and value."""
+    from palimpsest.operators import episodes
+
+    rows, keys = episode_rows(spark, sf_dir), ["session_id", "episode_no"]
+    links = rows.select(*keys, F.col("event_id").alias("position"), F.col("kind").alias("section"), "event_id")
+    every = rows.select(*keys).distinct()
+    prints = episodes.fingerprints(rows, ["session_id"], F.col("props"), most=1 << 30)
+    found = reads.episode_details(every, links, V.events(spark, sf_dir), prints, every.filter("episode_no % 2 = 1"), episode=keys)
+    return found.select(*keys, F.array_join(F.transform("events", lambda e: F.concat_ws(":", e["event_id"], e["kind"])), ",").alias("events"), F.array_join(F.transform("fingerprints", lambda f: F.concat_ws("=", f["kind"], f["value"])), ",").alias("fingerprints"))
+
+
+ASKED = LEXTOP.replace(LEXTOP[: LEXTOP.index("hit AS (")], "WITH " + UNITS + ", " + SPOKEN + DOCUMENTS + f""", q AS (SELECT conv_id AS item_id, list_distinct({WORDS.format('text')}[1:2]) AS t FROM conversations WHERE turn = 0 AND conv_id % 10 = 0), d AS (SELECT session_id AS doc_id, {WORDS.format('document')} AS w FROM whole JOIN n USING (session_id) WHERE errors = 0),
+""")
+
+
+@query(ASKED + " SELECT item_id AS query_id, doc_id AS session_id, score, position::INTEGER AS position FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id DESC) AS position FROM top) x WHERE position <= 10")
+def episode_search(spark, sf_dir):
+    """Episodes without errors whose document holds the first two words of some conversations, by cover density."""
+    found = C.documents(spoken(spark, sf_dir), ["session_id"], "ordinal").filter("errors = 0").withColumns({"start_us": F.lit(0), "end_us": F.lit(0)})
+    first = F.array_join(F.slice(S.tokens(F.col("text")), 1, 2), " ")
+    asked = V.units(spark, sf_dir).filter("ordinal = 0 and session_id % 10 = 0").select(F.col("session_id").alias("query_id"), first.alias("query"))
+    return reads.list_episodes(found, asked, key="session_id", limit=10).select("query_id", "session_id", "score", "position")

@@ -335,5 +335,9 @@ def token_cost_group_week(spark, sf_dir):
 
 @query("WITH " + V.USAGE_SQL + " SELECT model, tier, strftime(day, '%Y-%m') AS month, md5(string_agg(message_id::VARCHAR, ',' ORDER BY message_id)) AS messages_md5, sum(tokens)::BIGINT AS tokens FROM usage GROUP BY 1, 2, 3")
 def token_usage_collect(spark, sf_dir):
-    u = V.usage(spark, sf_dir).groupBy("model", "tier", F.date_format("day", "yyyy-MM").alias("month"))
-    return u.agg(F.md5(F.array_join(F.sort_array(F.collect_list("message_id")), ",")).alias("messages_md5"), F.sum("tokens").alias("tokens"))
+    by = ["model", "tier", "month"]
+    u = V.usage(spark, sf_dir).withColumn("month", F.date_format("day", "yyyy-MM"))
+    ids = S.ordered_md5(u, by, "message_id", name="messages_md5")
+    sums = u.groupBy(*by).agg(F.sum("tokens").alias("tokens"))
+    on = [sums[c].eqNullSafe(ids[c]) for c in by]
+    return sums.join(ids, on).select(*(sums[c] for c in by), "messages_md5", "tokens")
