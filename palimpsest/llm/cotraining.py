@@ -51,13 +51,13 @@ def _slot(name: str) -> int:
 def _shape(word: str) -> int:
     slot = _SHAPE_OF.get(word)
     if slot is None:
-        if plain := _PLAIN.fullmatch(word, 0, 40):
+        if plain := _PLAIN.fullmatch(word):
             shape = "A" * bool(plain[1]) + "a" * bool(plain[2]) + plain[3]
         else:
-            shape = word[:40]
+            shape = word
             for pattern, by in _SHAPES:
                 shape = pattern.sub(by, shape)
-        slot = _slot("s" + shape[:12])
+        slot = _slot("s" + shape)
         if len(_SHAPE_OF) > 150_000:
             _SHAPE_OF.clear()
         _SHAPE_OF[word] = slot

@@ -23,7 +23,7 @@ from .order import successors
 K, SKETCH, PIECE = 3, 64, 16
 #: Words by which neighbouring common anchors may shift against each other.
 SLACK = 8
-_MARK = 14
+_MARK = 16
 
 
 def fingerprint(text: Column, sketch: int = SKETCH) -> Column:
@@ -49,7 +49,7 @@ def fingerprint(text: Column, sketch: int = SKETCH) -> Column:
     each = F.transform(F.array(names), runs)
     each = F.transform(each, lambda r: F.sort_array(F.filter(r, lambda x: x.isNotNull())))
     least = F.slice(F.flatten(F.transform(each, first_of_each)), 1, sketch)
-    return F.array_join(F.transform(least, lambda x: F.concat(F.lpad(F.lower(F.hex(x["h"])), 8, "0"), F.lpad(F.lower(F.hex(F.least(x["i"], F.lit(0xFFFFFF)))), 6, "0"))), "")
+    return F.array_join(F.transform(least, lambda x: F.concat(F.lpad(F.lower(F.hex(x["h"])), 8, "0"), F.lpad(F.lower(F.hex(x["i"])), 8, "0"))), "")
 
 
 def likeness(a: Column, b: Column, sketch: int = SKETCH) -> Column:
@@ -66,7 +66,7 @@ def likeness(a: Column, b: Column, sketch: int = SKETCH) -> Column:
         return F.left(mark, F.lit(8))
 
     def place(mark: Column) -> Column:
-        return F.conv(F.substring(mark, 9, 6), 16, 10).cast("int")
+        return F.conv(F.substring(mark, 9, 8), 16, 10).cast("int")
 
     def matched(common: Column) -> Column:
         """Of (place, shift) sorted by place: those with a neighbour that is displaced alike; a single one counts."""

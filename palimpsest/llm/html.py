@@ -22,7 +22,6 @@ import hashlib
 import html
 import os.path
 import re
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -60,8 +59,6 @@ ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "sear
 ARTICLE = frozenset(("articlebody", "article-body", "article-content", "article-text", "post-content", "post-body", "entry-content", "story-body", "main-content"))
 #: How much larger the open lines are where a marked article is a teaser.
 TEASER = 3
-#: Pairs of equal lines up to which the alignment is the longest; beyond it the k-th of equal lines meets the k-th.
-PAIRS = 200_000
 # a quote opens a value only after an equals sign
 _TOKEN = re.compile(r"<!--(?:-?>|.*?--!?>|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?)*+)>|[^<]+|<", re.S)
 _BARE = re.compile(r"<!--(?:-?>|.*?--!?>|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|[^<]+|<", re.S)
@@ -191,36 +188,43 @@ def main_lines(lines: list[tuple[str, int]], shared: frozenset | set = frozenset
     return kept or ([] if opened else [x for x, _ in lines])
 
 
-def shared_lines(own: list, other: list) -> list[int]:
-    """Positions in ``own`` of a longest common subsequence of both (see PAIRS)."""
-    where: dict = defaultdict(list)
+def _prefix_lengths(own: list, other: list) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``own`` with every prefix of ``other``, from the empty one.
+
+    Bits of one long number stand for the lines of ``other``: a bit is clear where the
+    length grows, so each line of ``own`` is a few operations on it.
+    """
+    at: dict = defaultdict(int)
     for j, x in enumerate(other):
-        where[x].append(j)
-    if sum(len(where.get(x, ())) for x in own) > PAIRS:
-        nth: dict = defaultdict(int)
-        met: list = []
-        for x in own:
-            k = nth[x]
-            nth[x] = k + 1
-            met.append(where[x][k : k + 1] if x in where else ())
-    else:
-        met = [where.get(x, ()) for x in own]
-    tails: list[int] = []  # least end in `other` of a common subsequence of each length
-    nodes: list[tuple] = []
-    for i, found in enumerate(met):
-        for j in reversed(found):
-            k = bisect_left(tails, j)
-            node = (i, nodes[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                nodes.append(node)
-            else:
-                tails[k], nodes[k] = j, node
-    out, node = [], nodes[-1] if nodes else None
-    while node:
-        out.append(node[0])
-        node = node[1]
-    return out[::-1]
+        at[x] |= 1 << j
+    n = len(other)
+    full = (1 << n) - 1
+    v = full
+    for x in own:
+        u = v & at.get(x, 0)
+        v = (v + u | v - u) & full
+    grows = np.unpackbits(np.frombuffer((full ^ v).to_bytes(n // 8 + 1, "little"), np.uint8), bitorder="little")[:n]
+    return np.concatenate(([0], np.cumsum(grows)))
+
+
+def shared_lines(own: list, other: list) -> list[int]:
+    """Positions in ``own`` of a longest common subsequence of both, in memory that grows with their lengths alone.
+
+    ``own`` is halved, ``other`` is cut where both halves share most, and so on.
+    """
+    out: list[int] = []
+    todo = [(0, own, other)]
+    while todo:
+        start, a, b = todo.pop()
+        if not a or not b:
+            continue
+        if len(a) == 1:
+            out += [start] * (a[0] in b)
+            continue
+        half = len(a) // 2
+        cut = int(np.argmax(_prefix_lengths(a[:half], b) + _prefix_lengths(a[half:][::-1], b[::-1])[::-1]))
+        todo += [(start, a[:half], b[:cut]), (start + half, a[half:], b[cut:])]
+    return sorted(out)
 
 
 def template_lines(own: list[tuple[int, int]], other: list[tuple[int, int]]) -> list[int] | None:

@@ -51,7 +51,7 @@ def op5_shared_prefix_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), max_tokens=2048, max_segments=256)
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), max_tokens=2048, max_segments=2048)
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

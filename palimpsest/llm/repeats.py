@@ -260,8 +260,9 @@ def _finish(docs: DataFrame, windows: DataFrame, settle, remove, schema: str, id
 
     own = docs.select(*(c for c in docs.columns if c in ("id", "rest")))
     done = docs.join(windows, "uid", "left").mapInArrow(run, f"{_ddl(own)}, {schema}")
-    new = [F.col(n) for n, _ in fields]
-    return done.select(F.col("id").alias(id_col), *new, *(["rest.*"] if "rest" in docs.columns else []))
+    new = [n for n, _ in fields]
+    carried = [c for c in docs.schema["rest"].dataType.names if c not in (id_col, *new)] if "rest" in docs.columns else []
+    return done.select(F.col("id").alias(id_col), *new, *(F.col("rest")[c].alias(c) for c in carried))
 
 
 def _long_windows(docs: DataFrame, first, judge, aux_type, second) -> tuple[DataFrame, DataFrame]:
@@ -283,7 +284,7 @@ def suffix_array_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     Returns (id_col, n_bytes, n_removed, n_spans, kept_sha256) and, ``with_text``,
     ``kept``: the remaining bytes as text, where a cut character's rest is dropped;
-    with ``carry`` the other columns follow (their names must not clash with these).
+    with ``carry`` the other columns follow; those that have the new names are replaced.
     All occurrences are removed, and strings are judged on the input.  A null text
     counts as empty.
     """
@@ -424,8 +425,8 @@ def recompression_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
 
     Words are ``[^\\x20\\x09-\\x0D]+``, compared unchanged.  Returns (id_col, n_words,
     n_removed, kept_sha256) of the kept words joined by one space and, ``with_text``,
-    that text as ``kept``; with ``carry`` the other columns follow (their names must
-    not clash with these).  A null text has no words.
+    that text as ``kept``; with ``carry`` the other columns follow; those that have
+    the new names are replaced.  A null text has no words.
     """
 
     def first(batch: pa.RecordBatch) -> Iterator[tuple]:

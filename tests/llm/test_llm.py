@@ -495,14 +495,14 @@ def test_fingerprints_and_likeness_against_brute_force(spark):
         for r, i in rs:
             name = ((triple if len(r) == 3 else few)[r] % (1 << 64)) >> 32
             first[name] = min(i, first.get(name, i))
-        want.append("".join(f"{n:08x}{first[n]:06x}" for n in sorted(first)[:64]))
+        want.append("".join(f"{n:08x}{first[n]:08x}" for n in sorted(first)[:64]))
     got = [r[0] for r in docs_of(spark, list(enumerate(texts))).orderBy("doc_id").select(fingerprint(F.col("text"))).collect()]
     assert got == want
 
     def share(a, b):
         if a == b:
             return 1.0
-        x, y = ({m[:8]: int(m[8:], 16) for m in re.findall(".{14}", f)} for f in (a, b))
+        x, y = ({m[:8]: int(m[8:], 16) for m in re.findall(".{16}", f)} for f in (a, b))
         union = sorted({*x, *y})[:64]
         common = sorted((x[n], y[n] - x[n]) for n in union if n in x and n in y)
         near = [k for k, (_, d) in enumerate(common) if len(common) == 1 or any(0 <= j < len(common) and abs(common[j][1] - d) <= 8 for j in (k - 1, k + 1))]
@@ -513,3 +513,51 @@ def test_fingerprints_and_likeness_against_brute_force(spark):
     assert np.allclose([r[0] for r in liked], [share(a, b) for a, b in pairs])
     at = {t: k for k, t in enumerate(texts)}
     assert share(want[at["x" * 500]], want[at["x" * 480 + "y" * 20]]) > 0 and share(want[7], want[at["start " * 9 + base[-1]]]) > 0.9
+
+
+def test_alignments_are_longest_at_every_size():
+    from palimpsest.llm.html import shared_lines
+
+    def length(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        return row[-1]
+
+    rng = random.Random(9)
+    for n, m, kinds in [(0, 3, 2), (3, 0, 2), (1, 1, 1), (40, 30, 3), (64, 65, 2), (1203, 603, 5), (900, 900, 1)]:
+        a, b = ([rng.randrange(kinds) for _ in range(k)] for k in (n, m))
+        found = shared_lines(a, b)
+        assert found == sorted(set(found)) and len(found) == length(a, b)
+        rest = iter(b)
+        assert all(any(a[k] == y for y in rest) for k in found)
+
+
+def test_short_pieces_fill_sequences(spark):
+    from palimpsest.llm.packing import pack_documents
+
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(k, "a b") for k in range(3000)], "doc_id long, text string").coalesce(1)
+    got = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), max_tokens=2048, max_segments=2048)
+    sizes = sorted(r.n for r in got.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect())
+    total = sum(sizes)
+    assert sizes.count(2048) == total // 2048 and all(n & (n - 1) == 0 for n in sizes)
+
+
+def test_far_anchors_keep_their_place(spark):
+    from palimpsest.llm.fingerprints import fingerprint
+
+    words = " ".join(f"w{k}" for k in range(200))
+    mark = spark.createDataFrame([(words,)], "t string").select(fingerprint(F.col("t")).alias("f")).first().f
+    assert len(mark) % 16 == 0 and all(int(mark[k + 8 : k + 16], 16) < 200 for k in range(0, len(mark), 16))
+
+
+def test_carried_columns_may_have_any_name(spark):
+    rows = [(1, "x" * 300, 7, "mine", 8), (2, "y", 7, "mine", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept int, n_bytes string, other int")
+    got = sorted((r.doc_id, r.n_bytes, r.kept, r.other) for r in suffix_array_dedup(df, with_text=True, carry=True).collect())
+    assert got == [(1, 300, "", 8), (2, 1, "y", 8)]
