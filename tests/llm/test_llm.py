@@ -561,3 +561,18 @@ def test_carried_columns_may_have_any_name(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, kept int, n_bytes string, other int")
     got = sorted((r.doc_id, r.n_bytes, r.kept, r.other) for r in suffix_array_dedup(df, with_text=True, carry=True).collect())
     assert got == [(1, 300, "", 8), (2, 1, "y", 8)]
+
+
+def test_pipeline_stages_take_tables_with_any_columns(spark, small):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+    names = ["kept", "keep", "quality_score", "_row0", "stays", "_among", "more", "n_bytes", "uid", "a b", "rest", "label"]
+    odd = docs.withColumns({n: F.lit(k) for k, n in enumerate(names)})
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, odd, small)
+        assert out.columns == odd.columns
+        first = out.select(*(f"`{n}`" for n in names)).distinct().collect()
+        assert [tuple(r) for r in first] == [tuple(range(len(names)))], name
+        plain = stage(spark, docs, small)
+        assert sorted(map(repr, out.select(*docs.columns).collect())) == sorted(map(repr, plain.collect()))
+    assert pipeline.STAGES[-1][1](spark, odd, small).count() > 0
