@@ -22,14 +22,33 @@ from palimpsest.llm.packing import pack_documents
 from palimpsest.llm.repeats import suffix_array_dedup
 
 
+#: Columns that stages read; a table may have any others, whatever their names.
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _apart(docs: DataFrame) -> DataFrame:
+    """The known columns, and all others within one, so that no operator's own columns can clash with them."""
+    others = [c for c in docs.columns if c not in KNOWN]
+    more = [F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others))).alias("more")] if others else []
+    return docs.select(*(c for c in KNOWN if c in docs.columns), *more)
+
+
+def _together(rows: DataFrame, columns: list[str]) -> DataFrame:
+    others = [c for c in columns if c not in KNOWN]
+    return rows.select(*(F.col(c) if c in KNOWN else F.col("more")[f"c{others.index(c)}"].alias(c) for c in columns))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.filter("keep").select(*docs.columns)
+    """Documents that the classifier keeps.  Null and empty texts are scored like others; repeated rows fare alike; an empty table stays empty."""
+    scored = quality_scores(_apart(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _together(scored.filter("keep"), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    names = [F.xxhash64(F.lit(k), *(F.col(f"`{c}`") for c in docs.columns)).alias(f"_row{k}") for k in (0, 1)]
-    keyed = docs.select("*", *names)  # equal rows have equal names
+    """One row of each group of linked rows.  Null and empty texts link with nothing and stay; of repeated rows one stays."""
+    own = _apart(docs)
+    names = [F.xxhash64(F.lit(k), *own.columns).alias(f"_row{k}") for k in (0, 1)]
+    keyed = own.select("*", *names)  # equal rows have equal names
     rows = keyed.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row0", "_row1").alias("row"), "text")
     found = ngram_jaccard_join(rows, id_col="row", size=5, threshold=(75, 100))
     # rows without words link with nothing and stay
@@ -37,19 +56,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     judged = judged.filter("copies > 1 or not stays").select("row._row0", "row._row1", "stays")
     kept = keyed.join(judged, ["_row0", "_row1"], "left").filter("stays is null or stays")
     among = F.row_number().over(Window.partitionBy("_row0", "_row1").orderBy("_row0"))
-    return kept.withColumn("_among", among).filter("stays is null or _among = 1").select(*docs.columns)
+    return _together(kept.withColumn("_among", among).filter("stays is null or _among = 1"), docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffix_array_dedup(docs, threshold=200, with_text=True, carry=True)
+    """Texts without their repeated strings.  Null and empty texts stay as they are, a null one as empty."""
+    cut = suffix_array_dedup(_apart(docs), threshold=200, with_text=True, carry=True)
     cut = cut.filter("n_removed = 0 or kept <> ''").withColumn("text", F.col("kept")).withColumn("n_chars", F.char_length("kept").cast("long"))
-    return cut.select(*docs.columns)
+    return _together(cut, docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences.  A null text counts as empty and is one token; repeated rows are packed again."""
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), max_tokens=2048, max_segments=256)
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), max_tokens=2048, max_segments=2048)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeats", repeats), ("packing", packing)]
