@@ -15,12 +15,21 @@ def left_totals(dim: DataFrame, key: str, totals: dict[str, tuple[DataFrame, Col
     return out.na.fill(0, list(totals))
 
 
-def registry_summary(sessions: DataFrame, aliases: DataFrame, defaults: DataFrame) -> DataFrame:
-    """One row: projects, aliases, and sessions without a contributor or without a default activity at their start."""
+def registry_summary(sessions: DataFrame, aliases: DataFrame, defaults: DataFrame, projects: DataFrame | None = None) -> DataFrame:
+    """One row: projects, aliases, and sessions without a contributor or without a default activity at their start.
+
+    With ``projects`` (project_id, is_unresolved) the registry's own projects are
+    counted, and those that are unresolved; without it, the projects of sessions.
+    A session without a project has no default activity.
+    """
     dated = defaults.select(F.col("project_id").alias("_p"), "from_us", "to_us")
     on = (F.col("project_id") == F.col("_p")) & (F.col("start_us") >= F.col("from_us")) & (F.col("start_us") < F.col("to_us"))
     bare = sessions.join(dated, on, "left_anti").agg(F.count("*").alias("unresolved_activities"))
-    own = sessions.agg(F.countDistinct("project_id").alias("projects"), F.count_if(F.col("contributor_id").isNull()).alias("unresolved_contributors"))
+    people = F.count_if(F.col("contributor_id").isNull()).alias("unresolved_contributors")
+    if projects is None:
+        own = sessions.agg(F.countDistinct("project_id").alias("projects"), people)
+    else:
+        own = sessions.agg(people).crossJoin(projects.agg(F.count("*").alias("projects"), F.count_if("is_unresolved").alias("unresolved_projects")))
     return own.crossJoin(aliases.agg(F.count("*").alias("aliases"))).crossJoin(bare)
 
 
@@ -63,6 +72,51 @@ def archive_status(revisions: DataFrame) -> DataFrame:
     return revisions.agg(F.countDistinct("source").alias("sources"), F.count("*").alias("revisions"), F.count_if(F.col("byte_length") != F.col("real_length")).alias("length_mismatches"), F.count_if(failing).alias("attention"), F.coalesce(F.sum("pending"), F.lit(0)).alias("pending_bytes"), *states)
 
 
+def active_status(sources: DataFrame, revisions: DataFrame, records: DataFrame, payloads: DataFrame) -> DataFrame:
+    """One row: sources, revisions, records and payloads of an archive, and the state of the revisions that are active.
+
+    ``sources``: source_id, active_revision_id; ``revisions``: revision_id, status,
+    pending, size_bytes, ingested; ``payloads``: byte_length, real_length. Sources without an
+    active revision count as sources only.
+    """
+    active = sources.join(revisions.withColumnRenamed("revision_id", "active_revision_id"), "active_revision_id")
+    failing = F.col("status").isin("failed", "partial") | (F.col("pending") > 0)
+    states = [F.count_if(F.col("status") == s).alias(s) for s in ("complete", "failed", "partial")]
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    now = active.agg(F.count_if(failing).alias("attention"), total("pending").alias("pending_bytes"), total("size_bytes").alias("source_bytes"), total("ingested").alias("indexed_bytes"), *states)
+    counts = [df.agg(F.count("*").alias(name)) for name, df in (("sources", sources), ("revisions", revisions), ("raw_records", records))]
+    whole = payloads.agg(F.count("*").alias("raw_payloads"), F.count_if(F.col("byte_length") != F.col("real_length")).alias("length_mismatches"))
+    return reduce(DataFrame.crossJoin, [*counts, whole, now])  # frames of one row
+
+
+def corpus_scope(events: DataFrame, sessions: DataFrame, counts: dict[str, DataFrame]) -> DataFrame:
+    """(what, name, value): rows of each table, parse errors, first and last instant, sessions of each provider."""
+    tables = [df.agg(F.lit("rows").alias("what"), F.lit(name).alias("name"), F.count("*").alias("value")) for name, df in counts.items()]
+    one = events.agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count("parse_error").alias("parse_errors"))
+    range_ = one.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, one.columns)), F.array(*one.columns))).alias("name", "value")).select(F.lit("events"), "name", "value")
+    by = sessions.groupBy("provider").agg(F.count("*").alias("n")).select(F.lit("provider"), "provider", "n")
+    return reduce(DataFrame.union, [*tables, range_, by])
+
+
+def interval_origins(intervals: DataFrame, members: DataFrame, legacy: DataFrame, events: DataFrame, version_control: str = "git") -> DataFrame:
+    """Whether each interval's evidence comes from version control, from conversations or from both; null without evidence.
+
+    Evidence is a shared set (``members``: evidence_set_id, event_id); an interval
+    without a set has its own rows (``legacy``: interval_id, event_id), which are
+    not read where there is a set. A set is told once and then joined, so that many
+    intervals of one set multiply nothing. ``events``: event_id, provider.
+    """
+    who = events.select("event_id", (F.col("provider") == version_control).alias("_git"))
+    flags = [F.coalesce(F.bool_or("_git"), F.lit(False)).alias("has_git"), F.coalesce(F.bool_or(~F.col("_git")), F.lit(False)).alias("has_chat")]
+    sets = members.join(who, "event_id").groupBy("evidence_set_id").agg(*flags)
+    bare = intervals.filter("evidence_set_id is null")
+    own = legacy.join(bare.select("interval_id").distinct(), "interval_id", "left_semi").join(who, "event_id").groupBy("interval_id").agg(*flags)
+    shared = intervals.filter("evidence_set_id is not null").join(sets, "evidence_set_id", "left")
+    both = shared.unionByName(bare.join(own, "interval_id", "left"))
+    origin = F.when(F.col("has_git") & F.col("has_chat"), "both").when(F.col("has_git"), "git").when(F.col("has_chat"), "chat")
+    return both.withColumn("origin", origin)
+
+
 def locations(sessions: DataFrame, spoken: DataFrame, group: str) -> DataFrame:
     """Places where a group's work went on, the newest session of each, newest first.
 

@@ -336,7 +336,7 @@ def week_totals(spark, sf_dir):
 
 @query(EV + """, s AS (SELECT kind, count(*) AS n FROM ev GROUP BY 1)
 SELECT 1 AS section, 0 AS line_no, '## Events' AS line UNION ALL SELECT 1, row_number() OVER (ORDER BY kind)::INTEGER, '| ' || kind || ' | ' || n || ' |' FROM s UNION ALL SELECT 2, 0, '## Languages' UNION ALL SELECT 2, row_number() OVER (ORDER BY lang)::INTEGER, '| ' || lang || ' | ' || n || ' |' FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1) l""")
-def baseline_report(spark, sf_dir):
+def report_sections(spark, sf_dir):
     """A report's lines, section by section, from aggregates."""
     kinds = V.events(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"))
     langs = V.table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from palimpsest.plans import content, records, registry, scope, work  # noqa: F401
+from palimpsest.plans import content, records, registry, scope, surfaces, work  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
