@@ -8,6 +8,7 @@ from palimpsest import views as V
 from palimpsest.operators import baseline as B, dedup, reports as P, resume, review, stats
 from palimpsest.plans.registry import query
 from palimpsest.plans.scope import RUNS, SES, semantic_run_table
+from palimpsest.sources import transcripts
 
 # ---------------------------------------------------------------- resumption
 
@@ -227,3 +228,23 @@ def baseline_report(spark, sf_dir):
     for name, rows in (("sessions", sessions), ("events", ev), ("text_units", V.table(spark, sf_dir, "conversations")), ("artifacts", ev.filter("kind in ('error', 'tool-input')"))):
         corpus = corpus.crossJoin(rows.agg(F.count("*").alias(name)))  # rows of totals
     return B.baseline_report(corpus, runs, clusters, episodes, failed, failed, commands, lines, sessions, used, prefer="de")
+
+
+# ---------------------------------------------------------------- artifacts of fragments
+
+CALLS = """f AS (SELECT event_id, CASE WHEN session_id % 2 = 0 THEN 'Bash' ELSE '' END AS tool, json_extract(props, '$.k')::BIGINT AS n FROM ev WHERE kind = 'tool-input')"""
+
+
+@query(SES + ", " + CALLS + """, a AS (SELECT event_id, 'tool' AS kind, CASE WHEN tool = '' THEN 'tool' ELSE tool END AS value, NULL::VARCHAR AS label FROM f UNION ALL SELECT event_id, 'command', 'run ' || n, CASE WHEN tool = '' THEN 'tool' ELSE tool END FROM f
+UNION ALL SELECT event_id, 'command', 'y', CASE WHEN tool = '' THEN 'tool' ELSE tool END FROM f WHERE n % 5 = 0 UNION ALL SELECT event_id, 'code-block', 'step ' || n % 3, 'sh' FROM f) SELECT *, sha256(value) AS value_hash FROM a""")
+def call_artifacts(spark, sf_dir):
+    """Tools, commands and code blocks of each call; a command that is a number, and a block's second mention, give none."""
+    n = F.get_json_object("props", "$.k").cast("long")
+    number = n.cast("string")
+    text = F.concat(F.lit('{"cmd": " run '), number, F.lit(' ", "command": '), number, F.lit(', "chars": "'), F.when(n % 5 == 0, "y").otherwise(""), F.lit('"}'))
+    block = F.concat(F.lit("```sh\nstep "), (n % 3).cast("string"), F.lit("\n```\n```\nstep "), (n % 3).cast("string"), F.lit("\n```"))
+    tool = F.when(F.col("session_id") % 2 == 0, "Bash").otherwise("")
+    frag = lambda kind, value, label: F.struct(F.lit(kind).alias("kind"), value.alias("text"), label.alias("label"), F.lit(False).alias("is_error"))
+    ev = V.events(spark, sf_dir).filter("kind = 'tool-input'")
+    calls = ev.select("event_id", F.array(frag("tool-input", text, tool), frag("assistant-message", block, F.lit(None).cast("string"))).alias("fragments"))
+    return transcripts.artifact_rows(calls, "event_id").filter("kind in ('tool', 'command', 'code-block')")

@@ -73,11 +73,26 @@ def token_usage(line: Column) -> Column:
     return F.when(ok, F.struct(model.alias("model"), _get(line, m + "service_tier").alias("service_tier"), inp.alias("input_tokens"), out.alias("output_tokens"), (total - hour).alias("cache_write_5m_tokens"), hour.alias("cache_write_1h_tokens"), read.alias("cache_read_tokens"), _get(line, "$.message.id").alias("message_id")))
 
 
+def media_descriptor(block: Column) -> Column:
+    """What stands for a block of media: its type and the size of its encoded content, or the block's own type."""
+    data = _get(block, "$.source.data")
+    size = F.when(F.length(data) > 0, F.concat(F.lit(", "), F.length(data).cast("string"), F.lit(" encoded characters"))).otherwise("")
+    named = F.concat(F.lit("["), F.coalesce(F.nullif(_get(block, "$.source.media_type"), F.lit("")), F.nullif(_get(block, "$.source.type"), F.lit("")), F.lit("binary")), F.lit(" attachment"), size, F.lit("]"))
+    bare = F.concat(F.lit("["), F.coalesce(_get(block, "$.type"), F.lit("media")), F.lit(" attachment]"))
+    return F.when(F.coalesce(_is_object(_get(block, "$.source")), F.lit(False)), named).otherwise(bare)
+
+
+def _attachment(json: Column) -> Column:
+    """Fragments of an attachment's extracted content, text and content, under its name."""
+    name = F.coalesce(F.nullif(_get(json, "$.fileName"), F.lit("")), F.nullif(_get(json, "$.name"), F.lit("")), F.lit("attachment"))
+    return F.array(*(_frag(F.lit("attachment-text"), _get(json, f"$.{k}"), name) for k in ("extractedContent", "text", "content")))
+
+
 def _block_fragments(block: Column, role: Column) -> Column:
     kind = F.coalesce(_get(block, "$.type"), F.lit("unknown"))
     error = _get(block, "$.is_error") == "true"
-    result = F.transform(_list(_get(block, "$.content")), lambda i: _frag(F.lit("tool-output"), F.when(_is_object(i), F.coalesce(_get(i, "$.text"), _get(i, "$.content"))).otherwise(i), _get(block, "$.tool_use_id"), error))
-    media = F.concat(F.lit("["), F.coalesce(_get(block, "$.source.media_type"), _get(block, "$.source.type"), F.lit("binary")), F.lit(" attachment]"))
+    result = F.transform(_list(_get(block, "$.content")), lambda i: _frag(F.lit("tool-output"), F.when(_is_object(i), F.coalesce(F.nullif(_get(i, "$.text"), F.lit("")), F.nullif(_get(i, "$.content"), F.lit("")), media_descriptor(i))).otherwise(i), _get(block, "$.tool_use_id"), error))
+    media = media_descriptor(block)
     one = (
         F.when(~_is_object(block), F.array(_frag(F.concat(role, F.lit("-message")), block)))
         .when(kind == "text", F.array(_frag(F.concat(role, F.lit("-message")), _get(block, "$.text"))))
@@ -106,8 +121,9 @@ def message_events(lines: DataFrame) -> DataFrame:
     plain = F.when(~F.coalesce(_is_object(_get(p, "$.message")), F.lit(True)), F.array(_frag(F.concat(kind, F.lit("-message")), _get(p, "$.message"), None, _get(p, "$.isApiErrorMessage") == "true")))
     system = F.when(kind == "system", F.array(_frag(F.lit("system-message"), _get(p, "$.content"), _get(p, "$.subtype"), _get(p, "$.subtype").isin("error", "api_error"))))
     other = F.when(kind.isin("queue-operation", "last-prompt", "ai-title"), F.array(_frag(kind, F.coalesce(_get(p, "$.content"), _get(p, "$.lastPrompt"), _get(p, "$.aiTitle")))))
+    attached = F.when((kind == "attachment") & _is_object(_get(p, "$.attachment")), _attachment(_get(p, "$.attachment")))
     none = F.array().cast(FRAGMENT)
-    every = F.concat(*(F.coalesce(x.cast(FRAGMENT), none) for x in (blocks, plain, system, other)))
+    every = F.concat(*(F.coalesce(x.cast(FRAGMENT), none) for x in (blocks, plain, system, attached, other)))
     sub = F.nullif(F.regexp_extract("path", r"/subagents/(?:agent-)?([^/]+)\.jsonl$", 1), F.lit(""))
     session = F.coalesce(_get(p, "$.sessionId"), F.nullif(F.regexp_extract("path", r"/([^/]+)/subagents/", 1), F.lit("")), F.regexp_extract("path", r"([^/]+)\.jsonl$", 1))
     columns = {
@@ -123,7 +139,8 @@ def item_events(lines: DataFrame) -> DataFrame:
     p = F.col("payload")
     outer, kind = F.coalesce(_get(p, "$.type"), F.lit("unknown")), _get(p, "$.payload.type")
     role = _get(p, "$.payload.role")
-    message = F.transform(_list(_get(p, "$.payload.content")), lambda b: _frag(F.when(_is_object(b), F.concat(F.coalesce(role, F.lit("response")), F.lit("-message"))).otherwise("message"), F.when(_is_object(b), F.coalesce(_get(b, "$.text"), _get(b, "$.content"))).otherwise(b), F.when(_is_object(b), F.coalesce(_get(b, "$.type"), F.lit("text")))))
+    spoken = lambda block: F.when(role.isin("user", "assistant", "developer", "system"), F.concat(role, F.lit("-message"))).when(F.coalesce(_get(block, "$.type"), F.lit("text")).contains("reason"), "reasoning").otherwise("message")
+    message = F.transform(_list(_get(p, "$.payload.content")), lambda b: _frag(F.when(_is_object(b), spoken(b)).otherwise("message"), F.when(_is_object(b), F.coalesce(_get(b, "$.text"), _get(b, "$.content"))).otherwise(b), F.when(_is_object(b), F.coalesce(_get(b, "$.type"), F.lit("text")))))
     reasoning = F.transform(F.concat(_list(_get(p, "$.payload.summary")), _list(_get(p, "$.payload.content"))), lambda b: _frag(F.lit("reasoning"), F.when(_is_object(b), F.coalesce(_get(b, "$.text"), _get(b, "$.summary"))).otherwise(b)))
     call = F.array(_frag(F.lit("tool-input"), F.coalesce(_get(p, "$.payload.arguments"), _get(p, "$.payload.input")), F.coalesce(_get(p, "$.payload.name"), kind)))
     output = F.array(_frag(F.lit("tool-output"), F.coalesce(_get(p, "$.payload.output"), _get(p, "$.payload.content")), _get(p, "$.payload.call_id")))
@@ -137,9 +154,10 @@ def item_events(lines: DataFrame) -> DataFrame:
         .when(outer == "turn_context", F.array(_frag(F.lit("context-summary"), _get(p, "$.payload.summary"))).cast(FRAGMENT))
         .when(outer.isin("inter_agent_communication_metadata", "ghost_snapshot"), F.array(_frag(F.lit("agent-metadata"), _get(p, "$.payload.message"))).cast(FRAGMENT))
     )
-    session = F.coalesce(_get(p, "$.payload.session_id"), F.when(outer == "session_meta", _get(p, "$.payload.id")), F.nullif(F.regexp_extract("path", r"([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})\.jsonl$", 1), F.lit("")), F.regexp_extract("path", r"([^/]+)\.jsonl$", 1))
+    session = F.coalesce(_get(p, "$.payload.session_id"), F.when(outer == "session_meta", _get(p, "$.payload.id")), F.nullif(F.regexp_extract("path", r"([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})\.jsonl$", 1), F.lit("")), F.concat(F.lit("file:"), F.regexp_extract("path", r"([^/]+)$", 1)))
+    parents = ("parent_thread_id", "forked_from_id", "source.subagent.thread_spawn.parent_thread_id")
     columns = {
-        "session_external_id": session, "parent_session_external_id": F.coalesce(_get(p, "$.payload.parent_thread_id"), _get(p, "$.payload.forked_from_id")), "event_type": outer, "subtype": kind, "role": role, "timestamp": F.coalesce(_get(p, "$.timestamp"), _get(p, "$.payload.timestamp")),
+        "session_external_id": session, "parent_session_external_id": F.coalesce(*(F.nullif(_get(p, f"$.payload.{k}"), F.lit("")) for k in parents)), "event_type": outer, "subtype": kind, "role": role, "timestamp": F.coalesce(_get(p, "$.timestamp"), _get(p, "$.payload.timestamp")),
         "provider_event_id": F.coalesce(_get(p, "$.payload.id"), _get(p, "$.payload.call_id")), "parent_event_id": _get(p, "$.payload.parent_id"), "turn_id": F.coalesce(_get(p, "$.payload.turn_id"), _get(p, "$.payload.internal_chat_message_metadata_passthrough.turn_id")), "cwd": _get(p, "$.payload.cwd"),
     }
     return _common(lines, columns, F.coalesce(every, F.array().cast(FRAGMENT)))
