@@ -163,11 +163,14 @@ def item_events(lines: DataFrame) -> DataFrame:
     return _common(lines, columns, F.coalesce(every, F.array().cast(FRAGMENT)))
 
 
-def history_events(lines: DataFrame, *, text: str, session: str, time: str) -> DataFrame:
-    """Events of prompt histories: a text, a session and a time on each line, by the given JSON paths."""
+def history_events(lines: DataFrame, *, text: str, session: str, time: str, pasted: str | None = None, cwd: str | None = None) -> DataFrame:
+    """Events of prompt histories: a text, a session and a time on each line, by the given JSON paths; pasted contents and a folder if named."""
     p = F.col("payload")
     columns = {"session_external_id": _get(p, session), "event_type": F.lit("history"), "subtype": F.lit("user-prompt"), "role": F.lit("user"), "timestamp": _get(p, time)}
-    return _common(lines, columns, F.array(_frag(F.lit("user-message"), _get(p, text))))
+    if cwd is not None:
+        columns["cwd"] = _get(p, cwd)
+    more = [] if pasted is None else [_frag(F.lit("pasted-content"), F.when(~_get(p, pasted).isin("{}", "[]"), _get(p, pasted)))]
+    return _common(lines, columns, F.array(_frag(F.lit("user-message"), _get(p, text)), *more))
 
 
 def document_events(spark: SparkSession, path: str) -> DataFrame:

@@ -17,7 +17,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palimpsest.sources import growing, logs
+from palimpsest.sources import growing, logs, transcripts
 
 #: What every provider gives for each projected event.
 EVENTS = (
@@ -63,6 +63,15 @@ class ColumnProvider(Provider):
         return self.read(records.withColumn("line_no", F.col("byte_offset")))
 
 
+class DocumentProvider(ColumnProvider):
+    """A column provider whose records are whole files; each fits a row."""
+
+    def records(self, spark: SparkSession, roots: list[str]) -> DataFrame:
+        files = spark.read.text(list(dict.fromkeys(roots)), wholetext=True, recursiveFileLookup=True, pathGlobFilter=f"*{self.suffix}")
+        out = files.select(F.col("_metadata.file_path").alias("path"), F.lit(0).cast("long").alias("byte_offset"), F.col("value").alias("payload"), F.sha2("value", 256).alias("payload_hash"))
+        return out.dropDuplicates(["path"]) if len(roots) > 1 else out  # roots may lie within one another
+
+
 class RecordProvider(Provider):
     """A provider that reads one decoded record at a time; what it raises becomes a parse error of that record alone."""
 
@@ -136,5 +145,16 @@ def archive_events(spark: SparkSession, roots: dict[str, list[str]]) -> DataFram
     return out
 
 
-register(ColumnProvider("message-log", logs.message_events))
-register(ColumnProvider("item-log", logs.item_events))
+#: A prompt history lies beside the logs that it repeats and has a provider of its own.
+HISTORY = "history.jsonl"
+
+
+def _logs(read: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    return lambda lines: read(lines.filter(F.element_at(F.split("path", "/"), -1) != HISTORY))
+
+
+register(ColumnProvider("message-log", _logs(logs.message_events)))
+register(ColumnProvider("item-log", _logs(logs.item_events)))
+register(ColumnProvider("message-history", lambda r: logs.history_events(r, text="$.display", session="$.sessionId", time="$.timestamp", pasted="$.pastedContents", cwd="$.project"), suffix=HISTORY))
+register(ColumnProvider("item-history", lambda r: logs.history_events(r, text="$.text", session="$.session_id", time="$.ts"), suffix=HISTORY))
+register(DocumentProvider("conversation-document", transcripts.conversation_documents, suffix=".json"))

@@ -117,14 +117,16 @@ def conversation_documents(documents: DataFrame) -> DataFrame:
     ``error`` marks its contents. A document that is no JSON object is a single
     ``parse-error``; one without messages has its own event only. Long messages stay
     whole, but encoded content is named by a descriptor. A text in a list that itself
-    looks like a JSON object is read as one.
+    looks like a JSON object is read as one. byte_offset and payload_hash are kept if
+    there are any.
     """
+    kept = [c for c in ("byte_offset", "payload_hash") if c in documents.columns]
     d, m = F.col("payload"), F.col("_m")
     ok = F.coalesce(_is_object(F.ltrim(d)) & F.try_parse_json(d).isNotNull(), F.lit(False))
     listed = F.coalesce(F.when(ok, F.from_json(_get(d, "$.messages"), "array<string>")), F.array().cast("array<string>"))
     head = F.array(F.lit(None).cast("string"))
     rows = documents.withColumn("_ok", ok).withColumns({"session_external_id": F.when(ok, _get(d, "$.sessionId")), "_start": _get(d, "$.startTime"), "_summary": _get(d, "$.summary")})
-    rows = rows.select("path", "_ok", "session_external_id", "_start", "_summary", F.posexplode(F.concat(head, F.filter(listed, lambda x: _is_object(x)))).alias("projection_index", "_m"))
+    rows = rows.select("path", *kept, "_ok", "session_external_id", "_start", "_summary", F.posexplode(F.concat(head, F.filter(listed, lambda x: _is_object(x)))).alias("projection_index", "_m"))
     rows = rows.withColumn("_m", light_messages("_m"))
     kind = F.coalesce(F.nullif(_get(m, "$.type"), F.lit("")), F.lit("unknown"))
     role = F.element_at(F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair)), kind)
@@ -142,7 +144,7 @@ def conversation_documents(documents: DataFrame) -> DataFrame:
     summary = F.array(_fragment(F.lit("session-summary"), F.col("_summary"))).cast(FRAGMENT)
     first = m.isNull()
     return rows.select(
-        "path", "session_external_id", "projection_index",
+        "path", *kept, "session_external_id", "projection_index",
         F.when(~F.col("_ok"), "parse-error").when(first, "session_meta").when(role.isNotNull(), "message").otherwise(kind).alias("event_type"),
         F.when(~first, kind).alias("subtype"), F.when(~first, role).alias("role"), F.when(first, F.col("_start")).otherwise(_get(m, "$.timestamp")).alias("timestamp"), _get(m, "$.id").alias("provider_event_id"),
         F.when(~F.col("_ok"), none).otherwise(logs._some(F.when(first, summary).otherwise(spoken))).alias("fragments"),

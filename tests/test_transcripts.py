@@ -108,3 +108,22 @@ def test_code_blocks_against_brute_force(spark, small):
                 seen.setdefault(m[2].strip(), m[1].strip() or None)
         want += [(r.doc_id, v, label) for v, label in seen.items()]
     assert got == sorted(want)
+
+
+def test_histories_and_documents_have_providers(spark, tmp_path):
+    from palimpsest.sources import providers as P
+
+    message = {"type": "user", "sessionId": "m", "message": {"role": "user", "content": "hello"}}
+    past = [{"display": "p", "sessionId": "s", "timestamp": 1704067200000, "project": "/w", "pastedContents": {"1": "x"}}, {"display": "q", "sessionId": "s", "pastedContents": {}}]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text(json.dumps(message) + "\n")
+    (tmp_path / "history.jsonl").write_text("".join(json.dumps(x) + "\n" for x in past))
+    (tmp_path / "in" / "d.json").write_text(json.dumps({"sessionId": "g", "messages": [{"type": "user", "content": "c"}]}))
+    roots = [str(tmp_path), str(tmp_path / "in")]
+    got = P.archive_events(spark, {"message-log": roots, "message-history": roots, "conversation-document": roots})
+    rows = sorted((r for r in got.collect() if r.payload_hash), key=lambda r: (r.provider, r.event_type, r.byte_offset))
+    assert [(r.provider, r.session_external_id, r.event_type, r.projection_index, r.cwd, [(f.kind, f.text) for f in r.fragments]) for r in rows] == [
+        ("conversation-document", "g", "message", 1, None, [("user-message", "c")]), ("conversation-document", "g", "session_meta", 0, None, []),
+        ("message-history", "s", "history", 0, "/w", [("user-message", "p"), ("pasted-content", '{"1":"x"}')]), ("message-history", "s", "history", 0, None, [("user-message", "q")]),
+        ("message-log", "m", "user", 0, None, [("user-message", "hello")]),
+    ]
