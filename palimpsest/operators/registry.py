@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from palimpsest.functions import identity, text as X
 from palimpsest.operators.intervals import as_of
 from palimpsest.session import checkpoint
 
@@ -122,3 +125,90 @@ def round_robin(rows: DataFrame, bucket: str, recency: str, tie: str, *, per_buc
     deep = rows.withColumn("depth", F.row_number().over(w)).filter(F.col("depth") <= per_bucket)
     newest = deep.groupBy(bucket).agg(F.max(recency).alias("_newest"))
     return deep.join(newest, bucket).orderBy("depth", F.desc_nulls_last("_newest"), bucket).limit(limit).drop("_newest")
+
+
+#: The range in force of an alias that nobody has dated.
+ALWAYS = (-(1 << 63), (1 << 63) - 1)
+PLACE = {"url": "repository_url", "host": "repository_host", "owner": "repository_owner", "repository": "repository_name"}
+ALIAS = ["project_key", "machine", "prefix", "provider", "from_us"]
+
+
+class Registry(NamedTuple):
+    """Projects (by ``project_key``), aliases of paths, and the project of each session."""
+
+    projects: DataFrame
+    aliases: DataFrame
+    sessions: DataFrame
+
+
+def rooted(path: Column) -> Column:
+    """The path from the root with forward slashes and no empty part; null if it is null or blank."""
+    parts = F.filter(F.split(F.replace(X.strip(path), F.lit("\\"), F.lit("/")), "/"), lambda p: p != "")
+    return F.when(X.strip(path) != "", F.concat(F.lit("/"), F.array_join(parts, "/")))
+
+
+def named_project(sessions: DataFrame) -> DataFrame:
+    """Sessions with the project that their own ``remote``, else their own path, names.
+
+    A remote that reads as host, owner and repository gives a resolved project of
+    that key; a path (``cwd``, or ``project`` where that is empty) gives an
+    unresolved one, named by its leaf; neither gives ``Unallocated``.  Keys tell no
+    case apart.
+    """
+    raw = X.strip(F.coalesce(F.when(F.col("cwd") != "", F.col("cwd")), F.col("project")))
+    parts = F.filter(F.split("prefix", "/"), lambda p: ~p.isin("", "."))
+    found = sessions.withColumns({"raw_path": F.when(raw != "", raw), "prefix": rooted(raw), "_place": X.git_remote(F.col("remote"))})
+    by_remote = identity.key(F.lit("git"), F.col("_place.host"), F.col("_place.owner"), F.col("_place.repository"))
+    by_path = identity.key(F.lit("path"), F.lower("prefix"))
+    own = {
+        "project_key": F.coalesce(by_remote, by_path, identity.key(F.lit("project"), F.lit("unallocated"))),
+        "name": F.coalesce("_place.repository", F.try_element_at(parts, F.lit(-1)), "prefix", F.lit("Unallocated")),
+        "is_unresolved": F.col("_place").isNull(),
+    }
+    return found.withColumns(own | {n: F.col(f"_place.{f}") for f, n in PLACE.items()}).drop("_place")
+
+
+def _new_aliases(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Undated aliases that no known one has the identity of (nulls are equal); the least spelling of each."""
+    fresh = found.withColumns({"from_us": F.lit(ALWAYS[0]), "to_us": F.lit(ALWAYS[1])}).groupBy(*ALIAS, "to_us").agg(F.min("raw_path").alias("alias"))
+    k = known.select(*(F.col(c).alias(f"_{c}") for c in ALIAS))
+    return fresh.join(k, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ALIAS], "left_anti").withColumn("id", F.lit(ALWAYS[1]))
+
+
+def rebuild_registry(sessions: DataFrame, projects: DataFrame, aliases: DataFrame, now_us: int) -> Registry:
+    """The registry after a pass over all sessions (session_id, machine, provider, cwd, project, remote, start_us).
+
+    ``projects``: project_key, name, the four of ``PLACE``, is_unresolved.
+    ``aliases``: id, project_key, machine, prefix, provider, alias, from_us, to_us; a
+    null machine or provider fits any, a null prefix none.
+
+    A project is added, or renamed by its first session, unless all its sessions have
+    no remote and a path that an alias in force covers; it keeps what it knows of its
+    remote, and stays unresolved only if both say so.  Then checkouts (sessions of
+    ``git`` with a remote) become aliases for every provider, sessions without a
+    remote go to the most specific alias of their path, and all paths become aliases.
+    Sessions without a start are judged at ``now_us``.  New aliases come after all
+    others in ties.  A second pass over its own result changes nothing but what later
+    aliases let it resolve.  Sessions of one project are combined before the shuffle.
+    """
+    staged = named_project(sessions.select("session_id", "machine", "provider", "cwd", "project", "remote", "start_us")).withColumn("_at", F.coalesce("start_us", F.lit(now_us)))
+    loose = F.col("repository_url").isNull() & F.col("prefix").isNotNull()
+
+    def fitting(known: DataFrame) -> DataFrame:
+        rules = known.filter(F.col("prefix").isNotNull()).withColumnRenamed("project_key", "aliased")
+        return most_specific(staged.filter(loose), rules, "prefix", "_at", "aliased", optional=["machine", "provider"])
+
+    shape = ["name", *PLACE.values(), "is_unresolved"]
+    named = staged.filter(~loose).unionByName(fitting(aliases).filter("aliased is null").drop("aliased"))
+    first = named.groupBy("project_key").agg(F.min_by(F.struct(*shape), "session_id").alias("_new"))
+    both = projects.select("project_key", F.struct(*shape).alias("_old")).join(first, "project_key", "full")
+    unresolved_both = F.coalesce("_old.is_unresolved", F.lit(True)) & F.coalesce("_new.is_unresolved", F.lit(True))
+    merged = both.select("project_key", *(F.coalesce(f"_new.{c}", f"_old.{c}").alias(c) for c in shape[:-1]), unresolved_both.alias("is_unresolved"))
+
+    columns = [*ALIAS, "to_us", "alias", "id"]
+    checkouts = staged.filter((F.col("provider") == "git") & F.col("repository_url").isNotNull() & F.col("prefix").isNotNull()).withColumn("provider", F.lit(None).cast("string"))
+    known = aliases.select(*columns).unionByName(_new_aliases(checkouts, aliases).select(*columns))
+    resolved = staged.filter(~loose).withColumn("aliased", F.lit(None).cast("string")).unionByName(fitting(known))
+    resolved = resolved.withColumn("project_key", F.coalesce("aliased", "project_key"))
+    seen = resolved.filter(F.col("prefix").isNotNull()).withColumn("provider", F.when(F.col("provider") != "git", F.col("provider")))
+    return Registry(merged, known.unionByName(_new_aliases(seen, known).select(*columns)), resolved.select("session_id", "project_key"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest import views as V
-from palimpsest.operators import baseline as B, dedup, reports as P, resume, review, stats
+from palimpsest.operators import baseline as B, dedup, registry as R, reports as P, resume, review, stats
 from palimpsest.plans.registry import query
 from palimpsest.plans.scope import RUNS, SES, semantic_run_table
 from palimpsest.sources import transcripts
@@ -248,3 +248,57 @@ def call_artifacts(spark, sf_dir):
     ev = V.events(spark, sf_dir).filter("kind = 'tool-input'")
     calls = ev.select("event_id", F.array(frag("tool-input", text, tool), frag("assistant-message", block, F.lit(None).cast("string"))).alias("fragments"))
     return transcripts.artifact_rows(calls, "event_id").filter("kind in ('tool', 'command', 'code-block')")
+
+
+# ---------------------------------------------------------------- registry
+
+LO, HI = R.ALWAYS
+#: Sessions with remotes and checkouts, an archive's own projects and aliases, and one pass over them as far as the sessions' projects.
+REBUILT = SES + f""", raw AS (SELECT session_id, machine, CASE WHEN session_id % 5 = 0 THEN 'git' ELSE provider END AS provider, CASE WHEN session_id % 11 > 0 THEN '/' || cwd || '/' END AS cwd, CASE WHEN session_id % 22 = 0 THEN 'home\\Project ' || session_id % 3 END AS project, start_us,
+  CASE WHEN session_id % 15 = 0 THEN 'h1' WHEN session_id % 8 = 3 THEN 'h2' END AS host FROM ses),
+stage AS (SELECT session_id, machine, provider, start_us, nullif(coalesce(cwd, project), '') AS raw_path, CASE WHEN coalesce(cwd, project) IS NOT NULL THEN '/' || trim(replace(coalesce(cwd, project), '\\', '/'), '/') END AS prefix,
+  'https://' || host || '.example/team/src' || session_id % 23 AS url, CASE WHEN host IS NOT NULL THEN sha256('git' || chr(0) || host || '.example' || chr(0) || 'team' || chr(0) || 'src' || session_id % 23)
+  WHEN coalesce(cwd, project) IS NOT NULL THEN sha256('path' || chr(0) || lower('/' || trim(replace(coalesce(cwd, project), '\\', '/'), '/'))) ELSE sha256('project' || chr(0) || 'unallocated') END AS own,
+  CASE WHEN host IS NOT NULL THEN 'src' || session_id % 23 WHEN cwd IS NOT NULL THEN 'x' WHEN project IS NOT NULL THEN 'Project ' || session_id % 3 ELSE 'Unallocated' END AS name FROM raw),
+old AS (SELECT * FROM (VALUES (1, 'old', NULL, '/src/src1', NULL, ({LO})::BIGINT, {HI}::BIGINT), (2, 'm-one', 'm1', '/src/src3', NULL, ({LO})::BIGINT, {HI}), (3, 'wide', NULL, '/src/src3/de', 'p1', ({LO})::BIGINT, {HI}), (4, 'early', NULL, '/src/src4', NULL, ({LO})::BIGINT, {V.Y2024 + 15 * V.DAY}), (5, 'late', NULL, '/src/src4', NULL, {V.Y2024 + 15 * V.DAY}, {HI}), (6, 'blank', NULL, NULL, NULL, ({LO})::BIGINT, {HI})) v(id, project_key, machine, prefix, provider, from_us, to_us)),
+named AS (SELECT own, arg_min(name, session_id) AS name, arg_min(url, session_id) AS url FROM stage s WHERE url IS NOT NULL OR prefix IS NULL OR NOT EXISTS (SELECT 1 FROM old a WHERE (a.machine IS NULL OR a.machine = s.machine) AND (a.provider IS NULL OR a.provider = s.provider) AND (a.prefix = s.prefix OR starts_with(s.prefix, a.prefix || '/')) AND start_us >= from_us AND start_us < to_us) GROUP BY own),
+prior AS (SELECT DISTINCT project_key, 'known ' || project_key AS name, NULL AS url, project_key <> 'wide' AS is_unresolved FROM old UNION ALL SELECT own, 'earlier', NULL, min(session_id) % 2 = 0 FROM stage WHERE session_id % 6 = 3 GROUP BY own),
+pro AS (SELECT coalesce(own, project_key) AS project_key, coalesce(n.name, p.name) AS name, coalesce(n.url, p.url) AS repository_url, coalesce(p.is_unresolved, true) AND coalesce(n.url IS NULL, true) AS is_unresolved FROM prior p FULL JOIN named n ON own = project_key),
+known AS (SELECT * FROM old UNION ALL SELECT DISTINCT {HI}, own, machine, prefix, NULL, ({LO})::BIGINT, {HI} FROM stage WHERE provider = 'git' AND url IS NOT NULL AND prefix IS NOT NULL),
+res AS (SELECT s.*, coalesce(f.project_key, own) AS project_key FROM stage s LEFT JOIN LATERAL (SELECT a.project_key FROM known a WHERE s.url IS NULL AND (a.machine IS NULL OR a.machine = s.machine) AND (a.provider IS NULL OR a.provider = s.provider) AND (a.prefix = s.prefix OR starts_with(s.prefix, a.prefix || '/')) AND start_us >= from_us AND start_us < to_us
+  ORDER BY a.machine IS NOT NULL DESC, a.provider IS NOT NULL DESC, length(a.prefix) DESC, from_us DESC, a.id DESC, a.project_key LIMIT 1) f ON true)"""
+
+
+def registry_pass(spark, sf_dir):
+    """The sessions' remotes and checkouts, and a registry that knows some of them already."""
+    s = F.col("session_id")
+    host = F.when(s % 15 == 0, F.concat(F.lit("git@H1.example:Team/src"), (s % 23).cast("string"), F.lit(".git"))).when(s % 8 == 3, F.concat(F.lit("https://h2.example/team/SRC"), (s % 23).cast("string"), F.lit("/")))
+    sessions = V.sessions(spark, sf_dir).select(
+        "session_id", "machine", F.when(s % 5 == 0, "git").otherwise(F.col("provider")).alias("provider"), F.when(s % 11 > 0, F.concat(F.lit("/"), "cwd", F.lit("/"))).alias("cwd"),
+        F.when(s % 22 == 0, F.concat(F.lit("home\\Project "), (s % 3).cast("string"))).alias("project"), host.alias("remote"), "start_us",
+    )
+    mid = V.Y2024 + 15 * V.DAY
+    rows = [(1, "old", None, "/src/src1", None, LO, HI), (2, "m-one", "m1", "/src/src3", None, LO, HI), (3, "wide", None, "/src/src3/de", "p1", LO, HI), (4, "early", None, "/src/src4", None, LO, mid), (5, "late", None, "/src/src4", None, mid, HI), (6, "blank", None, None, None, LO, HI)]
+    aliases = spark.createDataFrame([(*r, r[1]) for r in rows], "id long, project_key string, machine string, prefix string, provider string, from_us long, to_us long, alias string")
+    nothing = {c: F.lit(None).cast("string") for c in R.PLACE.values()}
+    earlier = R.named_project(sessions.filter(s % 6 == 3)).groupBy("project_key").agg((F.min("session_id") % 2 == 0).alias("is_unresolved")).withColumn("name", F.lit("earlier"))
+    prior = aliases.select("project_key", (F.col("project_key") != "wide").alias("is_unresolved"), F.concat(F.lit("known "), "project_key").alias("name")).unionByName(earlier).withColumns(nothing)
+    return R.rebuild_registry(sessions, prior, aliases, V.Y2024)
+
+
+@query(REBUILT + " SELECT project_key, name, repository_url, is_unresolved FROM pro")
+def registry_rebuild(spark, sf_dir):
+    """All projects after a pass over the sessions: added, renamed, completed by their remotes, or as they were."""
+    return registry_pass(spark, sf_dir).projects.select("project_key", "name", "repository_url", "is_unresolved")
+
+
+@query(REBUILT + " SELECT session_id, project_key FROM res")
+def registry_sessions(spark, sf_dir):
+    """The project of each session by its own remote, the most specific alias of its path, or its own path."""
+    return registry_pass(spark, sf_dir).sessions
+
+
+@query(REBUILT + f" SELECT project_key, machine, prefix, provider, from_us FROM known UNION SELECT project_key, machine, prefix, nullif(provider, 'git'), ({LO})::BIGINT FROM res WHERE prefix IS NOT NULL")
+def registry_aliases(spark, sf_dir):
+    """Known aliases, those of checkouts and those of all sessions' paths, once each."""
+    return registry_pass(spark, sf_dir).aliases.select(*R.ALIAS)
