@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from palimpsest.operators.search import BROADCAST_TERMS, query_terms, tokens
@@ -28,14 +29,35 @@ def postings(docs: DataFrame, key: str, text: str, wanted: DataFrame | None = No
     """The inverted file: (term, key, length, positions), places counted from 0; of ``wanted`` terms alone if they are given.
 
     A null text has no words.  A word's places in one document are one row, so a word
-    of any frequency spreads over as many rows as there are documents with it.
+    of any frequency spreads over as many rows as there are documents with it; a
+    search takes rows that repeat a document as one.  A document's rows are made from its own row, without a
+    shuffle; wanted terms are looked up where the words are, if a count finds them few.
     """
-    words = docs.select(F.col(key), tokens(F.col(text)).alias("_w")).withColumn("length", F.size("_w").cast("long"))
-    words = words.select(key, "length", F.posexplode("_w").alias("pos", "term"))
-    if wanted is not None:
-        few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-        words = words.join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
-    return words.groupBy("term", key, "length").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    words = docs.select(F.col(key), tokens(F.col(text)).alias("_w"))
+    looked = [r.term for r in wanted.limit(BROADCAST_TERMS + 1).collect()] if wanted is not None else []
+    few = wanted is not None and len(looked) <= BROADCAST_TERMS
+    terms = pa.array(looked, pa.string()) if few else None
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("_w")
+            length = pc.fill_null(pc.list_value_length(lists), 0).cast(pa.int64())
+            flat = lists.flatten().dictionary_encode()
+            n, code = length.to_numpy(), flat.indices.to_numpy()
+            row = np.repeat(np.arange(len(n)), n)
+            pos = (np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            if terms is not None:
+                held = np.nonzero(pc.is_in(flat.dictionary, terms).to_numpy(zero_copy_only=False)[code])[0]
+                code, row, pos = code[held], row[held], pos[held]
+            order = np.lexsort((code, row))  # stable, so places stay ascending
+            code, row, pos = code[order], row[order], pos[order]
+            first = np.nonzero((np.diff(row, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0))[0]
+            own = pa.array(row[first])
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(pos)), pa.int32()), pa.array(pos))
+            yield pa.RecordBatch.from_arrays([flat.dictionary.take(pa.array(code[first])), b.column(key).take(own), length.take(own), places], names=["term", key, "length", "positions"])
+
+    found = words.mapInArrow(placed, f"term string, {key} {dict(words.dtypes)[key]}, length long, positions array<int>")
+    return found if wanted is None or few else found.join(wanted, "term", "left_semi")
 
 
 def _bucket(term: Column) -> Column:
@@ -75,13 +97,15 @@ def hits(found: DataFrame, terms: DataFrame, key: str, qkey: str) -> DataFrame:
     """(qkey, key, score, covers, tf, length) of the documents that hold all words of a query.
 
     ``found`` is an inverted file with the terms' rows, ``terms`` is :func:`asked_terms`.
+    Rows of one key and length are one document, with each place once.
     """
     found = checkpoint(found)  # it is read three times
     held = found.groupBy("term").agg(F.count("*").alias("_df"))
     rare = terms.join(held, "term", "left").groupBy(qkey, "need").agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("n"), "term"))["term"].alias("term"))
-    candidates = found.join(rare, "term").select(qkey, key)
-    rows = candidates.join(terms, qkey).join(found, [key, "term"]).groupBy(qkey, key, "need", "length").agg(F.count("*").alias("_got"), F.collect_list(F.struct("t", "positions")).alias("_p"))
-    entry = F.array_sort(F.flatten(F.transform("_p", lambda x: F.transform(x["positions"], lambda p: F.struct(p.alias("pos"), x["t"].alias("t"))))))
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS  # and there are no more queries than terms
+    candidates = found.join(F.broadcast(rare) if few else rare, "term").select(qkey, key).distinct()
+    rows = candidates.join(terms, qkey).join(found, [key, "term"]).groupBy(qkey, key, "need", "length").agg(F.size(F.collect_set("t")).alias("_got"), F.collect_list(F.struct("t", "positions")).alias("_p"))
+    entry = F.array_sort(F.array_distinct(F.flatten(F.transform("_p", lambda x: F.transform(x["positions"], lambda p: F.struct(p.alias("pos"), x["t"].alias("t")))))))
     whole = rows.filter("_got = need").select(qkey, key, "need", "length", entry.alias("_e")).select(qkey, key, "need", "length", F.transform("_e", lambda e: e["pos"]).alias("pos"), F.transform("_e", lambda e: e["t"]).alias("t"))
     kinds = dict(whole.dtypes)
 

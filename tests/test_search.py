@@ -47,7 +47,7 @@ def expected(docs, queries):
         terms = list(dict.fromkeys(re.findall(r"\w+", (s or "").lower())))
         for d, t in seen.items():
             words = re.findall(r"\w+", (t or "").lower())
-            if d not in (3, 102) and terms and set(terms) <= set(words):
+            if d != 102 and terms and set(terms) <= set(words):
                 out[q, d] = (score(words, terms), len(spans(words, terms)), sum(w in terms for w in words), len(words))
     return out
 
@@ -57,7 +57,7 @@ def test_search_ranks_by_covers_with_and_without_a_stored_file(spark, tmp_path):
     want = expected(docs, queries)
 
     def rows(df):
-        return {(r.q, r.d): (r.score, r.covers, r.tf, r.length) for r in df.collect() if r.d not in (3, 102)}
+        return {(r.q, r.d): (r.score, r.covers, r.tf, r.length) for r in df.collect() if r.d != 102}
 
     assert rows(L.search(d, q, "d", "t", "q", "s")) == want
     L.write_postings(L.postings(d, "d", "t"), "d", str(tmp_path / "file"))
