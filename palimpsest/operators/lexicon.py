@@ -103,8 +103,9 @@ def hits(found: DataFrame, terms: DataFrame, key: str, qkey: str) -> DataFrame:
     held = found.groupBy("term").agg(F.count("*").alias("_df"))
     rare = terms.join(held, "term", "left").groupBy(qkey, "need").agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("n"), "term"))["term"].alias("term"))
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS  # and there are no more queries than terms
-    candidates = found.join(F.broadcast(rare) if few else rare, "term").select(qkey, key).distinct()
-    rows = candidates.join(terms, qkey).join(found, [key, "term"]).groupBy(qkey, key, "need", "length").agg(F.size(F.collect_set("t")).alias("_got"), F.collect_list(F.struct("t", "positions")).alias("_p"))
+    candidates = found.join(F.broadcast(rare) if few else rare, "term").select(qkey, key).repartition(key).distinct()
+    own = candidates.join(found, key).join(F.broadcast(terms) if few else terms, [qkey, "term"])  # places move once, by document
+    rows = own.groupBy(qkey, key, "need", "length").agg(F.size(F.collect_set("t")).alias("_got"), F.collect_list(F.struct("t", "positions")).alias("_p"))
     entry = F.array_sort(F.array_distinct(F.flatten(F.transform("_p", lambda x: F.transform(x["positions"], lambda p: F.struct(p.alias("pos"), x["t"].alias("t")))))))
     whole = rows.filter("_got = need").select(qkey, key, "need", "length", entry.alias("_e")).select(qkey, key, "need", "length", F.transform("_e", lambda e: e["pos"]).alias("pos"), F.transform("_e", lambda e: e["t"]).alias("t"))
     kinds = dict(whole.dtypes)
