@@ -112,7 +112,7 @@ def report(sections: list[list[DataFrame]]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).select("section", number.alias("line_no"), "line")
 
 
-def baseline_report(corpus: DataFrame, runs: DataFrame, clusters: DataFrame, episodes: DataFrame, prints: DataFrame, hits: DataFrame, commands: DataFrame, lines: DataFrame, sessions: DataFrame, labels: DataFrame, *, top: int = 30, least: int = 2, prefer: str = "conversation") -> DataFrame:
+def baseline_report(corpus: DataFrame, runs: DataFrame, clusters: DataFrame, episodes: DataFrame, prints: DataFrame, hits: DataFrame, commands: DataFrame, lines: DataFrame, sessions: DataFrame, labels: DataFrame, *, top: int = 30, least: int = 2, prefer: str = "conversation", units: tuple[str, ...] = T.UNITS) -> DataFrame:
     """The whole review, eight sections; a table that is empty gives its remark, or its head alone.
 
     ``corpus``: one row of totals. ``runs``: run_id, run_key, profile, model,
@@ -122,11 +122,12 @@ def baseline_report(corpus: DataFrame, runs: DataFrame, clusters: DataFrame, epi
     ``repeated_failures``; ``commands``: see ``repeated_values``, values of fewer
     than two characters are left out. ``lines``: event_id, path, line_no.
     ``sessions``: session_id, provider, project, events, start_us, end_us,
-    text_units. ``labels``: name, uses. ``top`` is kept within 1 and 200.
+    text_units. ``labels``: name, uses. ``top`` is kept within 1 and 200; ``units``
+    are those that the sources' size may be told in.
     """
     top, least = min(max(top, 1), 200), max(least, 1)
     bold = lambda text, value: F.concat(F.lit(f"- {text}: **"), value, F.lit("**"))
-    coverage = corpus.select(F.array(F.lit(COVERAGE), F.lit(""), F.concat(bold("Sources", number("sources")), F.lit(" ("), T.human_bytes(F.col("source_bytes")), F.lit(")")), bold("Sessions", number("sessions")), bold("Source events", number("events")), bold("Searchable text units", number("text_units")), bold("Extracted evidence artifacts", number("artifacts")), bold("Parse-error records", number("parse_errors"))).alias("lines"))
+    coverage = corpus.select(F.array(F.lit(COVERAGE), F.lit(""), F.concat(bold("Sources", number("sources")), F.lit(" ("), T.human_bytes(F.col("source_bytes"), units), F.lit(")")), bold("Sessions", number("sessions")), bold("Source events", number("events")), bold("Searchable text units", number("text_units")), bold("Extracted evidence artifacts", number("artifacts")), bold("Parse-error records", number("parse_errors"))).alias("lines"))
 
     liked = F.coalesce((F.col("profile") == prefer).cast("int"), F.lit(0))
     order = [F.desc("_liked"), F.desc_nulls_last("completed"), F.desc("run_id")]

@@ -3,6 +3,8 @@
 import math
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from palimpsest.plans import content, records, registry, scope, surfaces, work  # noqa: F401
@@ -52,3 +54,24 @@ def test_human_sizes_keeps_documents_of_a_mebibyte_and_more(spark, tmp_path):
     spark.createDataFrame([(1, "x" * 1536), (2, "x" * (3 << 19))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r["size"] for r in content.human_sizes(spark, str(tmp_path)).collect()}
     assert got == {1: "1.5 KiB", 2: "1.5 MiB"}
+
+
+def test_baseline_report_tells_sizes_in_the_units_of_its_sql(spark, small, tmp_path):
+    for t in TABLES:
+        (tmp_path / f"{t}.parquet").symlink_to(f"{small}/{t}.parquet")
+    (tmp_path / "documents.parquet").unlink()
+    n = 1100  # texts of a mebibyte, stored once
+    text = pa.DictionaryArray.from_arrays(pa.array([0] * n, pa.int32()), pa.array(["x" * (1 << 20)]))
+    pq.write_table(pa.table({"doc_id": pa.array(range(n), pa.int64()), "text": text, "lang": ["de"] * n, "source": ["src1"] * n, "n_chars": pa.array([1 << 20] * n, pa.int64())}), tmp_path / "documents.parquet")
+    at = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(at)
+    spark.conf.set(at, 16)
+    try:
+        got = [r.line for r in surfaces.baseline_report(spark, str(tmp_path)).filter("section = 1 and line like '%Sources%'").collect()]
+    finally:
+        spark.conf.set(at, before)
+    with duckdb.connect() as c:
+        for t in TABLES:
+            c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+        want = c.sql(f"SELECT line FROM ({registry.SQL['baseline_report']}) WHERE section = 1 AND line LIKE '%Sources%'").fetchall()
+    assert got == [w[0] for w in want] == ["- Sources: **1** (1100.0 MiB)"]
