@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palimpsest.session import checkpoint
@@ -64,22 +65,33 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+#: Queries of a pair of blocks whose products with all of its rows are held at a time.
+QUERY_STRIP = 64
+
+
+def _matrix(vectors: pa.ChunkedArray, n: int) -> np.ndarray:
+    """Lists of doubles of one length as rows of a matrix, without a copy if they lie in one piece."""
+    return np.asarray(pc.list_flatten(vectors).combine_chunks()).reshape(n, -1)
+
+
 def _nearest(k: int):
     """Rows (side 0) and queries (side 1) of one pair of blocks to each query's k best rows."""
 
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         found: list[tuple] = []
         if rows.num_rows and queries.num_rows:
-            ids, v = rows.column("id").to_numpy(), np.stack(rows.column("v").to_numpy(zero_copy_only=False)).astype(float)
-            q = np.stack(queries.column("v").to_numpy(zero_copy_only=False)).astype(float)
+            ids, v = rows.column("id").to_numpy(), _matrix(rows.column("v"), rows.num_rows)
+            asked, q = queries.column("id").to_numpy(), _matrix(queries.column("v"), queries.num_rows)
             norm, qnorm = np.sqrt((v * v).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
-            rough = (q @ v.T) / (qnorm[:, None] * norm[None, :])
-            for i, one in enumerate(queries.column("id").to_numpy()):
-                s = np.where(ids == one, -np.inf, rough[i])
-                top = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
-                near = np.nonzero((s >= top - 1e-9) & (s > -np.inf))[0]
-                exact = (v[near] * q[i]).sum(axis=1) / (norm[near] * qnorm[i])  # row by row, so that equal vectors tie
-                found += [(int(one), int(ids[near[j]]), float(exact[j])) for j in np.lexsort((ids[near], -exact))[:k]]
+            unit = (v / norm[:, None]).T
+            for a in range(0, len(q), QUERY_STRIP):
+                rough = (q[a : a + QUERY_STRIP] / qnorm[a : a + QUERY_STRIP, None]) @ unit
+                for i, s in enumerate(rough, a):
+                    s[ids == asked[i]] = -np.inf
+                    top = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
+                    near = np.nonzero((s >= top - 1e-9) & (s > -np.inf))[0]
+                    exact = (v[near] * q[i]).sum(axis=1) / (norm[near] * qnorm[i])  # row by row, so that equal vectors tie
+                    found += [(int(asked[i]), int(ids[near[j]]), float(exact[j])) for j in np.lexsort((ids[near], -exact))[:k]]
         return pa.table([pa.array([f[c] for f in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "other", "score"])
 
     return run
@@ -95,14 +107,19 @@ def exact_neighbours(rows: DataFrame, queries: DataFrame, key: str, vector: str,
     """k nearest rows of each query by cosine: (query_id, key, score, rank), ties by key; a query is no neighbour of itself.
 
     Rows and queries are dealt into blocks whose numbers follow from counts, and each
-    pair of blocks is one matrix product of bounded size; each query's best of the
-    blocks are ranked at the end.  With ``cell``, only rows of the query's own cell
+    pair of blocks is matrix products of bounded size, for ``QUERY_STRIP`` queries at a
+    time; each query's best of the blocks are ranked at the end. Block sizes are for
+    vectors of 64 components; longer ones are dealt into as many more blocks.  With ``cell``, only rows of the query's own cell
     are compared: an approximate search that reads one cell instead of all.
     Vectors that are null, zero or not finite take no part; only equal lengths are compared.
     """
     own = [(F.col(cell) if cell else F.lit(0)).alias("cell"), F.size(vector).alias("dim")]
     rows, queries = usable_vectors(rows, vector), usable_vectors(queries, vector)
-    size = rows.groupBy(*own).agg(F.ceil(F.count("*") / row_block).alias("nr")).join(queries.groupBy(*own).agg(F.ceil(F.count("*") / query_block).alias("nq")), ["cell", "dim"])
+
+    def many(block: int) -> Column:
+        return F.ceil(F.count("*") * F.greatest(F.max(F.size(vector)) / 64, F.lit(1)) / block)
+
+    size = rows.groupBy(*own).agg(many(row_block).alias("nr")).join(queries.groupBy(*own).agg(many(query_block).alias("nq")), ["cell", "dim"])
 
     def dealt(df: DataFrame, mine: str, other: str) -> DataFrame:
         flat = df.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), *own).join(size, ["cell", "dim"])

@@ -2,8 +2,10 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +118,34 @@ def test_exact_neighbours_leave_out_what_has_no_direction(spark):
     assert got.filter("query_id = 0").count() == 59 and got.filter("query_id >= 9000").count() == 0
     with pytest.raises(ValueError):
         vectorindex.build(df.filter(F.col("id") == 9000), "id", "v")
+
+
+def test_a_pair_of_blocks_holds_the_products_of_few_queries(spark):
+    rng = np.random.default_rng(4)
+    v, q = rng.standard_normal((20_000, 8)), rng.standard_normal((1000, 8))
+    block = lambda first, x: pa.table({"id": np.arange(first, first + len(x)), "v": pa.array(list(x), pa.list_(pa.float64()))})
+    rows, queries = block(0, v), block(50_000, q)
+    tracemalloc.start()
+    found = S._nearest(3)(rows, queries).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # all products are 160 MB
+    u, w = v / np.linalg.norm(v, axis=1)[:, None], q / np.linalg.norm(q, axis=1)[:, None]
+    assert found["other"] == np.argsort(-(w @ u.T), axis=1, kind="stable")[:, :3].ravel().tolist()
+
+
+def test_an_index_that_probes_all_cells_repeats_no_query(spark, monkeypatch):
+    _, df = clusters(spark, n=300)
+    index = vectorindex.build(df, "id", "v", cells=10)
+    asked = df.filter("id % 50 = 0 and id < 9000")
+    want = sorted(map(tuple, S.exact_neighbours(df, asked, "id", "v", 5).collect()))
+    monkeypatch.setattr(vectorindex, "_placed", None)
+    assert sorted(map(tuple, index.search(asked, 5, probes=10).collect())) == want
+
+
+def test_rows_are_sent_to_their_cells_in_bounded_pieces(spark, monkeypatch):
+    rows, df = clusters(spark, n=200)
+    monkeypatch.setattr(vectorindex, "SENT", 8)
+    centres = np.array([v for _, v in rows[:6]])
+    placed = vectorindex._placed(df.filter("id < 9000"), "id", "v", centres, 3)
+    assert placed.count() == 600 and placed.select("id", "cell").distinct().count() == 600
