@@ -3,7 +3,7 @@
 Centroids are fitted on a bounded sample; every row lies in the cell of its nearest
 centroid.  A query reads the cells of its nearest centroids and ranks their rows by
 exact cosine.  How many cells are probed follows from an audit: it is doubled until
-audited queries find the wanted share of their true neighbours.  An index below its
+the audited queries' true neighbours lie in probed cells by the wanted share.  An index below its
 gate cannot be published.
 """
 
@@ -21,6 +21,8 @@ from palimpsest.session import checkpoint
 
 #: Most rows of the sample that the driver fits centroids on, and most cells.
 SAMPLE, CELLS = 100_000, 4096
+#: Rows that a task sends on at a time, each with one of its cells.
+SENT = 1 << 15
 
 
 class RecallBelowGate(ValueError):
@@ -51,7 +53,7 @@ def _nearest_cells(x: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
     near = np.empty((len(x), n), np.int64)
     for k in range(0, len(x), 4096):  # a strip of the products at a time
         s = x[k : k + 4096] @ centroids.T
-        near[k : k + 4096] = np.argsort(-s, axis=1, kind="stable")[:, :n]
+        near[k : k + 4096] = s.argmax(axis=1)[:, None] if n == 1 else np.argsort(-s, axis=1, kind="stable")[:, :n]
     return near
 
 
@@ -68,8 +70,14 @@ class VectorIndex:
     gate: float
 
     def search(self, queries: DataFrame, k: int = 10, *, probes: int | None = None) -> DataFrame:
-        """(query_id, key, score, rank): each query's k nearest rows of the probed cells; a query is no neighbour of itself."""
-        asked = _placed(queries, self.key, self.vector, self.centroids, min(probes or self.probes, len(self.centroids)))
+        """(query_id, key, score, rank): each query's k nearest rows of the probed cells; a query is no neighbour of itself.
+
+        All cells are all rows, so no query is repeated for each of them.
+        """
+        probes = min(probes or self.probes, len(self.centroids))
+        if probes == len(self.centroids):
+            return exact_neighbours(self.rows, queries, self.key, self.vector, k)
+        asked = _placed(queries, self.key, self.vector, self.centroids, probes)
         return exact_neighbours(self.rows, asked, self.key, self.vector, k, cell="cell")
 
     def publish(self, path: str) -> None:
@@ -99,8 +107,11 @@ def _placed(rows: DataFrame, key: str, vector: str, centroids: np.ndarray, n: in
         for b in batches:
             if b.num_rows:
                 x = np.asarray(b.column(vector).flatten().cast(pa.float64())).reshape(-1, width)
-                each = pa.array(np.repeat(np.arange(len(x)), n))
-                yield pa.RecordBatch.from_arrays([b.column(key).take(each), b.column(vector).take(each), pa.array(_nearest_cells(x, centroids, n).ravel().astype(np.int32))], names=[key, vector, "cell"])
+                step = max(SENT // n, 1)
+                for k in range(0, len(x), step):
+                    part = x[k : k + step]
+                    each = pa.array(np.repeat(np.arange(k, k + len(part)), n))
+                    yield pa.RecordBatch.from_arrays([b.column(key).take(each), b.column(vector).take(each), pa.array(_nearest_cells(part, centroids, n).ravel().astype(np.int32))], names=[key, vector, "cell"])
 
     fit = usable_vectors(rows.select(key, vector), vector).filter(F.size(vector) == width)
     return fit.mapInArrow(place, f"{key} {kinds[key]}, {vector} {kinds[vector]}, cell int")
@@ -123,11 +134,14 @@ def build(rows: DataFrame, key: str, vector: str, *, cells: int | None = None, s
     centroids = fit_centroids(x, min(cells, len(x)), seed=seed)
     index = VectorIndex(key, vector, centroids, checkpoint(_placed(same, key, vector, centroids, 1)), min(4, len(centroids)), 0.0, gate)
     asked = checkpoint(same.orderBy(F.xxhash64(key, F.lit(seed + 1)), key).limit(audit))
-    exact = checkpoint(exact_neighbours(same, asked, key, vector, k).select("query_id", key))
-    wanted = exact.count()
-    while True:
-        found = index.search(asked, k).join(exact, ["query_id", key], "left_semi").count()
-        index.recall = found / wanted if wanted else 1.0
+    exact = exact_neighbours(same, asked, key, vector, k).select("query_id", key)
+    cells_of = exact.join(index.rows.select(key, "cell"), key).select("query_id", "cell").collect()  # at most audit * k rows
+    asked = asked.select(key, vector).collect()
+    order = _nearest_cells(np.array([r[1] for r in asked], float), centroids, len(centroids))
+    turn = {r[0]: np.argsort(order[i]) for i, r in enumerate(asked)}  # when a cell is probed
+    turns = np.array([turn[q][cell] for q, cell in cells_of], int)
+    while True:  # a true neighbour is found if and only if its cell is probed
+        index.recall = float((turns < index.probes).mean()) if len(turns) else 1.0
         if index.recall >= gate or index.probes == len(centroids):
             return index
         index.probes = min(2 * index.probes, len(centroids))
