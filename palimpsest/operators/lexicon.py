@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -25,6 +24,36 @@ BUCKETS = 256
 WORD, GAP = r"[\p{L}\p{N}_]+", r"[\p{L}\p{N}_]+([^\p{L}\p{N}_]*)"
 
 
+#: Words of the rows that a task works on at a time, a longer text being a piece of its own; pairs and places likewise.
+PIECE, PAIRS, PLACES = 1 << 18, 1 << 16, 1 << 20
+#: Hits that a task holds before it drops all but each query's best.
+HELD = 1 << 20
+
+
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive stretches whose sizes add up to ``most`` or less; a larger one is alone."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        before = ends[a - 1] if a else 0
+        b = max(int(np.searchsorted(ends, before + most, "right")), a + 1)
+        yield a, b
+        a = b
+
+
+def _pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    n = pc.fill_null(pc.list_value_length(b.column("_w")), 0).to_numpy(zero_copy_only=False)
+    for x, y in _runs(n, PIECE):
+        yield b.slice(x, y - x)
+
+
+def _words(lists: pa.ListArray) -> tuple[np.ndarray, pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """Length of each row, all words, and each word's row and place."""
+    n = pc.fill_null(pc.list_value_length(lists), 0).cast(pa.int64()).to_numpy(zero_copy_only=False)
+    flat = lists.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(n)), n)
+    return n, flat, row, (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+
+
 def postings(docs: DataFrame, key: str, text: str, wanted: DataFrame | None = None) -> DataFrame:
     """The inverted file: (term, key, length, positions), places counted from 0; of ``wanted`` terms alone if they are given.
 
@@ -39,13 +68,9 @@ def postings(docs: DataFrame, key: str, text: str, wanted: DataFrame | None = No
     terms = pa.array(looked, pa.string()) if few else None
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column("_w")
-            length = pc.fill_null(pc.list_value_length(lists), 0).cast(pa.int64())
-            flat = lists.flatten().dictionary_encode()
-            n, code = length.to_numpy(), flat.indices.to_numpy()
-            row = np.repeat(np.arange(len(n)), n)
-            pos = (np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+        for b in (p for whole in batches for p in _pieces(whole)):
+            length, flat, row, pos = _words(b.column("_w"))
+            code = flat.indices.to_numpy()
             if terms is not None:
                 held = np.nonzero(pc.is_in(flat.dictionary, terms).to_numpy(zero_copy_only=False)[code])[0]
                 code, row, pos = code[held], row[held], pos[held]
@@ -54,7 +79,7 @@ def postings(docs: DataFrame, key: str, text: str, wanted: DataFrame | None = No
             first = np.nonzero((np.diff(row, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0))[0]
             own = pa.array(row[first])
             places = pa.ListArray.from_arrays(pa.array(np.append(first, len(pos)), pa.int32()), pa.array(pos))
-            yield pa.RecordBatch.from_arrays([flat.dictionary.take(pa.array(code[first])), b.column(key).take(own), length.take(own), places], names=["term", key, "length", "positions"])
+            yield pa.RecordBatch.from_arrays([flat.dictionary.take(pa.array(code[first])), b.column(key).take(own), pa.array(length).take(own), places], names=["term", key, "length", "positions"])
 
     found = words.mapInArrow(placed, f"term string, {key} {dict(words.dtypes)[key]}, length long, positions array<int>")
     return found if wanted is None or few else found.join(wanted, "term", "left_semi")
@@ -156,9 +181,10 @@ def headlines(rows: DataFrame, text: str, terms: str, *, fragments: int = 3, mos
     Without a cover it is the text's first ``least`` words.  A null text gives null.
     """
 
-    @F.pandas_udf(T.StringType())
-    def cut(words: pd.Series, gaps: pd.Series, term: pd.Series, need: pd.Series) -> pd.Series:
-        return pd.Series([None if w is None else excerpt(list(w), list(g), np.asarray(t, int), int(n), fragments, most, least) for w, g, t, n in zip(words, gaps, term, need, strict=True)])
+    @F.arrow_udf(T.StringType())
+    def cut(words: pa.Array, gaps: pa.Array, term: pa.Array, need: pa.Array) -> pa.Array:
+        each = zip(words, gaps, term, need, strict=True)  # one row's words at a time are Python's
+        return pa.array([None if not w.is_valid else excerpt(w.as_py(), g.as_py(), np.asarray(t.as_py(), int), n.as_py(), fragments, most, least) for w, g, t, n in each], pa.string())
 
     words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
     number = F.transform(words, lambda w: (F.array_position(F.col(terms), F.lower(w)) - 1).cast("int"))

@@ -149,3 +149,10 @@ def test_rows_are_sent_to_their_cells_in_bounded_pieces(spark, monkeypatch):
     centres = np.array([v for _, v in rows[:6]])
     placed = vectorindex._placed(df.filter("id < 9000"), "id", "v", centres, 3)
     assert placed.count() == 600 and placed.select("id", "cell").distinct().count() == 600
+
+
+def test_postings_are_made_of_bounded_pieces(monkeypatch):
+    monkeypatch.setattr(L, "PIECE", 5)
+    words = [["a"] * 3, ["b"] * 2, None, ["c"] * 9, [], ["d"]]
+    pieces = list(L._pieces(pa.RecordBatch.from_pydict({"_w": pa.array(words, pa.list_(pa.string()))})))
+    assert [p.column("_w").to_pylist() for p in pieces] == [words[:3], [words[3]], words[4:]]
