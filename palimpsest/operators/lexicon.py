@@ -9,7 +9,9 @@ each cover, noise being the words in it that the query does not have.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -149,10 +151,129 @@ def hits(found: DataFrame, terms: DataFrame, key: str, qkey: str) -> DataFrame:
     return whole.mapInArrow(score, f"{qkey} {kinds[qkey]}, {key} {kinds[key]}, score double, covers long, tf long, length long").withColumn("score", F.round("score", 9))
 
 
-def search(docs: DataFrame, queries: DataFrame, key: str, text: str, qkey: str, qtext: str) -> DataFrame:
-    """:func:`hits` of texts that have no stored inverted file: only words that are asked for are shuffled."""
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """To nine decimals, halves away from zero, as Spark's round does."""
+    values, at = np.unique(x, return_inverse=True)
+    return np.array([float(Decimal(repr(v)).quantize(Decimal("1e-9"), ROUND_HALF_UP)) for v in values.tolist()])[at]
+
+
+class _Asked:
+    """Sets of words that queries ask for; each set is looked for from the word that fewest sets ask for."""
+
+    def __init__(self, sets: list[list[str]]) -> None:
+        often = Counter(w for s in sets for w in s)
+        self.words = sorted(often)
+        number = {w: k for k, w in enumerate(self.words)}
+        ordered = [[number[w] for w in sorted(s, key=lambda w: (often[w], -len(w), w))] for s in sets]
+        self.need = np.array([len(s) for s in sets], np.int64)
+        self.at = np.cumsum(self.need) - self.need
+        self.flat = np.array([w for s in ordered for w in s], np.int64)
+        first = self.flat[self.at]
+        self.by_first = np.argsort(first, kind="stable")
+        self.firsts = np.searchsorted(first[self.by_first], np.arange(len(self.words) + 1))
+
+    def hits(self, lists: pa.ListArray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(set, row, score, covers, tf) of the rows that hold all words of a set, in bounded pieces."""
+        _, flat, row, pos = _words(lists)
+        known = pc.fill_null(pc.index_in(flat.dictionary, pa.array(self.words, pa.string())), -1).to_numpy(zero_copy_only=False)
+        code = known[flat.indices.to_numpy()] if len(row) else row
+        held = np.nonzero(code >= 0)[0]
+        place = row[held] * len(self.words) + code[held]
+        order = np.argsort(place, kind="stable")
+        pos = pos[held][order]
+        keys, first, count = np.unique(place[order], return_index=True, return_counts=True)
+        own, word = keys // len(self.words), keys % len(self.words)
+        sets = self.firsts[word + 1] - self.firsts[word]
+        for a, b in _runs(sets, PAIRS):
+            n = sets[a:b]
+            q = self.by_first[np.repeat(self.firsts[word[a:b]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            r = np.repeat(own[a:b], n)
+            for slot in range(1, int(self.need[q].max(initial=0))):  # rarest words first, so few pairs meet the others
+                more = np.nonzero(self.need[q] > slot)[0]
+                asked = r[more] * len(self.words) + self.flat[self.at[q[more]] + slot]
+                found = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                left = np.ones(len(q), bool)
+                left[more[keys[found] != asked]] = False
+                q, r = q[left], r[left]
+            if len(q):
+                need = self.need[q]
+                pair = np.repeat(np.arange(len(q)), need)
+                slot = np.arange(len(pair)) - np.repeat(np.cumsum(need) - need, need)
+                at = np.searchsorted(keys, r[pair] * len(self.words) + self.flat[self.at[q[pair]] + slot])
+                total = np.bincount(pair, count[at]).astype(np.int64)
+                for x, y in _runs(total, PLACES):
+                    own_slots = slice(*np.searchsorted(pair, [x, y]))
+                    yield q[x:y], r[x:y], *self._scores(pair[own_slots] - x, slot[own_slots], first[at[own_slots]], count[at[own_slots]], need[x:y], pos), total[x:y]
+
+    @staticmethod
+    def _scores(pair: np.ndarray, slot: np.ndarray, first: np.ndarray, count: np.ndarray, need: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and covers of pairs whose words' places are ``count`` entries of ``pos`` from ``first`` on; see :func:`covers`."""
+        own, term = np.repeat(pair, count), np.repeat(slot, count)
+        pos = pos[np.repeat(first - np.cumsum(count) + count, count) + np.arange(len(own))]
+        order = np.lexsort((pos, own))
+        own, term, pos = own[order], term[order], pos[order]
+        at = np.arange(len(own))
+        begin = np.searchsorted(own, np.arange(len(need)))[own]
+        low = at.copy()
+        for t in range(int(need.max())):
+            latest = np.maximum.accumulate(np.where(term == t, at, -1))
+            low = np.where(need[own] > t, np.minimum(low, np.where(latest < begin, -1, latest)), low)
+        ends = np.nonzero((low >= 0) & (low > np.concatenate(([-1], low[:-1]))))[0]
+        starts = low[ends]
+        noise = pos[ends] - pos[starts] - (ends - starts)
+        return np.bincount(own[ends], 0.1 / (1 + noise), len(need)), np.bincount(own[ends], minlength=len(need))
+
+
+def search(docs: DataFrame, queries: DataFrame, key: str, text: str, qkey: str, qtext: str, *, best: int | None = None, latest: str | None = None) -> DataFrame:
+    """:func:`hits` of texts that have no stored inverted file: a text's places meet the queries' words where they are.
+
+    No place is shuffled, queries of the same words are looked for once. With ``best`` only
+    hits are surely returned that are among so many of a query by score, ``latest`` (a whole
+    number, the greatest first, null last) and key, the greatest first; a task holds no more of them.
+    Queries of more than ``BROADCAST_TERMS`` words in all go through the inverted file.
+    """
     terms = asked_terms(queries, qkey, qtext)
-    return hits(postings(docs, key, text, terms.select("term").distinct()), terms, key, qkey)
+    if terms.limit(BROADCAST_TERMS + 1).count() > BROADCAST_TERMS:
+        return hits(postings(docs, key, text, terms.select("term").distinct()), terms, key, qkey)
+    asking: dict[tuple[str, ...], list] = {}
+    for q, t in queries.select(qkey, F.array_sort(query_terms(F.col(qtext)))).filter(F.size(query_terms(F.col(qtext))) > 0).distinct().collect():
+        asking.setdefault(tuple(t), []).append(q)
+    kinds = dict(docs.dtypes) | dict(queries.dtypes)
+    schema = f"_set int, {key} {kinds[key]}, score double, covers long, tf long, length long"
+    plan = _Asked([list(t) for t in asking])
+    words = docs.select(F.col(key), (F.col(latest) if latest else F.lit(0)).cast("long").alias("_late"), tokens(F.col(text)).alias("_w"))
+
+    def cut(held: pa.Table) -> pa.Table:
+        number = np.unique(held.column(key).to_numpy(), return_inverse=True)[1]
+        late = pc.fill_null(held.column("_late"), -(1 << 63)).to_numpy()
+        known = held.column("_late").is_null().to_numpy()
+        q, length = held.column("_set").to_numpy(), held.column("length").to_numpy()
+        order = np.lexsort((length, -number, ~late, known, -held.column("score").to_numpy(), q))
+        q, number, length = q[order], number[order], length[order]
+        once = np.concatenate(([True], (np.diff(q) != 0) | (np.diff(number) != 0) | (np.diff(length) != 0)))
+        order, q = order[once], q[once]
+        return held.take(pa.array(order[np.arange(len(q)) - np.searchsorted(q, q) < best]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.Table] = []
+        for b in (p for whole in batches for p in _pieces(whole)):
+            lists = b.column("_w")
+            length = pc.fill_null(pc.list_value_length(lists), 0).cast(pa.int64())
+            for q, r, score, n, tf in plan.hits(lists):
+                at = pa.array(r)
+                rows = pa.table([pa.array(q, pa.int32()), b.column(key).take(at), pa.array(_rounded(score)), pa.array(n, pa.int64()), pa.array(tf, pa.int64()), length.take(at), b.column("_late").take(at)], names=["_set", key, "score", "covers", "tf", "length", "_late"])
+                if best is None:
+                    yield from rows.drop_columns("_late").to_batches()
+                    continue
+                parts.append(rows)
+                if sum(p.num_rows for p in parts[1:]) > max(HELD, parts[0].num_rows):
+                    parts = [cut(pa.concat_tables(parts))]
+        if parts:
+            yield from cut(pa.concat_tables(parts)).drop_columns("_late").combine_chunks().to_batches(max_chunksize=PAIRS)
+
+    found = words.mapInArrow(run, schema).dropDuplicates(["_set", key, "length"])
+    owners = docs.sparkSession.createDataFrame([(k, q) for k, qs in enumerate(asking.values()) for q in qs], f"_set int, {qkey} {kinds[qkey]}")
+    return found.join(F.broadcast(owners), "_set").select(qkey, key, "score", "covers", "tf", "length")
 
 
 def excerpt(words: list[str], gaps: list[str], term: np.ndarray, need: int, fragments: int, most: int, least: int) -> str:

@@ -75,6 +75,7 @@ def list_episodes(episodes: DataFrame, queries: DataFrame | None = None, *, key:
     latest = [F.desc_nulls_last(F.coalesce("end_us", "start_us")), F.desc(key)]
     if queries is None:
         return _page(found, latest, limit, 0)
-    hit = lexicon.search(found, queries, key, "document", qkey, qtext).select(qkey, key, "score").join(found, key)
+    ends = found.withColumn("_ended", F.coalesce("end_us", "start_us"))
+    hit = lexicon.search(ends, queries, key, "document", qkey, qtext, best=min(max(limit, 1), LIST), latest="_ended").select(qkey, key, "score").join(found, key)
     ranked = hit.withColumn("position", F.row_number().over(Window.partitionBy(qkey).orderBy(F.desc("score"), *latest)))
     return ranked.filter(F.col("position") <= min(max(limit, 1), LIST))

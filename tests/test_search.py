@@ -156,3 +156,14 @@ def test_postings_are_made_of_bounded_pieces(monkeypatch):
     words = [["a"] * 3, ["b"] * 2, None, ["c"] * 9, [], ["d"]]
     pieces = list(L._pieces(pa.RecordBatch.from_pydict({"_w": pa.array(words, pa.list_(pa.string()))})))
     assert [p.column("_w").to_pylist() for p in pieces] == [words[:3], [words[3]], words[4:]]
+
+
+def test_the_best_hits_of_a_query_are_kept_where_they_are(spark, monkeypatch):
+    docs, queries, d, q = texts(spark)
+    q = q.unionByName(spark.createDataFrame([(8, "beta ALPHA")], q.schema))
+    every = [tuple(r) for r in L.search(d, q, "d", "t", "q", "s").collect()]
+    assert {r[1:] for r in every if r[0] == 8} == {r[1:] for r in every if r[0] == 1}
+    want = {k: sorted((r for r in every if r[0] == k), key=lambda r: (-r[2], -r[1]))[:3] for k in {r[0] for r in every}}
+    found = [tuple(r) for r in L.search(d, q, "d", "t", "q", "s", best=3).collect()]
+    assert len(found) < len(every)  # a task gives no more than three of a query
+    assert {k: sorted((r for r in found if r[0] == k), key=lambda r: (-r[2], -r[1]))[:3] for k in want} == want
