@@ -76,7 +76,7 @@ top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, d
 
 
 def lexical_ranked(spark, sf_dir, n):
-    found = L.search(V.texts(spark, sf_dir, "documents"), T(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+    found = L.search(V.texts(spark, sf_dir, "documents"), T(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", best=n)
     return S.ranked(found, ["item_id"], [F.desc("score"), F.desc("doc_id")], n)
 
 
