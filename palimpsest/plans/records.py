@@ -346,8 +346,8 @@ ASKED = LEXTOP.replace(LEXTOP[: LEXTOP.index("hit AS (")], "WITH " + UNITS + ",
 
 @query(ASKED + " SELECT item_id AS query_id, doc_id AS session_id, score, position::INTEGER AS position FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id DESC) AS position FROM top) x WHERE position <= 10")
 def episode_search(spark, sf_dir):
-    """Episodes without errors whose document holds the first two words of some conversations, by cover density."""
-    found = C.documents(spoken(spark, sf_dir), ["session_id"], "ordinal").filter("errors = 0").withColumns({"start_us": F.lit(0), "end_us": F.lit(0)})
+    """Episodes without errors whose whole document holds the first two words of some conversations, by cover density."""
+    found = C.documents(spoken(spark, sf_dir), ["session_id"], "ordinal", whole=True).filter("errors = 0").withColumns({"start_us": F.lit(0), "end_us": F.lit(0)})
     first = F.array_join(F.slice(S.tokens(F.col("text")), 1, 2), " ")
     asked = V.units(spark, sf_dir).filter("ordinal = 0 and session_id % 10 = 0").select(F.col("session_id").alias("query_id"), first.alias("query"))
     return reads.list_episodes(found, asked, key="session_id", limit=10).select("query_id", "session_id", "score", "position")

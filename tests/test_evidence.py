@@ -53,6 +53,14 @@ def test_documents_are_bounded(spark):
     assert len(d.document) == 24_000 and d.document.startswith("[GOAL]\n000g") and d.document.endswith("…")
 
 
+def test_whole_documents_are_not(spark):
+    goals, said = [f"{k:03d}" + "g" * 5000 for k in range(20)], ["s" * 5000 + f"{k}" for k in range(9)]
+    units = [(k, k, "user-message", None, g, False) for k, g in enumerate(goals)] + [(30 + k, 30 + k, "assistant-message", None, s, False) for k, s in enumerate(said)] + [(50, 50, "reasoning", None, None, False)]
+    d = C.documents(spark.createDataFrame([(1, *u) for u in units], UNIT), ["e"], "o", event="ev", whole=True).first()
+    assert (d.goal, d.outcome) == ("\n\n".join(goals), "\n\n".join(said))
+    assert d.document == f"[GOAL]\n{d.goal}\n\n[OUTCOME MESSAGES]\n{d.outcome}"
+
+
 def test_calls_are_paired_in_order_and_told_apart_by_outcome(spark):
     rows = [(1, "tool-input", "a", "", False, False), (2, "tool-input", "a", "", False, False), (3, "tool-output", None, "ok", False, False), (4, "error", None, "", False, False), (5, "tool-input", "b", "", False, False), (6, "tool-output", None, "x\nexit code: 0", False, True), (7, "tool-input", "b", "", False, False), (8, "tool-output", None, "Exit code: 2", False, True), (9, "tool-output", None, "stray", True, False), (10, "tool-input", "b", "", None, None)]
     df = spark.createDataFrame([(1, k, kind, "act", op, text, err, sig, k * 10) for k, kind, op, text, err, sig in rows], "s long, event_id long, kind string, action string, operation string, text string, is_error boolean, has_signature boolean, us long")

@@ -75,3 +75,17 @@ def test_baseline_report_tells_sizes_in_the_units_of_its_sql(spark, small, tmp_p
             c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
         want = c.sql(f"SELECT line FROM ({registry.SQL['baseline_report']}) WHERE section = 1 AND line LIKE '%Sources%'").fetchall()
     assert got == [w[0] for w in want] == ["- Sources: **1** (1100.0 MiB)"]
+
+
+def test_episode_search_reads_texts_to_their_ends(spark, small, tmp_path):
+    rows = [(0, 0, "needle thread"), (1, 0, "hay " * 2000 + "needle thread"), (2, 4, "hay " * 20_000 + "needle straw thread"), (4, 3, None), (10, 0, "outcome messages")]
+    rows += [(3, t, f"{t} " + "hay " * 900 + "thread needle" * (t == 18)) for t in range(19) if t != 12]  # beyond 24,000 characters in all
+    rows += [(5, t, "hay " * 1500 + end) for t, end in ((4, "needle thread"), (8, "needle x thread"), (None, "thread needle"))]  # texts of one beginning
+    conv, turn, text = zip(*rows, strict=True)
+    pq.write_table(pa.table({"conv_id": pa.array(conv, pa.int64()), "turn": pa.array(turn, pa.int64()), "role": ["user"] * len(rows), "text": list(text)}), tmp_path / "conversations.parquet")
+    got = sorted((r.query_id, r.position, r.session_id, plain(r.score)) for r in records.episode_search(spark, str(tmp_path)).collect())
+    with duckdb.connect() as c:
+        for t in TABLES:
+            c.execute(f"create view {t} as select * from '{tmp_path if t == 'conversations' else small}/{t}.parquet'")
+        want = sorted((q, p, s, plain(x)) for q, p, s, x in c.sql(f"SELECT query_id, position, session_id, score FROM ({registry.SQL['episode_search']})").fetchall())
+    assert got == want and {s for _, _, s, _ in got} == {0, 1, 2, 3, 5, 10}
